@@ -83,12 +83,10 @@ class Codes:
 def fit(ids: np.ndarray, x: np.ndarray, k: int, bits: int, seed: int) -> Codes:
     rng, dim = np.random.default_rng(seed), x.shape[1]
     mean = x.mean(0)
-    axes = np.linalg.svd(x - mean, full_matrices=True)[2].T if len(x) >= dim else np.eye(dim)
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1]
     v = (x - mean) @ axes
     rotated = [axes @ _rotation(v, rng, 25) for _ in range(-(-bits // dim))]
-    codes = Codes(mean, np.hstack(rotated)[:, :bits])
-    if codes.axes.shape[1] % 8:
-        codes.axes = codes.axes[:, : max(8, codes.axes.shape[1] // 8 * 8)] if codes.axes.shape[1] >= 8 else np.repeat(codes.axes, 8, 1)
+    codes = Codes(mean, np.hstack(rotated)[:, : bits // 8 * 8])
     packed, met = codes.of(x), []
     for i in range(0, min(len(x), 300)):
         d = ((x - x[i]) ** 2).sum(1)
@@ -115,7 +113,7 @@ class Index:
         for j, reach in enumerate(self.codes.reach):
             if reach >= 0:
                 start, order = self.start[j], self.order[j]
-                for b in _WITHIN[reach] ^ code[j]:
+                for b in (_WITHIN[reach] ^ code[j]).tolist():
                     hit[order[start[b] : start[b + 1]]] = True
         rows = np.flatnonzero(hit)
         return rows[_ONES[self.packed[rows] ^ code].sum(1) <= self.codes.radius]
