@@ -143,15 +143,16 @@ def least_agreement(coordinates: int, percent: int) -> int:
     return int(coordinates * p - SLACK * (coordinates * p * (1 - p)) ** 0.5)
 
 
-PAIR = "a long, b long, again long"
+#: kind 0: a candidate pair of classes; 1: a node (a) that has more of them.
+PAIR = "kind int, a long, b long"
 
 
 def _forest(coordinates: int, percent: int):
-    """Of each node: a spanning forest of its candidates, the most alike first; and its id (again) if it has more of them."""
+    """Of each node: a spanning forest of its candidates, the most alike first; and its id if it has more of them."""
     least = least_agreement(coordinates, percent)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int | None, int | None, int | None]] = []
+        out: list[tuple[int, int, int]] = []
         for group in _groups(frames, "node"):
             if len(group) < 2:
                 continue
@@ -164,18 +165,18 @@ def _forest(coordinates: int, percent: int):
             for _ in range(len(keys)):
                 at = int(np.where(todo, best, -2).argmax())
                 if best[at] >= least:
-                    out.append((int(keys[by[at]]), int(keys[at]), None))
+                    out.append((0, int(keys[by[at]]), int(keys[at])))
                     n_forest += 1
                 todo[at] = False
                 nearer = todo & (same[at] > best)
                 best[nearer], by[nearer] = same[at][nearer], at
             if n_pairs > n_forest:
-                out.append((None, None, int(group["node"].iloc[0])))
+                out.append((1, int(group["node"].iloc[0]), 0))
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b", "again"]).astype("Int64")
+                yield pd.DataFrame(out, columns=["kind", "a", "b"])
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["a", "b", "again"]).astype("Int64")
+            yield pd.DataFrame(out, columns=["kind", "a", "b"])
 
     return run
 
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     leaves, dense = leaves[0], dense[0]
 
     # Forests.
-    sketches = classes.select("key", "n", "sketch") if "sketch" in classes.columns else classes.mapInPandas(_sketched(coordinates), "key long, n long, sketch binary")
+    sketches = classes.mapInPandas(_sketched(coordinates), "key long, n long, sketch binary")
     of_block = lambda block: F.xxhash64("path", block)
     dealt = dense.select(of_block(F.pmod(F.xxhash64("key", "path"), _blocks("n", node_rows)).cast("int")).alias("node"), "key")
     firsts = dense.groupBy("path").agg(F.max("n").alias("n"), *[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key"))["key"].alias(f"p{i}") for i in range(PIVOTS)])
@@ -274,13 +275,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     members = leaves.unionByName(dealt).unionByName(pivots)
     met = members.join(sketches, "key").repartition("node").sortWithinPartitions("node")
     pairs = stored(met.mapInPandas(_forest(coordinates, percent), PAIR), "forest")
-    links = _links(docs, classes, pairs.where("again IS NULL").select("a", "b"), width, percent)
+    links = _links(docs, classes, pairs.where("kind = 0").select("a", "b"), width, percent)
     roots_of = components(links)
 
     # What still lies in different components.
     rooted = lambda df: df.join(roots_of, F.col("key") == F.col("node_"), "left").withColumn("root", F.coalesce("root", "key")).drop("node_")
     roots_of = roots_of.withColumnRenamed("node", "node_")
-    again = pairs.where("again IS NOT NULL").select(F.col("again").alias("node")).distinct()
+    again = pairs.where("kind = 1").select(F.col("a").alias("node")).distinct()
     small = rooted(leaves.join(again, "node", "left_semi")).withColumn("side", F.lit(-1))
     parts = rooted(dense)
     tally = parts.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))

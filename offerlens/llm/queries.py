@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import ann, packing, url_filter, warc
+from offerlens.llm import ann, near_dedup, packing, quality, url_filter, warc
 from offerlens.llm.common import table
 
 #: The rules of op10's contract.
@@ -21,6 +21,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -33,14 +37,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn_quality": op1_knn_quality,
     "op2_multi_index_ann": op2_multi_index_ann,
     "op3_warc_roundtrip": op3_warc_roundtrip,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
