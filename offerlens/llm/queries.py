@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import ann, near_dedup, packing, quality, url_filter, warc
+from offerlens.llm import ann, decontaminate, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from offerlens.llm.common import table
 
 #: The rules of op10's contract.
@@ -33,6 +33,18 @@ def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,6 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_quality": op1_knn_quality,
     "op2_multi_index_ann": op2_multi_index_ann,
     "op3_warc_roundtrip": op3_warc_roundtrip,
+    "op4_spaced_seed_decontamination": op4_spaced_seed_decontamination,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     "op10_url_filter": op10_url_filter,
