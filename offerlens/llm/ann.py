@@ -134,6 +134,8 @@ def _search(codes: Codes, queries: tuple[np.ndarray, np.ndarray], k: int, exact:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_x = queries
+        if not len(q_ids):
+            return
         q_codes, held, n = codes.of(q_x), [], 0
 
         def answers() -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import ann, decontaminate, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from offerlens.llm import ann, decontaminate, html_text, line_dedup, near_dedup, packing, quality, substring_dedup, url_filter, warc
 from offerlens.llm.common import table
 
 #: The rules of op10's contract.
@@ -41,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_roundtrip": op3_warc_roundtrip,
     "op4_spaced_seed_decontamination": op4_spaced_seed_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html_text": op6_html_text,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
