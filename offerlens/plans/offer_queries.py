@@ -496,7 +496,7 @@ def price_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg34_presence_masks",
-    """WITH {OFFERS}, m AS (SELECT shop, bit_or(1::BIGINT << (date_diff('day', DATE '1970-01-01', night) // 30 % 60)) AS mask FROM offers GROUP BY shop) SELECT shop, mask, bit_count(mask) AS months FROM m""",
+    """WITH {OFFERS}, m AS (SELECT shop, bit_or(1::BIGINT << (date_diff('day', DATE '1970-01-01', night) // 30 % 60)) AS mask FROM offers GROUP BY shop) SELECT shop, mask, CAST(bit_count(mask) AS BIGINT) AS months FROM m""",
 )
 def presence_masks(spark: SparkSession, d: str) -> DataFrame:
     """The months in which a shop was seen, as bits."""
