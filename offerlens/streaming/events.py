@@ -22,7 +22,10 @@ def day_counts(spark: SparkSession, folder: str, *, late: str = "2 days", files_
     """
     place = f"{_shared(spark)}/event-days-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    watched, names = (f"{folder}/events.parquet", "*.parquet") if whole else (folder, "events.parquet")  # a stream watches a folder
+    events = spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_batch).parquet(watched).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("date").alias("day"), "n")
 
     def put(batch: DataFrame, number: int) -> None:
