@@ -123,8 +123,20 @@ def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
     return None
 
 
+#: Shares of the capacity up to which lengths are held back from the exact combinations; the best plan of all is taken.
+RESERVES = (0.0, 0.01, 0.03, 0.1, 0.25)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ([(length, how many in a sequence)], how many sequences) that use up the counts."""
+    """Patterns ([(length, how many in a sequence)], how many sequences) that use up the counts.
+
+    Short pieces help best fit most, so it is also tried to keep them for the residuals.
+    """
+    plans = (_plan(counts, capacity, int(capacity * share)) for share in RESERVES)
+    return min(plans, key=lambda patterns: sum(times for _, times in patterns))
+
+
+def _plan(counts: dict[int, int], capacity: int, reserve: int) -> list[tuple[list[tuple[int, int]], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -133,7 +145,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tu
     def tally(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
         return [(x, lengths.count(x)) for x in dict.fromkeys(lengths)]
 
-    rest: dict[int, int] = {}
+    rest: dict[int, int] = {x: int(left[x]) for x in range(1, reserve + 1) if left[x]}
+    left[: reserve + 1] = 0
     for length in range(capacity, 0, -1):
         while left[length]:
             if length == capacity:
