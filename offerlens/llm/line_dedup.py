@@ -1,13 +1,16 @@
 """Line de-duplication by an exact set-similarity join.
 
-1. The tokens (words in lower case) of all lines are counted in 2**CELL_BITS hashed cells, a bounded table whatever the
-   vocabulary; a token's rarity is its cell's count, with ties by hash, so that all lines order their tokens alike.
+1. The tokens (words between ASCII marks and white space, A-Z in lower case, as hashes of TOKEN_BITS bits) of all lines are counted
+   in 2**CELL_BITS hashed cells, a bounded table whatever the vocabulary; a token's rarity is its cell's count, with ties by
+   hash, so that all lines order their tokens alike.
 2. Lines with equal token sets are one class. Of each class the rarest tokens are its prefix: two sets with a Jaccard similarity
    of PERCENT / 100 share a token there. Tokens that occur once in the corpus are left out; nothing else can share them.
-3. Classes with a common prefix token and sizes of the same or the next power of 5/4 meet in a join, whose condition
-   is the length filter, the positional filter, and a bound on the sets' difference by parity bits; all are exact. Adaptive
-   execution splits the partition of a frequent token.
-4. The pairs that are left are verified on their full token sets, which are read again from the documents.
+3. The prefixes are dealt out and sorted by token and rank (doc_id, then line number). Of the earlier classes with the same token
+   that pass the length filter, the positional filter and a bound on the sets' difference by parity bits (all are exact; the
+   smaller set's prefix is the shorter one), each class takes the first FIRST as candidates: it matters whether there is an
+   earlier similar line, not how many, so a group of near copies gives a few pairs for each, not all pairs.
+4. Candidates are verified on their full token sets, which are read again from the documents. A class that has more
+   candidates than it took, and none of which held, is then joined with all of its candidates. So none is missed.
 5. A line goes if an earlier line (by doc_id, then line number) has an equal or similar set, whether that one stays or not.
 
 Lines of fewer than MIN_WORDS words stay: by chance alone many are equal.
@@ -19,7 +22,6 @@ Lines of repeated rows of one doc_id have one rank: they don't remove each other
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.common import WordHashes, batches, mixed, only, stored
 
-PERCENT, MIN_WORDS, CELL_BITS = 80, 5, 24
+PERCENT, MIN_WORDS, CELL_BITS, TOKEN_BITS, FIRST = 80, 5, 24, 41, 3
 _PART_BITS = 16
 #: Up to so many keys (8 bytes each) go to every task; more are joined.
 BROADCAST_KEYS = 400_000
-WORD = re.compile(r"\w+")
+#: A-Z to a-z, and every ASCII character that is no letter or digit to a space; other bytes stay.
+_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Characters of the texts that are cut into lines at once.
 BATCH_CHARS = 4_000_000
 
@@ -48,13 +51,21 @@ def _pieces(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         at = to
 
 
+class _Tokens(WordHashes):
+    """Hashes of TOKEN_BITS bits."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = super().__missing__(word) >> (64 - TOKEN_BITS)
+        return value
+
+
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How often each cell's tokens occur in this task, by part of the table."""
-    hash_of, table = WordHashes(), np.zeros(1 << CELL_BITS, np.int32)
-    for frame in frames:
-        for text in frame["text"]:
-            if text:
-                np.add.at(table, (hash_of.of(WORD.findall(text.lower())) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+    hash_of, table = _Tokens(), np.zeros(1 << CELL_BITS, np.int32)
+    for frame in batches(frames):
+        for part in _pieces(frame):
+            words = " ".join(t for t in part["text"] if t).encode("utf-8", "surrogatepass").translate(_TABLE).split()
+            np.add.at(table, (hash_of.of(words) >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64), 1)
     for part in range(1 << (CELL_BITS - _PART_BITS)):
         own = table[part << _PART_BITS : (part + 1) << _PART_BITS]
         at = np.flatnonzero(own)
@@ -63,15 +74,15 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _levels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sum of each part as levels of a byte: counts up to 20, then eight steps for each doubling."""
+    """The sum of each part as levels of six bits: counts up to 8, then three steps for each doubling."""
     sums: dict[int, np.ndarray] = {}
     for frame in frames:
         for part, cells, counts in zip(frame["part"], frame["cells"], frame["counts"], strict=True):
             own = sums.setdefault(int(part), np.zeros(1 << _PART_BITS, np.int64))
             own[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.int32)
     for part, own in sums.items():
-        high = 20 + np.floor(8 * np.log2(np.maximum(own, 1) / 20))
-        yield pd.DataFrame({"part": [part], "levels": [np.where(own <= 20, own, np.minimum(high, 255)).astype(np.uint8).tobytes()]})
+        high = 8 + np.floor(3 * np.log2(np.maximum(own, 1) / 8))
+        yield pd.DataFrame({"part": [part], "levels": [np.where(own <= 8, own, np.minimum(high, 63)).astype(np.uint8).tobytes()]})
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -87,27 +98,40 @@ class Lines:
     """The lines of some texts that are judged, with their token sets in the order of the prefix."""
 
     def __init__(self, texts: list[str | None], levels: np.ndarray | None, hash_of: WordHashes, min_words: int):
-        doc, number, start, end, words = [], [], [], [], []
+        doc, number, start, end, words, counts = [], [], [], [], [], []
         for i, text in enumerate(texts):
             at = 0
             for k, line in enumerate(text.split("\n") if text else ()):
-                found = WORD.findall(line.lower())
+                found = line.encode("utf-8", "surrogatepass").translate(_TABLE).split()
                 if len(found) >= min_words:
-                    doc.append(i), number.append(k), start.append(at), end.append(at + len(line)), words.append(found)
+                    doc.append(i), number.append(k), start.append(at), end.append(at + len(line)), counts.append(len(found))
+                    words += found
                 at += len(line) + 1
         self.doc, self.number, self.begin, self.end = (np.array(x, np.int64) for x in (doc, number, start, end))
-        tokens = hash_of.of([w for found in words for w in found])
-        line = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        level = levels[tokens >> np.uint64(64 - CELL_BITS)] if levels is not None else np.zeros(len(tokens), np.uint8)
-        order = np.lexsort((tokens, level, line))
-        tokens, line, level = tokens[order], line[order], level[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
-        self.tokens, self.line, self.level = tokens[new], line[new], level[new]
-        self.size = np.bincount(self.line, minlength=len(words))
-        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64) if len(words) else np.empty(0, np.int64)
+        tokens = hash_of.of(words)
+        n = len(counts)
+        tokens, line = self._sorted(tokens, np.repeat(np.arange(n, dtype=np.uint64), counts), levels)
+        self.tokens, self.line = tokens, line.astype(np.int64)
+        self.level = levels[tokens >> np.uint64(TOKEN_BITS - CELL_BITS)] if levels is not None else np.zeros(len(tokens), np.uint8)
+        self.size = np.bincount(self.line, minlength=n)
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64) if n else np.empty(0, np.int64)
         once = mixed(self.tokens)
-        self.key = (mixed(np.add.reduceat(once, self.first) ^ mixed(self.size.astype(np.uint64))) if len(words) else np.empty(0, np.uint64)).view(np.int64)
+        self.key = (mixed(np.add.reduceat(once, self.first) ^ mixed(self.size.astype(np.uint64))) if n else np.empty(0, np.uint64)).view(np.int64)
+
+    @staticmethod
+    def _sorted(tokens: np.ndarray, line: np.ndarray, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct tokens of each line, the rarest first: line, level and token are one number where there is room."""
+        level = levels[tokens >> np.uint64(TOKEN_BITS - CELL_BITS)].astype(np.uint64) if levels is not None else np.zeros(len(tokens), np.uint64)
+        out, room = [], np.uint64(1 << 17)
+        # Lines in runs of 2**17, so that the number has 64 bits at most.
+        for lot in np.unique(line // room) if len(line) else ():
+            own = line // room == lot
+            packed = np.sort(line[own] % room << np.uint64(TOKEN_BITS + 6) | level[own] << np.uint64(TOKEN_BITS) | tokens[own])
+            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+            out.append((packed & np.uint64((1 << TOKEN_BITS) - 1), (packed >> np.uint64(TOKEN_BITS + 6)) + lot * room))
+        if not out:
+            return tokens, line
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
     def parity(self, k: int) -> np.ndarray:
         """Word k of 128 parity bits of each set."""
@@ -115,7 +139,7 @@ class Lines:
         return (np.bitwise_xor.reduceat(bits, self.first) if len(self.first) else np.empty(0, np.uint64)).view(np.int64)
 
     def prefixes(self, percent: int) -> list[np.ndarray]:
-        """Of each line: place << 32 | token, of prefix tokens that others may have."""
+        """Of each line: place << 32 | token, of the prefix tokens (31 bits of them) that others may have."""
         place = np.arange(len(self.tokens)) - self.first[self.line]
         length = self.size - -(-percent * self.size // 100) + 1
         use = (place < length[self.line]) & (self.level != 1)
@@ -128,7 +152,7 @@ LINE = "doc_id long, line int, start int, end int, key long, n int, p long, q lo
 
 def _lines(levels: np.ndarray, percent: int, min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_of = WordHashes()
+        hash_of = _Tokens()
         for whole in batches(frames):
             for frame in _pieces(whole):
                 x = Lines(frame["text"].tolist(), levels, hash_of, min_words)
@@ -140,7 +164,7 @@ def _lines(levels: np.ndarray, percent: int, min_words: int):
 
 def _token_sets(min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_of = WordHashes()
+        hash_of = _Tokens()
         for whole in batches(frames):
             for frame in _pieces(whole):
                 x = Lines(frame["text"].tolist(), None, hash_of, min_words)
@@ -164,38 +188,101 @@ def _confirmed(percent: int):
     return run
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of keys of classes(key, n, p, q, prefix) that pass all filters, each once."""
-    rows = classes.select("key", "n", "p", "q", F.explode("prefix").alias("t")).withColumns({"token": F.col("t").bitwiseAND(0x7FFFFFFF).cast("int"), "place": F.shiftright("t", 32).cast("int")})
-    # Sizes that may match are in the same step of 100 / percent or in the next one.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rows = rows.withColumn("step", step).drop("t")
-    small = rows.select(*[F.col(c).alias(f"{c}_a") for c in ("key", "n", "p", "q", "token", "place", "step")])
-    large = rows.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step")))).select(*[F.col(c).alias(f"{c}_b") for c in ("key", "n", "p", "q", "token", "place", "step")])
-    n_a, n_b = F.col("n_a"), F.col("n_b")
+#: Pairs whose filters are looked at in one go.
+_PAIRS = 2_000_000
+PREFIX = ("token", "doc_id", "line", "key", "n", "place", "p", "q")
+
+
+def prefixes(lines: DataFrame) -> DataFrame:
+    """A row for each prefix token of lines(doc_id, line, key, n, p, q, prefix)."""
+    rows = lines.select("doc_id", "line", "key", "n", "p", "q", F.explode("prefix").alias("t"))
+    return rows.withColumns({"token": F.col("t").bitwiseAND(0x7FFFFFFF).cast("int"), "place": F.shiftright("t", 32).cast("int")}).select(*PREFIX)
+
+
+def _passing(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (i earlier than j, same token) the filters leave."""
+    n_i, n_j, at_i, at_j = rows["n"][i], rows["n"][j], rows["place"][i], rows["place"][j]
+    both = n_i + n_j
+    small, at_small = np.minimum(n_i, n_j), np.where(n_i <= n_j, at_i, at_j)
+    good = (100 * small >= percent * np.maximum(n_i, n_j)) & ((100 + percent) * (small - at_small) >= 2 * percent * small)
+    good &= ((100 + percent) * np.minimum(n_i - at_i, n_j - at_j) >= percent * both) & (rows["key"][i] != rows["key"][j])
+    good &= (rows["doc_id"][i] != rows["doc_id"][j]) | (rows["line"][i] != rows["line"][j])
+    k = np.flatnonzero(good)
+    differ = np.bitwise_count(rows["p"][i[k]] ^ rows["p"][j[k]]).astype(np.int64) + np.bitwise_count(rows["q"][i[k]] ^ rows["q"][j[k]])
+    good[k] = (100 + percent) * differ <= (100 - percent) * both[k]
+    return good
+
+
+#: kind 0: a is an earlier candidate of b; 1: b has more candidates.
+TAKEN = "kind int, a long, b long"
+
+
+def _first_candidates(percent: int):
+    """Of frames sorted by token and rank: each row's first candidates among the earlier rows of its token."""
+
+    def taken(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = {c: frame[c].to_numpy(np.int64) for c in PREFIX if c not in "pq"} | {c: frame[c].to_numpy(np.int64).view(np.uint64) for c in "pq"}
+        token = rows["token"]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        start = np.repeat(start, np.diff(np.concatenate([start, [len(token)]])))
+        earlier = np.arange(len(token)) - start
+        upto, at = np.cumsum(earlier), 0
+        while at < len(token):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, "right")))
+            count = earlier[at:to]
+            j = np.repeat(np.arange(at, to), count)
+            i = np.repeat(start[at:to], count) + np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count)
+            good = _passing(rows, i, j, percent)
+            i, j = i[good], j[good]
+            if len(j):
+                first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+                nth = np.arange(len(j)) - np.repeat(first, np.diff(np.concatenate([first, [len(j)]])))
+                yield pd.DataFrame({"kind": 0, "a": rows["key"][i[nth < FIRST]], "b": rows["key"][j[nth < FIRST]]})
+                if (nth == FIRST).any():
+                    yield pd.DataFrame({"kind": 1, "a": 0, "b": rows["key"][j[nth == FIRST]]})
+            at = to
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in batches(frames):
+            token = frame["token"].to_numpy()
+            cut = int(np.searchsorted(token, token[-1], "left"))
+            if cut:  # what came before the last token is whole
+                yield from taken(pd.concat([*held, frame.iloc[:cut]]) if held else frame.iloc[:cut])
+                held = []
+            elif held and held[-1]["token"].iloc[-1] != token[0]:
+                yield from taken(pd.concat(held))
+                held = []
+            held.append(frame.iloc[cut:])
+        if held:
+            yield from taken(pd.concat(held))
+
+    return run
+
+
+def _all_candidates(rows: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """Every candidate (a, b) of the asked rows b among all rows a."""
+    a, b = rows.select(*[F.col(c).alias(f"{c}_a") for c in PREFIX]), asked.select(*[F.col(c).alias(f"{c}_b") for c in PREFIX])
+    n_a, n_b, i, j = F.col("n_a"), F.col("n_b"), F.col("place_a"), F.col("place_b")
+    small = F.least(n_a, n_b)
     differ = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
     met = (
-        (F.col("token_a") == F.col("token_b"))
-        & (F.col("step_a") == F.col("step_b"))
-        & ((n_a < n_b) | ((n_a == n_b) & (F.col("key_a") < F.col("key_b"))))
-        & (100 * n_a >= percent * n_b)
-        & ((100 + percent) * (1 + F.least(n_a - F.col("place_a") - 1, n_b - F.col("place_b") - 1)) >= percent * (n_a + n_b))
+        (F.struct("doc_id_a", "line_a") < F.struct("doc_id_b", "line_b"))
+        & (F.col("key_a") != F.col("key_b"))
+        & (100 * small >= percent * F.greatest(n_a, n_b))
+        & ((100 + percent) * (small - F.when(n_a <= n_b, i).otherwise(j)) >= 2 * percent * small)
+        & ((100 + percent) * F.least(n_a - i, n_b - j) >= percent * (n_a + n_b))
         & ((100 + percent) * differ <= (100 - percent) * (n_a + n_b))
     )
-    return small.join(large, met).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    return a.join(b, (F.col("token_a") == F.col("token_b")) & met).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def _semi(df: DataFrame, keys: DataFrame, condition: Column, n: int) -> DataFrame:
     return df.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, condition, "left_semi")
 
 
-def removed(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line, start and end (in characters) of every line of docs(doc_id, text) that goes."""
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = stored(docs.mapInPandas(_lines(rarity(docs), percent, min_words), LINE), "lines")
-    rank = F.struct("doc_id", "line")
-    classes = stored(lines.groupBy("key").agg(F.min(rank).alias("rank"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "p", "q", "prefix")]), "line-classes")
-    pairs = stored(candidates(classes, percent), "line-pairs")
+def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """The pairs (a, b) of keys whose full sets are similar, stored."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rank"), "key"), "wanted")
     n = wanted.count()
     ids = wanted.select(F.col("rank.doc_id").alias("__id")).distinct()
@@ -203,15 +290,35 @@ def removed(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WOR
     sets = texts.select("text").mapInPandas(_token_sets(min_words), "key long, words binary")
     sets = _semi(sets, wanted.select(F.col("key").alias("__key")), F.col("key") == F.col("__key"), n).groupBy("key").agg(F.first("words").alias("words"))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
-    similar = stored(both.select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "similar-lines")
-    ranks = wanted.select(F.col("key").alias("__key"), "rank")
-    ranked = similar.join(ranks.select(F.col("__key").alias("a"), F.col("rank").alias("rank_a")), "a").join(ranks.select(F.col("__key").alias("b"), F.col("rank").alias("rank_b")), "b")
-    later = ranked.where("rank_a <> rank_b").select(F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("__later")).distinct()
-    going = stored(classes.select("key", "rank", "copies").join(later, F.col("key") == F.col("__later"), "left").where("copies > 1 OR __later IS NOT NULL").select(F.col("key").alias("__key"), "rank", F.col("__later").isNotNull().alias("all")), "going")
+    return stored(both.select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "similar-lines")
+
+
+def removed(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, line, start and end (in characters) of every line of docs(doc_id, text) that goes."""
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = stored(docs.mapInPandas(_lines(rarity(docs), percent, min_words), LINE), "lines")
+    rank = F.struct("doc_id", "line")
+    classes = stored(lines.groupBy("key").agg(F.min(rank).alias("rank"), F.count("*").alias("copies")), "line-classes")
+    # Of equal sets only the first line's prefix is looked at. Repeated rows of one doc_id have more than one such line.
+    others = lines.select("key", "doc_id", "line").join(classes.where("copies > 1").select(F.col("key").alias("__key"), "rank"), F.col("key") == F.col("__key")).where(rank != F.col("rank")).select(F.col("doc_id").alias("__doc"), F.col("line").alias("__line"))
+    others = stored(others, "other-lines")
+    if others.count() <= BROADCAST_KEYS:
+        others = F.broadcast(others)
+    rows = prefixes(lines.join(others, (F.col("doc_id") == F.col("__doc")) & (F.col("line") == F.col("__line")), "left_anti"))
+    dealt = rows.repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    taken = stored(dealt.mapInPandas(_first_candidates(percent), TAKEN).distinct(), "taken")
+    later = _similar(docs, classes, taken.where("kind = 0").select("a", "b"), percent, min_words).select(F.col("b").alias("__later")).distinct()
+    open_ = taken.where("kind = 1").select(F.col("b").alias("__open")).join(later, F.col("__open") == F.col("__later"), "left_anti").distinct()
+    asked = stored(rows.join(open_, F.col("key") == F.col("__open"), "left_semi"), "asked")
+    n = asked.count()
+    if n:
+        rest = stored(_all_candidates(rows, F.broadcast(asked) if n <= BROADCAST_KEYS else asked, percent), "rest")
+        later = later.unionByName(_similar(docs, classes, rest, percent, min_words).select(F.col("b").alias("__later"))).distinct()
+    going = stored(classes.join(later, F.col("key") == F.col("__later"), "left").where("copies > 1 OR __later IS NOT NULL").select(F.col("key").alias("__key"), "rank", F.col("__later").isNotNull().alias("all")), "going")
     if going.count() <= BROADCAST_KEYS:
         going = F.broadcast(going)
     found = lines.select("doc_id", "line", "start", "end", "key").join(going, F.col("key") == F.col("__key"))
-    return found.where(F.col("all") | (F.struct("doc_id", "line") != F.col("rank"))).select("doc_id", "line", "start", "end")
+    return found.where(F.col("all") | (rank != F.col("rank"))).select("doc_id", "line", "start", "end")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
