@@ -63,12 +63,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered; cleared when a task has seen a million distinct words, which bounds its memory."""
+    """64-bit hashes of words (bytes), remembered; cleared when a task has seen half a million distinct words, which bounds its memory."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

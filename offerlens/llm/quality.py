@@ -45,7 +45,7 @@ class _Cells(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
         shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word)))
         cell = lambda kind, x: xxhash.xxh3_64_intdigest(f"{kind}{x}".encode("utf-8", "surrogatepass"))
@@ -109,7 +109,7 @@ class Model:
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cells = _Cells(TERMS)
     for frame in frames:
-        yield pd.DataFrame({"quality": frame["quality"], "__order": frame["__order"], "counts": [terms(t or "", cells).tobytes() for t in frame["text"]]})
+        yield pd.DataFrame({"quality": frame["quality"], "__order": frame["__order"], "counts": [terms(t or "", cells).astype(np.float16).tobytes() for t in frame["text"]]})
 
 
 def fit(labelled: DataFrame, sizes: dict[int, int], *, bank_rows: int = BANK_ROWS, seed: int = 3) -> Model:
@@ -119,10 +119,10 @@ def fit(labelled: DataFrame, sizes: dict[int, int], *, bank_rows: int = BANK_ROW
     rows = picked.select("text", "quality", "__order").mapInPandas(_counted, "quality int, __order long, counts binary").orderBy("__order").limit(2 * bank_rows).toPandas()
     if not len(rows):
         return none
-    counts = np.frombuffer(b"".join(rows["counts"]), np.float32).reshape(len(rows), TERMS)
     label = rows["quality"].to_numpy(np.float64)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 0.3).astype(np.float32)
-    x = counts * idf
+    x = np.frombuffer(b"".join(rows.pop("counts")), np.float16).reshape(len(rows), TERMS).astype(np.float32)
+    idf = (np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))) + 0.3).astype(np.float32)
+    x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rank = min(DIMENSIONS, *x.shape)
     y = x.T @ (x @ np.random.default_rng(seed).standard_normal((TERMS, rank + 8)).astype(np.float32))
@@ -131,7 +131,8 @@ def fit(labelled: DataFrame, sizes: dict[int, int], *, bank_rows: int = BANK_ROW
     q = np.linalg.qr(y)[0]
     axes = np.ascontiguousarray((q @ np.linalg.svd(x @ q, full_matrices=False)[2].T)[:, :rank]).astype(np.float32)
     model = Model(idf, axes, np.empty((0, rank)), label, np.empty(0))
-    model.bank = model.vectors(counts)
+    model.bank = x @ axes
+    model.bank /= np.maximum(np.linalg.norm(model.bank, axis=1, keepdims=True), 1e-12)
     in_bank = {v: (label == v).mean() for v in sizes}
     model.weight = np.array([sizes[v] / sum(sizes.values()) / in_bank[v] for v in label])
     return model
