@@ -38,6 +38,8 @@ COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 128, 8, 48, 12, 0.7
 #: Of 128 coordinates, a pair at the threshold agrees on so many standard deviations less than it should at the least.
 SLACK = 3.7
 PIVOTS = 3
+#: Classes of a block of a dense node in the second comparison: each class is sent once for each block of the other side.
+BLOCK_ROWS = 512
 #: Ids of documents whose sets are read again go to every task up to this number (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 400_000
 _RNG = np.random.default_rng(20)
@@ -287,8 +289,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     tally = parts.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))
     tally = tally.where(F.col("c") < F.col("all")).withColumn("__minor", F.col("all") - F.col("c"))
     mixed_nodes = parts.join(tally, "path")
-    block = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), _blocks(n, node_rows)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), _blocks(n, node_rows) - 1))
+    block = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), _blocks(n, BLOCK_ROWS)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), _blocks(n, BLOCK_ROWS) - 1))
     theirs = mixed_nodes.select("path", "key", "root", every("__minor").alias("i"), block("n").alias("j"), F.lit(0).alias("side"))
     minor = mixed_nodes.where(F.col("root") != F.col("main")).select("path", "key", "root", block("__minor").alias("i"), every("n").alias("j"), F.lit(1).alias("side"))
     large = theirs.unionByName(minor).select(F.xxhash64("path", "i", "j").alias("node"), "key", "root", "side")
