@@ -1,6 +1,6 @@
 """Substring de-duplication by hashing units of text, globally.
 
-A unit is normalised (its words in lower case, without marks and white space) and hashed; equal digests are grouped over the whole
+A unit is normalised (its words with A-Z in lower case, without ASCII marks and white space) and hashed; equal digests are grouped over the whole
 corpus; the occurrence with the least rank (doc_id, then place) stays, the others are removed, as ranges of characters of the
 original text. There are two kinds of units:
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.llm.common import WordHashes, batches, mixed, only, stored
@@ -32,21 +32,16 @@ from offerlens.llm.common import WordHashes, batches, mixed, only, stored
 MIN_WORDS, FILTER_BITS = 50, 27
 _PART_BITS = 20
 BROADCAST_DOCS = 400_000
-WORD = re.compile(r"\w+")
+#: Words are runs of ASCII letters and digits and of all other characters beyond ASCII; in bytes, what this table leaves.
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Words of segments that are hashed at once.
 BATCH_WORDS = 400_000
 
 
-class _Lower(WordHashes):
-    """Hashes of words in lower case."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-        return value
+def words_of(text: str) -> list[bytes]:
+    """A text's words with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -108,13 +103,13 @@ def _segments(text: str | None, gone: list[int] | None) -> Iterator[tuple[int, s
 
 def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int, str]], np.ndarray, np.ndarray]]:
     """A frame, its segments (row, place, text), their words and where each one's begin; some segments at a time."""
-    hash_of = _Lower()
+    hash_of = WordHashes()
     for frame in batches(frames):
         held, parts, size = [], [], 0
         for row, (text, gone) in enumerate(zip(frame["text"], frame["gone"], strict=True)):
             for place, segment in _segments(text, gone):
                 held.append((row, place, segment))
-                parts.append(hash_of.of(WORD.findall(segment)))
+                parts.append(hash_of.of(words_of(segment)))
                 size += len(parts[-1])
                 if size >= BATCH_WORDS:
                     yield frame, held, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
@@ -127,14 +122,14 @@ def _line_units(min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        hash_of = _Lower()
+        hash_of = WordHashes()
         for frame in batches(frames):
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 at = 0
                 for k, line in enumerate(text.split("\n") if text else ()):
                     # Most lines are too short by their length alone.
-                    if len(line) >= 2 * min_words - 1 and len(words := WORD.findall(line)) >= min_words:
+                    if len(line) >= 2 * min_words - 1 and len(words := words_of(line)) >= min_words:
                         digest = xxhash.xxh3_64_intdigest(hash_of.of(words).tobytes())
                         out.append((digest - (1 << 63), doc_id, k, at, at + len(line)))
                     at += len(line) + 1
@@ -173,7 +168,8 @@ def _filter(digests: DataFrame) -> np.ndarray:
     return out
 
 
-PASSAGE = "digest long, doc_id long, unit int, start int, end int"
+LINE = "digest long, doc_id long, unit int, start int, end int"
+PASSAGE = "digest long, doc_id long, start int, end int"
 
 
 def _passages(known: np.ndarray, min_words: int):
@@ -192,21 +188,33 @@ def _passages(known: np.ndarray, min_words: int):
             of = np.searchsorted(starts, place, "right") - 1
             inside = place + min_words <= starts[of + 1]
             place, of = place[inside], of[inside]
-            for s in np.unique(of):
-                row, begin, segment = held[s]
-                spans = np.array([m.span() for m in WORD.finditer(segment)], np.int64)
-                own = place[of == s]
-                first = own - starts[s]
-                yield pd.DataFrame({"digest": digest[own].view(np.int64), "doc_id": frame["doc_id"].iloc[row], "unit": begin + spans[first, 0], "start": begin + spans[first, 0], "end": begin + spans[first + min_words - 1, 1]})
+            lots = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+            doc_id, start, end = np.empty(len(place), np.int64), np.empty(len(place), np.int32), np.empty(len(place), np.int32)
+            for lo, hi in zip(lots, [*lots[1:], len(of)], strict=True):
+                row, begin, segment = held[of[lo]]
+                spans = np.array([m.span() for m in WORD.finditer(segment)], np.int32)
+                first = place[lo:hi] - starts[of[lo]]
+                doc_id[lo:hi] = frame["doc_id"].iloc[row]
+                start[lo:hi] = begin + spans[first, 0]
+                end[lo:hi] = begin + spans[first + min_words - 1, 1]
+            if len(place):
+                yield pd.DataFrame({"digest": digest[place].view(np.int64), "doc_id": doc_id, "start": start, "end": end})
 
     return run
 
 
-def _repeats(units: DataFrame, overlap: bool) -> DataFrame:
-    """doc_id, unit, start, end of all but the first occurrence of each digest; overlap: nor of those that overlap it."""
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first")
-    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") >= F.col("first.end") if overlap else F.col("unit") != F.col("first.unit"))
-    return units.join(first, F.col("digest") == F.col("__digest")).where(later).select("doc_id", "unit", "start", "end")
+def _repeated_lines(units: DataFrame) -> DataFrame:
+    """All but the first occurrence of each digest."""
+    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first")
+    return units.join(first, F.col("digest") == F.col("__digest")).where(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit", "start", "end")
+
+
+def _repeated_passages(units: DataFrame) -> DataFrame:
+    """All but the first occurrence of each digest and those that overlap it: one exchange, and a window that goes through a
+    digest's rows in order with the first one in hand, however many there are."""
+    order = Window.partitionBy("digest").orderBy("doc_id", "start").rowsBetween(Window.unboundedPreceding, 0)
+    seen = units.withColumn("first", F.first(F.struct("doc_id", "end")).over(order))
+    return seen.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.end"))).select("doc_id", "start", "end")
 
 
 def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,15 +234,15 @@ def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def removed(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and spans (start and end in characters, in order) of each document of docs(doc_id, text) that loses some."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = stored(docs.mapInPandas(_line_units(min_words), PASSAGE), "line-units")
-    gone_lines = stored(_repeats(lines, False).distinct(), "gone-lines")
+    lines = stored(docs.mapInPandas(_line_units(min_words), LINE), "line-units")
+    gone_lines = stored(_repeated_lines(lines).distinct(), "gone-lines")
     gone = gone_lines.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("unit").alias("gone"))
     if gone_lines.count() <= BROADCAST_DOCS:
         gone = F.broadcast(gone)
     rest = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "gone")
     known = _filter(rest.mapInPandas(_fingerprints(min_words), "digest long"))
-    passages = stored(rest.mapInPandas(_passages(known, min_words), PASSAGE), "passages")
-    ranges = gone_lines.select("doc_id", "start", "end").unionByName(_repeats(passages, True).select("doc_id", "start", "end"))
+    passages = rest.mapInPandas(_passages(known, min_words), PASSAGE)
+    ranges = gone_lines.select("doc_id", "start", "end").unionByName(_repeated_passages(passages))
     return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).mapInPandas(_merged, "doc_id long, spans array<struct<start: int, end: int>>")
 
 

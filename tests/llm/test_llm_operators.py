@@ -129,7 +129,7 @@ def test_components(spark):
 
 
 def brute_lines(texts, min_words=5):
-    lines = [(i, k, frozenset(w)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(w := re.findall(r"\w+", x.lower())) >= min_words]
+    lines = [(i, k, frozenset(w)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(w := re.findall(rb"[0-9a-z\x80-\xff]+", x.encode().lower())) >= min_words]
     return {(i, k) for i, k, s in lines if any((j, m) < (i, k) and 100 * len(s & r) >= 80 * len(s | r) for j, m, r in lines)}
 
 
@@ -164,7 +164,7 @@ def brute_passages(texts, n=50):
     for i, t in enumerate(texts):
         at = 0
         for k, line in enumerate((t or "").split("\n")):
-            w = tuple(x.lower() for x in re.findall(r"\w+", line))
+            w = tuple(x.encode().lower() for x in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", line))
             if len(w) >= n and first.setdefault(w, (i, k)) != (i, k):
                 gone[i].append(k)
                 spans[i].append((at, at + len(line)))
@@ -172,7 +172,7 @@ def brute_passages(texts, n=50):
     seen = {}
     for i, t in enumerate(texts):
         for begin, part in substring_dedup._segments(t, gone.get(i)):
-            m = [(x.group().lower(), begin + x.start(), begin + x.end()) for x in re.finditer(r"\w+", part)]
+            m = [(x.group().encode().lower(), begin + x.start(), begin + x.end()) for x in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", part)]
             for k in range(len(m) - n + 1):
                 key, s, e = tuple(x[0] for x in m[k : k + n]), m[k][1], m[k + n - 1][2]
                 a = seen.setdefault(key, (i, s, e))
