@@ -36,7 +36,7 @@ BROADCAST_DOCS = 400_000
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Words of segments that are hashed at once.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 150_000
 
 
 def words_of(text: str) -> list[bytes]:
