@@ -5,11 +5,13 @@ corpus; the occurrence with the least rank (doc_id, then place) stays, the other
 original text. There are two kinds of units:
 
 1. Lines (or paragraphs; they are one thing in a text without blank lines) of MIN_WORDS words or more.
-2. In what is left of a document after that, passages of MIN_WORDS words, wherever they begin: whole lines alone can't show a
-   passage that stands within different lines. Only passages that may repeat are grouped: by winnowing, a repeated passage shares a
+2. Passages of MIN_WORDS words of the whole text, wherever they begin, across lines too: whole lines alone can't show a
+   passage that stands within different lines, or runs over several. Only passages that may repeat are grouped: by winnowing, a repeated passage shares a
    fingerprint of half its words with its like, and a filter of fingerprints that occur more than once (FILTER_BITS bits, a
    bounded size; others that pass cost time, not results) says where those are. So every repeated passage is found in full.
 
+What goes is what either kind of unit says: the lines' and the passages' ranges are united at the end.
+
 A passage that overlaps the first occurrence of itself (a repeated word) isn't removed for that.
 
 Cases. Null and empty texts have no units. Rows with a null doc_id have no rank: they take no part and stay whole. Repeated rows
@@ -31,7 +33,6 @@ from offerlens.llm.common import WordHashes, batches, mixed, only, stored
 
 MIN_WORDS, FILTER_BITS = 50, 27
 _PART_BITS = 20
-BROADCAST_DOCS = 400_000
 #: Words are runs of ASCII letters and digits and of all other characters beyond ASCII; in bytes, what this table leaves.
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -82,23 +83,10 @@ def fingerprints(words: np.ndarray, min_words: int) -> np.ndarray:
     return np.concatenate([chosen[at], chosen[at][runs > min_words - half + 1]])
 
 
-def _segments(text: str | None, gone: list[int] | None) -> Iterator[tuple[int, str]]:
-    """(place, text) of what is left between lines that are gone."""
-    if not text:
-        return
-    if gone is None or not len(gone):
+def _segments(text: str | None, gone: list[int] | None = None) -> Iterator[tuple[int, str]]:
+    """(place, text) of what passages are looked for in: the whole text, whichever of its lines are gone."""
+    if text:
         yield 0, text
-        return
-    out, at, begin, without = [], 0, 0, set(map(int, gone))
-    for k, line in enumerate(text.split("\n")):
-        if k in without:
-            if at > begin:
-                out.append((begin, text[begin:at]))
-            begin = at + len(line) + 1
-        at += len(line) + 1
-    if begin < len(text):
-        out.append((begin, text[begin:]))
-    yield from out
 
 
 def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int, str]], np.ndarray, np.ndarray]]:
@@ -106,8 +94,8 @@ def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list
     hash_of = WordHashes()
     for frame in batches(frames):
         held, parts, size = [], [], 0
-        for row, (text, gone) in enumerate(zip(frame["text"], frame["gone"], strict=True)):
-            for place, segment in _segments(text, gone):
+        for row, text in enumerate(frame["text"]):
+            for place, segment in _segments(text):
                 held.append((row, place, segment))
                 parts.append(hash_of.of(words_of(segment)))
                 size += len(parts[-1])
@@ -188,7 +176,9 @@ def _passages(known: np.ndarray, min_words: int):
             of = np.searchsorted(starts, place, "right") - 1
             inside = place + min_words <= starts[of + 1]
             place, of = place[inside], of[inside]
-            lots = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+            if not len(place):
+                continue
+            lots = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             doc_id, start, end = np.empty(len(place), np.int64), np.empty(len(place), np.int32), np.empty(len(place), np.int32)
             for lo, hi in zip(lots, [*lots[1:], len(of)], strict=True):
                 row, begin, segment = held[of[lo]]
@@ -197,8 +187,7 @@ def _passages(known: np.ndarray, min_words: int):
                 doc_id[lo:hi] = frame["doc_id"].iloc[row]
                 start[lo:hi] = begin + spans[first, 0]
                 end[lo:hi] = begin + spans[first + min_words - 1, 1]
-            if len(place):
-                yield pd.DataFrame({"digest": digest[place].view(np.int64), "doc_id": doc_id, "start": start, "end": end})
+            yield pd.DataFrame({"digest": digest[place].view(np.int64), "doc_id": doc_id, "start": start, "end": end})
 
     return run
 
@@ -235,14 +224,9 @@ def removed(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and spans (start and end in characters, in order) of each document of docs(doc_id, text) that loses some."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = stored(docs.mapInPandas(_line_units(min_words), LINE), "line-units")
-    gone_lines = stored(_repeated_lines(lines).distinct(), "gone-lines")
-    gone = gone_lines.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("unit").alias("gone"))
-    if gone_lines.count() <= BROADCAST_DOCS:
-        gone = F.broadcast(gone)
-    rest = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "gone")
-    known = _filter(rest.mapInPandas(_fingerprints(min_words), "digest long"))
-    passages = rest.mapInPandas(_passages(known, min_words), PASSAGE)
-    ranges = gone_lines.select("doc_id", "start", "end").unionByName(_repeated_passages(passages))
+    known = _filter(docs.mapInPandas(_fingerprints(min_words), "digest long"))
+    passages = docs.mapInPandas(_passages(known, min_words), PASSAGE)
+    ranges = _repeated_lines(lines).select("doc_id", "start", "end").unionByName(_repeated_passages(passages))
     return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).mapInPandas(_merged, "doc_id long, spans array<struct<start: int, end: int>>")
 
 

@@ -202,6 +202,26 @@ def test_passages_match_brute_force(spark, corpus):
         assert left[i] == text
 
 
+def test_passages_that_run_across_repeated_lines_go_in_full(spark):
+    rng = random.Random(8)
+    lines = [" ".join(words(rng, n, 10**6)) for n in (30, 60, 20, 55, 70, 10)]
+    whole = "\n".join(lines)
+    texts = [f"{' '.join(words(rng, 40, 10**6))}\n{whole}", lines[1], f"one {lines[3]} two", whole, f"new words here {whole}\nand more", "\n".join(lines[2:5]) + " end"]
+    texts += ["\n".join(" ".join(words(rng, rng.randint(1, 60), 3)) for _ in range(5)) for _ in range(3)]
+    seen, gone = {}, collections.defaultdict(set)
+    for i, text in enumerate(texts):  # all windows of the whole text, as sets of characters
+        m = list(re.finditer("[0-9A-Za-z]+", text))
+        for k in range(len(m) - 49):
+            s, e = m[k].start(), m[k + 49].end()
+            first = seen.setdefault(tuple(x[0] for x in m[k : k + 50]), (i, e))
+            if first[0] != i or s >= first[1]:
+                gone[i].update(range(s, e))
+    found = {r["doc_id"]: {c for s in r["spans"] for c in range(s["start"], s["end"])} for r in substring_dedup.report(docs_of(spark, texts)).collect()}
+    assert found == {i: gone[i] for i in range(len(texts))}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(docs_of(spark, texts)).collect()}
+    assert left[3] == "" and left[4] == "new words here \nand more"
+
+
 def test_passages_of_nulls_repeats_and_nothing(spark):
     text = " ".join(f"p{i}" for i in range(60))
     rows = [(None, text), (5, text), (5, text), (6, f"x {text} y"), (8, None)]
