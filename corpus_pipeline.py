@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals or nearly equals go, and documents of which no word is left."""
-    return line_dedup.deduplicated(docs)
+    return line_dedup.deduplicated(docs, min_words=line_dedup.EVERY_LINE)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

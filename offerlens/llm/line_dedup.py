@@ -13,7 +13,9 @@
    candidates than it took, and none of which held, is then joined with all of its candidates. So none is missed.
 5. A line goes if an earlier line (by doc_id, then line number) has an equal or similar set, whether that one stays or not.
 
-Lines of fewer than MIN_WORDS words stay: by chance alone many are equal.
+Lines of fewer than min_words words aren't judged. The registered query and the pipeline judge every line that has a word
+(EVERY_LINE); MIN_WORDS is what a caller gets who says nothing. Sets of so few tokens that none but an equal one can be similar
+(least_size) have no prefix, and their keys are hashes of the words in full: they cost one aggregation.
 
 Cases. Null and empty texts have no lines that are judged. Rows with a null doc_id have no rank: they take no part and stay whole.
 Lines of repeated rows of one doc_id have one rank: they don't remove each other. Extra columns are ignored (removed) or kept
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import WordHashes, batches, mixed, only, stored
 
 PERCENT, MIN_WORDS, CELL_BITS, TOKEN_BITS, FIRST = 80, 5, 24, 41, 3
+EVERY_LINE = 1
 _PART_BITS = 16
 #: Up to so many keys (8 bytes each) go to every task; more are joined.
 BROADCAST_KEYS = 400_000
@@ -94,10 +97,17 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def least_size(percent: int) -> int:
+    """The tokens that a set has at least if another than an equal one can be similar: n of n + 1 tokens are enough."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 31
+
+
 class Lines:
     """The lines of some texts that are judged, with their token sets in the order of the prefix."""
 
-    def __init__(self, texts: list[str | None], levels: np.ndarray | None, hash_of: WordHashes, min_words: int):
+    def __init__(self, texts: list[str | None], levels: np.ndarray | None, hash_of: WordHashes, min_words: int, percent: int):
+        import xxhash
+
         doc, number, start, end, words, counts = [], [], [], [], [], []
         for i, text in enumerate(texts):
             at = 0
@@ -117,6 +127,11 @@ class Lines:
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64) if n else np.empty(0, np.int64)
         once = mixed(self.tokens)
         self.key = (mixed(np.add.reduceat(once, self.first) ^ mixed(self.size.astype(np.uint64))) if n else np.empty(0, np.uint64)).view(np.int64)
+        # TOKEN_BITS bits are too few to tell millions of lines of one word apart.
+        upto = np.cumsum(counts)
+        for i in np.flatnonzero(self.size < least_size(percent)).tolist():
+            own = words[upto[i] - counts[i] : upto[i]]
+            self.key[i] = xxhash.xxh3_64_intdigest(b" ".join(sorted(set(own)) if len(own) > 1 else own)) - (1 << 63)
 
     @staticmethod
     def _sorted(tokens: np.ndarray, line: np.ndarray, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +157,7 @@ class Lines:
         """Of each line: place << 32 | token, of the prefix tokens (31 bits of them) that others may have."""
         place = np.arange(len(self.tokens)) - self.first[self.line]
         length = self.size - -(-percent * self.size // 100) + 1
+        length[self.size < least_size(percent)] = 0
         use = (place < length[self.line]) & (self.level != 1)
         packed = (place << 32 | (self.tokens & np.uint64(0x7FFFFFFF)).astype(np.int64))[use]
         return np.split(packed, np.cumsum(np.bincount(self.line[use], minlength=len(self.size)))[:-1]) if len(self.size) else []
@@ -155,19 +171,22 @@ def _lines(levels: np.ndarray, percent: int, min_words: int):
         hash_of = _Tokens()
         for whole in batches(frames):
             for frame in _pieces(whole):
-                x = Lines(frame["text"].tolist(), levels, hash_of, min_words)
+                x = Lines(frame["text"].tolist(), levels, hash_of, min_words, percent)
                 if len(x.size):
                     yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[x.doc], "line": x.number, "start": x.begin, "end": x.end, "key": x.key, "n": x.size, "p": x.parity(0), "q": x.parity(1), "prefix": x.prefixes(percent)})
 
     return run
 
 
-def _token_sets(min_words: int):
+def _token_sets(min_words: int, percent: int):
+    # Candidates have at least so many tokens.
+    min_words = max(min_words, least_size(percent))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hash_of = _Tokens()
         for whole in batches(frames):
             for frame in _pieces(whole):
-                x = Lines(frame["text"].tolist(), None, hash_of, min_words)
+                x = Lines(frame["text"].tolist(), None, hash_of, min_words, percent)
                 if len(x.size):
                     keys, at = np.unique(x.key, return_index=True)
                     yield pd.DataFrame({"key": keys, "words": [x.tokens[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at]})
@@ -287,7 +306,7 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     n = wanted.count()
     ids = wanted.select(F.col("rank.doc_id").alias("__id")).distinct()
     texts = _semi(docs, ids, F.col("doc_id") == F.col("__id"), n)
-    sets = texts.select("text").mapInPandas(_token_sets(min_words), "key long, words binary")
+    sets = texts.select("text").mapInPandas(_token_sets(min_words, percent), "key long, words binary")
     sets = _semi(sets, wanted.select(F.col("key").alias("__key")), F.col("key") == F.col("__key"), n).groupBy("key").agg(F.first("words").alias("words"))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "similar-lines")

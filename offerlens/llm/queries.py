@@ -38,7 +38,7 @@ def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=line_dedup.EVERY_LINE)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

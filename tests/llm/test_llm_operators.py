@@ -148,6 +148,23 @@ def test_lines_match_brute_force(spark, corpus):
         assert left.get(i, "gone") == ("gone" if changed and not stay.strip() else stay)
 
 
+def test_query_and_pipeline_judge_short_lines_too(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    short = ["\n".join(" ".join(words(rng, rng.randint(0, 6), 8)) for _ in range(12)) for _ in range(20)]
+    texts = [*corpus[:20], *short, "All rights reserved\na b c d", "all rights, reserved.\na b c d e", "the", "The the the the the the", "--"]
+    expected = brute_lines(texts, 1)
+    docs = docs_of(spark, texts, extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], x["line"]) for r in found for x in r["removed"]} == expected and {(41, 0), (41, 1), (43, 0)} <= expected
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        stay = "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in expected)
+        assert left.get(i, "gone") == ("gone" if stay != text and not stay.strip() else stay)
+
+
 def test_lines_of_nulls_repeats_and_nothing(spark):
     line = "one two three four five six"
     rows = [(None, line), (5, line), (5, line), (6, f"{line}\n{line}"), (8, None)]
