@@ -7,7 +7,8 @@ document and the item are compared word by word on the hit's diagonal. A documen
 OVERLAP words or the whole item if that is shorter, agrees in SIMILARITY of its words or more.
 
 Words are runs of letters, digits and underscores, in lower case. Items of fewer than SHORTEST words are not looked for.
-Items of fewer words than a long mask spans have short masks of their own.
+Items of fewer than OVERLAP words have short masks of their own. Some mask fits every way to substitute as many words of an item of
+SHORTEST to OVERLAP words as SIMILARITY allows (a test goes through all of them), so no overlap that counts is missed.
 
 Cases. A null or empty text is clean. A null or empty item matches nothing; repeated items are found each. Repeated documents
 are judged each; a null doc_id stays null. Extra columns are ignored (contamination) or kept (clean). An empty benchmark leaves
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import WordHashes, mixed, only
 
 #: 1 is a compared position.
-LONG_MASKS = ("1110110101", "1101010111", "110110010011", "101001101101")
+LONG_MASKS = ("1110110101", "1101010111", "110110010011", "101001101101", "1111111")
 SHORT_MASKS = ("111", "1101", "1011")
 SHORTEST, OVERLAP, SIMILARITY = 5, 13, 0.8
 BLOCK_WORDS = 400_000
@@ -71,10 +72,10 @@ class Items:
         keep = [i for i, w in enumerate(words) if len(w) >= SHORTEST]
         words = [words[i] for i in keep]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
-        longest, used = max(map(len, LONG_MASKS)), {}
+        used: dict[int, str] = {}
         for k, w in enumerate(words):
             for seed, mask in enumerate((*LONG_MASKS, *SHORT_MASKS)):
-                if (seed < len(LONG_MASKS)) == (len(w) >= longest):
+                if (seed < len(LONG_MASKS)) == (len(w) >= OVERLAP):
                     used[seed] = mask
                     h = _masked(w, mask, seed)
                     found.append((h, np.full(len(h), k), np.arange(len(h))))

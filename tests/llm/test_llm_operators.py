@@ -277,6 +277,26 @@ def test_decontamination_finds_substituted_passages_and_only_those(spark):
     assert decontaminate.contamination(frame(spark, [], "doc_id long, text string"), nothing).collect() == []
 
 
+def test_masks_fit_every_allowed_substitution():
+    import xxhash
+
+    for n in range(5, 14):
+        item = [f"i{k}" for k in range(n)]
+        items = decontaminate.Items.of([1], [" ".join(item)])
+        allowed = max(k for k in range(n) if 10 * (n - k) >= 8 * n)
+        for gone in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(allowed + 2)):
+            text = ["a", *("x" if k in gone else w for k, w in enumerate(item)), "b"]
+            found = list(items.overlaps(np.array([xxhash.xxh3_64_intdigest(w) for w in text], np.uint64), np.array([0, len(text)])))
+            assert bool(found) == (len(gone) <= allowed), (n, gone)
+    # Any 13 words in a row of a longer item, too.
+    long = [f"i{k}" for k in range(20)]
+    items = decontaminate.Items.of([1], [" ".join(long)])
+    for at in range(8):
+        for gone in itertools.combinations(range(13), 2):
+            text = ["x" if k in gone else w for k, w in enumerate(long[at : at + 13])]
+            assert list(items.overlaps(np.array([xxhash.xxh3_64_intdigest(w) for w in text], np.uint64), np.array([0, 13]))), (at, gone)
+
+
 def test_decontamination_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
     rng = random.Random(3)
