@@ -4,7 +4,7 @@
    here on. A class has a signature of COORDINATES minwise tokens.
 2. Trees. A node draws one or two coordinates (1 / SIMILARITY on average) from its own path; its classes go on to the child
    that their minwise token at the coordinate names. So two classes with similarity s share about s / SIMILARITY children of
-   a node, and meet again and again if they are similar, but part soon if they aren't. All TREES trees grow level by level; a
+   a node, and meet again and again if they are similar, but part soon if they aren't. All trees grow level by level; a
    node of NODE_ROWS classes or fewer is a leaf, and lone classes are dropped. A node that keeps most of its parent's classes is
    dense: its classes are alike, and splitting it further wouldn't help.
 3. Leaves are compared exhaustively within, by one byte of each minwise token. A dense node is dealt out in blocks, each with the
@@ -14,8 +14,10 @@
    classes outside the main component and all others, block by block. This is the exact way for whatever the forest left.
 5. Components of the verified links come from alternating stars (components.py).
 
-At depth 4 a tree keeps a pair that is just similar enough together with a probability of about 0.57, so eight trees miss
-about one in a thousand of such pairs, and fewer of more similar ones.
+The number of trees follows from the depth that nodes really reach: at depth 4 a tree keeps a pair that is just similar enough
+together with a probability of about 0.57, at depth 12 of about 0.32. After TREES trees, independent ones are added until all of
+them part such a pair with a probability of MISS at most, as at the deepest level of any (trees_for: with the spread of what a pair's
+signatures agree on). More similar pairs are missed less often.
 
 Cases. Texts without words, and null ones, have an empty set, which is linked with nothing. Shorter texts than a shingle are
 one shingle. Rows with a null doc_id take part; a component's id is its least doc_id, null if it has none. Repeated rows are
@@ -24,6 +26,7 @@ one class, and all of them are kept if they have the least doc_id. Extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from offerlens.llm.common import WordHashes, ascii_words, batches, mixed, only,
 from offerlens.llm.components import components
 
 COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 128, 8, 48, 12, 0.7
+#: The chance that a pair at the threshold shares no node at the end is this at most.
+MISS = 0.001
 #: Of 128 coordinates, a pair at the threshold agrees on so many standard deviations less than it should at the least.
 SLACK = 3.7
 PIVOTS = 3
@@ -85,8 +90,8 @@ def _signed(width: int, coordinates: int):
 CHILD = "path long, key long, parent long"
 
 
-def _children(trees: int, coordinates: int, roots: int):
-    """Rows of classes with their signatures go on to the children of their node (path), or of every tree's root."""
+def _children(trees: range, coordinates: int, roots: int):
+    """Rows of classes with their signatures go on to the children of their node (path), or of the root of each of these trees."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
@@ -95,7 +100,7 @@ def _children(trees: int, coordinates: int, roots: int):
             if "path" in frame:
                 starts = [(frame["path"].to_numpy(np.int64).view(np.uint64), frame["parent"].to_numpy(np.int64))]
             else:
-                starts = [(np.full(len(frame), mixed(np.array([t + 1], np.uint64))[0]), np.full(len(frame), roots)) for t in range(trees)]
+                starts = [(np.full(len(frame), mixed(np.array([t + 1], np.uint64))[0]), np.full(len(frame), roots)) for t in trees]
             for path, parent in starts:
                 one = mixed(path ^ np.uint64(0xA5A5A5A5)) % np.uint64(coordinates)
                 other = (one + np.uint64(1) + mixed(path ^ np.uint64(0x5A5A5A5A)) % np.uint64(coordinates - 1)) % np.uint64(coordinates)
@@ -238,6 +243,20 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, pe
     return stored(both.select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "confirmed")
 
 
+def trees_for(depth: int, percent: int, coordinates: int, miss: float = MISS) -> int:
+    """How many trees part a pair at the threshold with a probability of miss at most if all nodes are as deep as that."""
+    s, agreed = percent / 100, np.arange(coordinates + 1) / coordinates
+    logs = np.array([math.lgamma(coordinates + 1) - math.lgamma(k + 1) - math.lgamma(coordinates - k + 1) + k * math.log(s) + (coordinates - k) * math.log(1 - s) if 0 < s < 1 else (0.0 if k == coordinates else -math.inf) for k in range(coordinates + 1)])
+    parted = np.zeros(coordinates + 1)
+    for _ in range(depth):  # a node has one child for the pair's sake, and a second one with probability 1/4
+        one = 1 - agreed + agreed * parted
+        parted = one * (0.75 + 0.25 * one)
+    trees = 1
+    while (np.exp(logs) * parted**trees).sum() > miss and trees < 1_000:
+        trees += 1
+    return trees
+
+
 def _blocks(n: str, node_rows: int):
     return F.ceil(F.col(n) / node_rows).cast("int")
 
@@ -249,20 +268,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     classes = stored(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     roots = classes.count()
 
-    # Trees.
-    leaves, dense = [], []
-    frontier = classes.select("key", "signature").mapInPandas(_children(trees, coordinates, roots), CHILD)
-    for depth in range(1, max_depth + 1):
-        counts = stored(frontier.groupBy("path").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1"), "counts")
-        rows = stored(frontier.drop("parent").join(counts, "path"), "level")
-        leaves.append(rows.where(F.col("n") <= node_rows).select(F.col("path").alias("node"), "key"))
-        alike = F.lit(True) if depth == max_depth else F.col("n") >= DENSE * F.col("parent")
-        large = rows.where(F.col("n") > node_rows)
-        dense.append(large.where(alike).select("path", "key", "n"))
-        more = large.where(~alike)
-        if depth == max_depth or not counts.where((F.col("n") > node_rows) & ~alike).take(1):
-            break
-        frontier = more.select("path", "key", F.col("n").alias("parent")).join(classes.select("key", "signature"), "key").mapInPandas(_children(trees, coordinates, roots), CHILD)
+    # Trees: some at first, then as many more as the deepest level asks for.
+    leaves, dense, grown, deepest = [], [], 0, 0
+    while grown < trees:
+        own = range(grown, trees)
+        frontier = classes.select("key", "signature").mapInPandas(_children(own, coordinates, roots), CHILD)
+        for depth in range(1, max_depth + 1):
+            counts = stored(frontier.groupBy("path").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1"), "counts")
+            rows = stored(frontier.drop("parent").join(counts, "path"), "level")
+            leaves.append(rows.where(F.col("n") <= node_rows).select(F.col("path").alias("node"), "key"))
+            alike = F.lit(True) if depth == max_depth else F.col("n") >= DENSE * F.col("parent")
+            large = rows.where(F.col("n") > node_rows)
+            dense.append(large.where(alike).select("path", "key", "n"))
+            more = large.where(~alike)
+            deepest = max(deepest, depth)
+            if depth == max_depth or not counts.where((F.col("n") > node_rows) & ~alike).take(1):
+                break
+            frontier = more.select("path", "key", F.col("n").alias("parent")).join(classes.select("key", "signature"), "key").mapInPandas(_children(own, coordinates, roots), CHILD)
+        grown, trees = trees, max(trees, trees_for(deepest, percent, coordinates))
     for frames in (leaves, dense):
         while len(frames) > 1:
             frames[0] = frames[0].unionByName(frames.pop())

@@ -107,6 +107,33 @@ def test_near_duplicates_of_a_large_group_and_a_chain(spark):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == brute_components(texts, 2, 80)
 
 
+def test_near_duplicates_of_isolated_pairs_in_deep_trees(spark, monkeypatch):
+    grown, children = [], near_dedup._children
+    monkeypatch.setattr(near_dedup, "_children", lambda trees, *rest: grown.append(trees) or children(trees, *rest))
+    texts, template = [], [f"t{k}" for k in range(60)]  # two of a pair share 80 of 100 words, any two others 60 of 120
+    for i in range(300):
+        for side in "ab":
+            texts.append(" ".join([*template, *(f"p{i}x{k}" for k in range(20)), *(f"{side}{i}x{k}" for k in range(10))]))
+    found = near_dedup.near_duplicates(docs_of(spark, texts), width=1, node_rows=4)
+    assert {r["doc_id"]: r["component_id"] for r in found.select("doc_id", "component_id").collect()} == {i: i - i % 2 for i in range(600)}
+    assert max(t.stop for t in grown) > near_dedup.TREES
+
+
+def test_trees_follow_the_depth():
+    needed = [near_dedup.trees_for(d, 80, 128) for d in range(1, 13)]
+    assert needed == sorted(needed) and needed[2] <= near_dedup.TREES < needed[3]
+    rng = random.Random(10)
+
+    def together(depth, agree):
+        return depth == 0 or any(agree[rng.randrange(128)] and together(depth - 1, agree) for _ in range(1 + (rng.random() < 0.25)))
+
+    missed = 0
+    for _ in range(4_000):
+        agree = [rng.random() < 0.8 for _ in range(128)]
+        missed += not any(together(8, agree) for _ in range(needed[7]))
+    assert missed <= 12
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, None), (4, ""), (None, None)]
     found = near_dedup.near_duplicates(frame(spark, rows, "doc_id long, text string"), width=2)
