@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a new one where none is set (tests in local mode)."""
+    """The folder that all executors see: spark.checkpoint.dir. There is no default: any folder that is chosen here might be one machine's own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -62,6 +61,128 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = 0x9E3779B97F4A7C13
+#: What each byte adds to a word's hash.
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            own = np.full(max(n, 2 * len(_powers[i])), x, np.uint64)
+            own[0] = 1
+            _powers[i] = np.cumprod(own)
+    return _powers[0][:n], _powers[1][:n]
+
+
+#: Bytes that are hashed at once; a longer word is hashed in one go.
+_STRETCH = 1 << 18
+
+
+class Words:
+    """The words of some texts (UTF-8), and a 64-bit hash of each: a polynomial of its bytes, finished by mixed(). All in whole arrays; nothing is kept for later calls.
+
+    table maps the bytes: what becomes a space divides words. begin and end are places in raw, which holds the texts with a
+    line feed before, between and behind them; text i starts at start[i], and its words are first[i] to first[i + 1].
+    """
+
+    def __init__(self, texts: Sequence[bytes | None], table: bytes):
+        self.raw = b"\n".join([b"", *(t or b"" for t in texts), b""])
+        self.start = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+        data = np.frombuffer(self.raw.translate(table), np.uint8)
+        inside = data != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.begin, self.end = edges[::2], edges[1::2]
+        self.first = np.searchsorted(self.begin, self.start)
+        self.hash = np.empty(len(self.begin), np.uint64)
+        at = 0
+        while at < len(self.begin):
+            low = self.begin[at]
+            to = max(at + 1, int(np.searchsorted(self.end, low + _STRETCH, "right")))
+            up, down = powers(int(self.end[to - 1] - low) + 1)
+            sums = np.zeros(len(up), np.uint64)
+            np.cumsum(_BYTE[data[low : self.end[to - 1]]] * up[:-1], out=sums[1:])
+            b, e = self.begin[at:to] - low, self.end[at:to] - low
+            self.hash[at:to] = (sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64)
+            at = to
+        self.hash = mixed(self.hash)
+
+    def characters(self) -> np.ndarray | None:
+        """How many characters stand before each byte; null where all are ASCII."""
+        if self.raw.isascii():
+            return None
+        return np.concatenate([[0], np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80)])
+
+
+#: Words of the near-duplicate contract: [^\x20\x09-\x0D]+, with A-Z lower-cased.
+SPACED = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256)).lower()
+#: Words of ASCII letters and digits and of all bytes beyond ASCII, with A-Z lower-cased.
+LETTERED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
+
+#: Bytes of the texts that are looked at together, unless one text is longer.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows with some texts of about so many bytes, or one row, and their texts as they lie in Arrow's buffer."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = [x.as_buffer() for x in batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())]
+        texts = [None if x is None else memoryview(x) for x in texts]
+        sizes = np.cumsum([1 if x is None else len(x) + 1 for x in texts])
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at), texts[at:to]
+            at = to
+
+
+def groups_of(group: np.ndarray, n_groups: int, hashes: np.ndarray, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each group by level, then hash: (hashes, level, where each group's begin; n_groups + 1 places).
+
+    One sort of one number for each hash: group, level and the hash's top bits. Where those bits don't tell two hashes of a
+    group apart, all are sorted in full.
+    """
+    if level is None:
+        level = np.zeros(len(hashes), np.uint8)
+    order = None
+    if n_groups <= 1 << 19:
+        packed = group.astype(np.uint64) << np.uint64(45) | level.astype(np.uint64) << np.uint64(39) | hashes >> np.uint64(25)
+        order = np.argsort(packed)
+        packed = packed[order]
+        if ((packed[1:] == packed[:-1]) & (hashes[order[1:]] != hashes[order[:-1]])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((hashes, level, group))
+    hashes, level, group = hashes[order], level[order], group[order]
+    own = np.ones(len(hashes), bool)
+    own[1:] = (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])
+    group = group[own]
+    return hashes[own], level[own], np.searchsorted(group, np.arange(n_groups + 1))
+
+
+def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the width-word shingles of each text, sorted, and where each text's begin.
+
+    words: hashes of all texts' words; first: where each text's begin, and the end. A text of fewer words is one shingle.
+    """
+    count = np.diff(first)
+    k = np.minimum(width, count)
+    per = np.where(count > 0, count - k + 1, 0)
+    text = np.repeat(np.arange(len(count)), per)
+    at = np.arange(len(text)) + np.repeat(first[:-1] - np.cumsum(per) + per, per)
+    out = k[text].astype(np.uint64)
+    for i in range(width):
+        use = slice(None) if not len(k) or (k[per > 0] > i).all() else np.flatnonzero(i < k[text])
+        out[use] = mixed(out[use] * np.uint64(0x9E3779B97F4A7C15) + words[at[use] + i])
+    found, _, starts = groups_of(text, len(count), out)
+    return found, starts
+
+
+#TEMP
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered; cleared when a task has seen half a million distinct words, which bounds its memory."""
 
@@ -77,7 +198,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
+def old_shingles(words: np.ndarray, width: int) -> np.ndarray:
     """The distinct hashes of width-word shingles, sorted; the whole sequence is one shingle where it is shorter; none without words."""
     n = len(words)
     if not n:

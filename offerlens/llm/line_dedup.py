@@ -1,21 +1,23 @@
 """Line de-duplication by an exact set-similarity join.
 
-1. The tokens (words between ASCII marks and white space, A-Z in lower case, as hashes of TOKEN_BITS bits) of all lines are counted
-   in 2**CELL_BITS hashed cells, a bounded table whatever the vocabulary; a token's rarity is its cell's count, with ties by
+1. The tokens (words between ASCII marks and white space, A-Z in lower case, as hashes of 64 bits) of all lines are counted in
+   2**CELL_BITS hashed cells, a bounded table whatever the vocabulary; a token's rarity is its cell's count, with ties by
    hash, so that all lines order their tokens alike.
 2. Lines with equal token sets are one class. Of each class the rarest tokens are its prefix: two sets with a Jaccard similarity
    of PERCENT / 100 share a token there. Tokens that occur once in the corpus are left out; nothing else can share them.
-3. The prefixes are dealt out and sorted by token and rank (doc_id, then line number). Of the earlier classes with the same token
-   that pass the length filter, the positional filter and a bound on the sets' difference by parity bits (all are exact; the
-   smaller set's prefix is the shorter one), each class takes the first FIRST as candidates: it matters whether there is an
-   earlier similar line, not how many, so a group of near copies gives a few pairs for each, not all pairs.
+3. The prefixes are dealt out and sorted by token and set size; a row meets those of its token whose size the length filter
+   allows, a window of the sorted rows, so no token's rows are ever held together. Of the earlier classes (by doc_id, then line number) there that pass
+   the positional filter and a bound on the sets' difference by parity bits (all are exact; the smaller set's prefix is the
+   shorter one), each class takes some FIRST as candidates: it matters whether there is an earlier similar line, not how many,
+   so a group of near copies gives a few pairs for each, not all pairs.
 4. Candidates are verified on their full token sets, which are read again from the documents. A class that has more
    candidates than it took, and none of which held, is then joined with all of its candidates. So none is missed.
-5. A line goes if an earlier line (by doc_id, then line number) has an equal or similar set, whether that one stays or not.
+5. A line goes if an earlier line has an equal or similar set, whether that one stays or not.
 
-Lines of fewer than min_words words aren't judged. The registered query and the pipeline judge every line that has a word
-(EVERY_LINE); MIN_WORDS is what a caller gets who says nothing. Sets of so few tokens that none but an equal one can be similar
-(least_size) have no prefix, and their keys are hashes of the words in full: they cost one aggregation.
+A token with more than HOT_ROWS prefix rows is dealt out in blocks, each two of which meet in a task of their own.
+
+Every line that has a word is judged (min_words=1). Sets of so few tokens that none but an equal one can be similar (least_size)
+have no prefix; they cost one aggregation.
 
 Cases. Null and empty texts have no lines that are judged. Rows with a null doc_id have no rank: they take no part and stay whole.
 Lines of repeated rows of one doc_id have one rank: they don't remove each other. Extra columns are ignored (removed) or kept
@@ -28,52 +30,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import WordHashes, batches, mixed, only, stored
+from offerlens.llm.common import LETTERED, Words, batches, groups_of, mixed, only, pieces, stored
 
-PERCENT, MIN_WORDS, CELL_BITS, TOKEN_BITS, FIRST = 80, 5, 24, 41, 3
-EVERY_LINE = 1
+PERCENT, MIN_WORDS, CELL_BITS, FIRST = 80, 1, 24, 3
+#: Bits of a token's hash in prefix rows, and of its place in the set.
+TOKEN_BITS, _PLACE_BITS = 34, 28
 _PART_BITS = 16
-#: Up to so many keys (8 bytes each) go to every task; more are joined.
-BROADCAST_KEYS = 400_000
-#: A-Z to a-z, and every ASCII character that is no letter or digit to a space; other bytes stay.
-_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
-#: Characters of the texts that are cut into lines at once.
-BATCH_CHARS = 4_000_000
-
-
-def _pieces(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows with some million characters at most, or one row."""
-    sizes = np.cumsum([len(t or "") for t in frame["text"]])
-    at = 0
-    while at < len(frame):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right")))
-        yield frame.iloc[at:to]
-        at = to
-
+#: Up to so many rows (16 bytes each) go to every task; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Prefix rows of one token that a task takes; more are dealt out in blocks.
+HOT_ROWS = 20_000
+#: The rarity level of tokens that may have so many.
+_LEVEL_HOT = int(8 + 3 * np.log2(HOT_ROWS / 8))
+#: Distinct cells that a task holds before it passes their counts on.
+_HELD_CELLS = 1 << 20
 
-class _Tokens(WordHashes):
-    """Hashes of TOKEN_BITS bits."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = super().__missing__(word) >> (64 - TOKEN_BITS)
-        return value
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each cell's tokens occur in this task, by part of the table."""
-    hash_of, table = _Tokens(), np.zeros(1 << CELL_BITS, np.int32)
-    for frame in batches(frames):
-        for part in _pieces(frame):
-            words = " ".join(t for t in part["text"] if t).encode("utf-8", "surrogatepass").translate(_TABLE).split()
-            np.add.at(table, (hash_of.of(words) >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64), 1)
-    for part in range(1 << (CELL_BITS - _PART_BITS)):
-        own = table[part << _PART_BITS : (part + 1) << _PART_BITS]
-        at = np.flatnonzero(own)
-        if len(at):
-            yield pd.DataFrame({"part": [part], "cells": [at.astype(np.uint16).tobytes()], "counts": [own[at].tobytes()]})
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        cells, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(cells)
+        cells, first = np.unique(cells[order], return_index=True)
+        return cells, np.add.reduceat(counts[order], first)
+
+    def done(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        parts, first = np.unique(cells >> _PART_BITS, return_index=True)
+        spans = list(zip(first, [*first[1:], len(cells)], strict=True))
+        low = (cells & ((1 << _PART_BITS) - 1)).astype(np.uint16)
+        return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "cells": [low[s:e].tobytes() for s, e in spans], "counts": [counts[s:e].tobytes() for s, e in spans]})
+
+    for _, texts in pieces(frames):
+        cells = np.sort(_cells(Words(texts, LETTERED).hash))
+        at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+        held.append((cells[at], np.diff(np.append(at, len(cells)))))
+        if sum(len(x[0]) for x in held) >= 2 * _HELD_CELLS:
+            held = [merged()]
+            if len(held[0][0]) >= _HELD_CELLS:
+                yield done(*held[0])
+                held = []
+    if held and len((last := merged())[0]):
+        yield done(*last)
 
 
 def _levels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +89,7 @@ def _levels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for part, cells, counts in zip(frame["part"], frame["cells"], frame["counts"], strict=True):
             own = sums.setdefault(int(part), np.zeros(1 << _PART_BITS, np.int64))
-            own[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.int32)
+            own[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.int64)
     for part, own in sums.items():
         high = 8 + np.floor(3 * np.log2(np.maximum(own, 1) / 8))
         yield pd.DataFrame({"part": [part], "levels": [np.where(own <= 8, own, np.minimum(high, 63)).astype(np.uint8).tobytes()]})
@@ -90,7 +97,7 @@ def _levels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """The level of each cell: a table of 2**CELL_BITS bytes."""
-    parts = docs.select("text").mapInPandas(_counts, "part int, cells binary, counts binary").repartition("part").mapInPandas(_levels, "part int, levels binary")
+    parts = docs.select("text").mapInArrow(_counts, "part int, cells binary, counts binary").repartition("part").mapInPandas(_levels, "part int, levels binary")
     out = np.zeros(1 << CELL_BITS, np.uint8)
     for row in parts.toLocalIterator():
         out[row["part"] << _PART_BITS : (row["part"] + 1) << _PART_BITS] = np.frombuffer(row["levels"], np.uint8)
@@ -103,93 +110,74 @@ def least_size(percent: int) -> int:
 
 
 class Lines:
-    """The lines of some texts that are judged, with their token sets in the order of the prefix."""
-
-    def __init__(self, texts: list[str | None], levels: np.ndarray | None, hash_of: WordHashes, min_words: int, percent: int):
-        import xxhash
-
-        doc, number, start, end, words, counts = [], [], [], [], [], []
-        for i, text in enumerate(texts):
-            at = 0
-            for k, line in enumerate(text.split("\n") if text else ()):
-                found = line.encode("utf-8", "surrogatepass").translate(_TABLE).split()
-                if len(found) >= min_words:
-                    doc.append(i), number.append(k), start.append(at), end.append(at + len(line)), counts.append(len(found))
-                    words += found
-                at += len(line) + 1
-        self.doc, self.number, self.begin, self.end = (np.array(x, np.int64) for x in (doc, number, start, end))
-        tokens = hash_of.of(words)
-        n = len(counts)
-        tokens, line = self._sorted(tokens, np.repeat(np.arange(n, dtype=np.uint64), counts), levels)
-        self.tokens, self.line = tokens, line.astype(np.int64)
-        self.level = levels[tokens >> np.uint64(TOKEN_BITS - CELL_BITS)] if levels is not None else np.zeros(len(tokens), np.uint8)
-        self.size = np.bincount(self.line, minlength=n)
-        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64) if n else np.empty(0, np.int64)
-        once = mixed(self.tokens)
-        self.key = (mixed(np.add.reduceat(once, self.first) ^ mixed(self.size.astype(np.uint64))) if n else np.empty(0, np.uint64)).view(np.int64)
-        # TOKEN_BITS bits are too few to tell millions of lines of one word apart.
-        upto = np.cumsum(counts)
-        for i in np.flatnonzero(self.size < least_size(percent)).tolist():
-            own = words[upto[i] - counts[i] : upto[i]]
-            self.key[i] = xxhash.xxh3_64_intdigest(b" ".join(sorted(set(own)) if len(own) > 1 else own)) - (1 << 63)
-
-    @staticmethod
-    def _sorted(tokens: np.ndarray, line: np.ndarray, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct tokens of each line, the rarest first: line, level and token are one number where there is room."""
-        level = levels[tokens >> np.uint64(TOKEN_BITS - CELL_BITS)].astype(np.uint64) if levels is not None else np.zeros(len(tokens), np.uint64)
-        out, room = [], np.uint64(1 << 17)
-        # Lines in runs of 2**17, so that the number has 64 bits at most.
-        for lot in np.unique(line // room) if len(line) else ():
-            own = line // room == lot
-            packed = np.sort(line[own] % room << np.uint64(TOKEN_BITS + 6) | level[own] << np.uint64(TOKEN_BITS) | tokens[own])
-            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-            out.append((packed & np.uint64((1 << TOKEN_BITS) - 1), (packed >> np.uint64(TOKEN_BITS + 6)) + lot * room))
-        if not out:
-            return tokens, line
-        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    """The lines of some texts that are judged, with their token sets in the order of the prefix: those of line i are tokens[first[i]:first[i + 1]]."""
+
+    def __init__(self, texts: list[bytes | None], levels: np.ndarray | None, min_words: int, percent: int):
+        self.percent = percent
+        w = Words(texts, LETTERED)
+        breaks = np.flatnonzero(np.frombuffer(w.raw, np.uint8) == 10)
+        begin, end = breaks[:-1] + 1, breaks[1:]
+        word = np.searchsorted(w.begin, breaks)
+        doc = np.searchsorted(w.start, begin, "right") - 1
+        keep = np.diff(word) >= max(1, min_words)
+        self.doc, self.number = doc[keep], (np.arange(len(doc)) - np.searchsorted(begin, w.start)[doc])[keep]
+        characters = w.characters()
+        place = (lambda at: at) if characters is None else (lambda at: characters[at])
+        of = place(w.start[self.doc])
+        self.begin, self.end = place(begin[keep]) - of, place(end[keep]) - of
+        count = np.diff(word)
+        tokens = w.hash[np.repeat(keep, count)]
+        level = levels[_cells(tokens)] if levels is not None else None
+        n = len(self.doc)
+        self.tokens, self.level, self.first = groups_of(np.repeat(np.arange(n), count[keep]), n, tokens, level)
+        self.size = np.diff(self.first)
+        self.line = np.repeat(np.arange(n), self.size)
+        sums = np.add.reduceat(mixed(self.tokens), self.first[:-1]) if n else np.empty(0, np.uint64)
+        self.key = mixed(sums ^ mixed(self.size.astype(np.uint64))).view(np.int64)
 
     def parity(self, k: int) -> np.ndarray:
         """Word k of 128 parity bits of each set."""
         bits = np.where((self.tokens >> np.uint64(6)) % np.uint64(2) == k, np.uint64(1) << (self.tokens % np.uint64(64)), np.uint64(0))
-        return (np.bitwise_xor.reduceat(bits, self.first) if len(self.first) else np.empty(0, np.uint64)).view(np.int64)
+        return (np.bitwise_xor.reduceat(bits, self.first[:-1]) if len(self.size) else np.empty(0, np.uint64)).view(np.int64)
 
-    def prefixes(self, percent: int) -> list[np.ndarray]:
-        """Of each line: place << 32 | token, of the prefix tokens (31 bits of them) that others may have."""
-        place = np.arange(len(self.tokens)) - self.first[self.line]
-        length = self.size - -(-percent * self.size // 100) + 1
-        length[self.size < least_size(percent)] = 0
+    def prefixes(self) -> pa.Array:
+        """Of each line: token and place in one number, of the prefix tokens that others may have; from 2**62 on if the token is frequent."""
+        place = np.arange(len(self.tokens)) - self.first[:-1][self.line]
+        length = self.size - -(-self.percent * self.size // 100) + 1
+        length[self.size < least_size(self.percent)] = 0
         use = (place < length[self.line]) & (self.level != 1)
-        packed = (place << 32 | (self.tokens & np.uint64(0x7FFFFFFF)).astype(np.int64))[use]
-        return np.split(packed, np.cumsum(np.bincount(self.line[use], minlength=len(self.size)))[:-1]) if len(self.size) else []
+        packed = (self.tokens >> np.uint64(64 - TOKEN_BITS)).astype(np.int64) << _PLACE_BITS | (self.level >= _LEVEL_HOT).astype(np.int64) << 62 | place
+        starts = np.concatenate([[0], np.cumsum(np.bincount(self.line[use], minlength=len(self.size)))])
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(packed[use]))
 
 
 LINE = "doc_id long, line int, start int, end int, key long, n int, p long, q long, prefix array<long>"
 
 
 def _lines(levels: np.ndarray, percent: int, min_words: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_of = _Tokens()
-        for whole in batches(frames):
-            for frame in _pieces(whole):
-                x = Lines(frame["text"].tolist(), levels, hash_of, min_words, percent)
-                if len(x.size):
-                    yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[x.doc], "line": x.number, "start": x.begin, "end": x.end, "key": x.key, "n": x.size, "p": x.parity(0), "q": x.parity(1), "prefix": x.prefixes(percent)})
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(frames):
+            x = Lines(texts, levels, min_words, percent)
+            if len(x.size):
+                short = lambda a: pa.array(a, pa.int32())
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": batch.column("doc_id").take(pa.array(x.doc)), "line": short(x.number), "start": short(x.begin), "end": short(x.end), "key": x.key, "n": short(x.size), "p": x.parity(0), "q": x.parity(1), "prefix": x.prefixes()}
+                )
 
     return run
 
 
 def _token_sets(min_words: int, percent: int):
-    # Candidates have at least so many tokens.
-    min_words = max(min_words, least_size(percent))
+    """The token sets of the lines whose numbers are wanted."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_of = _Tokens()
-        for whole in batches(frames):
-            for frame in _pieces(whole):
-                x = Lines(frame["text"].tolist(), None, hash_of, min_words, percent)
-                if len(x.size):
-                    keys, at = np.unique(x.key, return_index=True)
-                    yield pd.DataFrame({"key": keys, "words": [x.tokens[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at]})
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(frames):
+            x = Lines(texts, None, min_words, percent)
+            wanted = batch.column("__wanted")
+            rows = np.isin(x.doc << 32 | x.number, np.repeat(np.arange(len(texts)) << 32, np.diff(wanted.offsets)) | wanted.flatten().to_numpy())
+            keys, at = np.unique(x.key[rows], return_index=True)
+            at = np.flatnonzero(rows)[at]
+            yield pa.RecordBatch.from_pydict({"key": keys, "words": pa.array([x.tokens[x.first[i] : x.first[i + 1]].tobytes() for i in at], pa.binary())})
 
     return run
 
@@ -208,106 +196,125 @@ def _confirmed(percent: int):
 
 
 #: Pairs whose filters are looked at in one go.
-_PAIRS = 2_000_000
-PREFIX = ("token", "doc_id", "line", "key", "n", "place", "p", "q")
+_PAIRS = 1_000_000
+#: What a prefix row holds: node (its token, or two blocks of a hot one) and n as one number, place and line as one number, and
+#: the block of a hot token's row where it meets another block, else -1.
+PREFIX = "tn long, pl long, side int, doc_id long, key long, p long, q long"
+_COLUMNS = [c.split()[0] for c in PREFIX.split(", ")]
 
 
 def prefixes(lines: DataFrame) -> DataFrame:
     """A row for each prefix token of lines(doc_id, line, key, n, p, q, prefix)."""
+    token, place = F.shiftright(F.col("t").bitwiseAND((1 << 62) - 1), _PLACE_BITS), F.col("t").bitwiseAND((1 << _PLACE_BITS) - 1)
     rows = lines.select("doc_id", "line", "key", "n", "p", "q", F.explode("prefix").alias("t"))
-    return rows.withColumns({"token": F.col("t").bitwiseAND(0x7FFFFFFF).cast("int"), "place": F.shiftright("t", 32).cast("int")}).select(*PREFIX)
+    return rows.select(token.alias("token"), (F.col("t") >= 1 << 62).alias("frequent"), "n", F.shiftleft(place, 32).bitwiseOR(F.col("line")).alias("pl"), "doc_id", "key", "p", "q")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows by node and set size. A hot token's rows are in blocks, and block i meets block j in a node of their own; else a token is a node."""
+    tn = lambda node: F.shiftleft(node, _PLACE_BITS).bitwiseOR(F.col("n"))
+    hot = rows.where("frequent").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ROWS)
+    hot = stored(hot.select(F.col("token").alias("__hot"), F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("blocks")), "hot-tokens")
+    if not hot.take(1):
+        found = rows.select(tn(F.col("token")).alias("tn"), "pl", F.lit(-1).alias("side"), "doc_id", "key", "p", "q")
+    else:  # there are fewer hot tokens than rows / HOT_ROWS, all frequent in the corpus, so they go to every task
+        parts = rows.join(F.broadcast(hot), F.col("token") == F.col("__hot"), "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key", "token"), "blocks").cast("int"), F.lit(0)))
+        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        node = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND((1 << TOKEN_BITS) - 1)
+        found = parts.select(tn(F.when(F.col("blocks").isNull(), F.col("token")).otherwise(node)).alias("tn"), "pl", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "doc_id", "key", "p", "q")
+    return found.repartition(F.shiftright("tn", _PLACE_BITS)).sortWithinPartitions("tn")
 
 
 def _passing(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows (i earlier than j, same token) the filters leave."""
+    """Which pairs of rows (same node, compatible sizes, n of i no greater than n of j) the filters leave."""
     n_i, n_j, at_i, at_j = rows["n"][i], rows["n"][j], rows["place"][i], rows["place"][j]
-    both = n_i + n_j
-    small, at_small = np.minimum(n_i, n_j), np.where(n_i <= n_j, at_i, at_j)
-    good = (100 * small >= percent * np.maximum(n_i, n_j)) & ((100 + percent) * (small - at_small) >= 2 * percent * small)
-    good &= ((100 + percent) * np.minimum(n_i - at_i, n_j - at_j) >= percent * both) & (rows["key"][i] != rows["key"][j])
-    good &= (rows["doc_id"][i] != rows["doc_id"][j]) | (rows["line"][i] != rows["line"][j])
-    k = np.flatnonzero(good)
-    differ = np.bitwise_count(rows["p"][i[k]] ^ rows["p"][j[k]]).astype(np.int64) + np.bitwise_count(rows["q"][i[k]] ^ rows["q"][j[k]])
-    good[k] = (100 + percent) * differ <= (100 - percent) * both[k]
-    return good
+    k = np.flatnonzero(((100 + percent) * (n_i - at_i) >= 2 * percent * n_i) & ((100 + percent) * np.minimum(n_i - at_i, n_j - at_j) >= percent * (n_i + n_j)))
+    i, j = i[k], j[k]
+    good = (rows["key"][i] != rows["key"][j]) & ((rows["doc_id"][i] != rows["doc_id"][j]) | (rows["line"][i] != rows["line"][j])) & ((rows["side"][i] < 0) | (rows["side"][i] != rows["side"][j]))
+    differ = np.bitwise_count(rows["p"][i] ^ rows["p"][j]).astype(np.int64) + np.bitwise_count(rows["q"][i] ^ rows["q"][j])
+    return k[good & ((100 + percent) * differ <= (100 - percent) * (n_i + n_j)[k])]
 
 
 #: kind 0: a is an earlier candidate of b; 1: b has more candidates.
 TAKEN = "kind int, a long, b long"
 
 
-def _first_candidates(percent: int):
-    """Of frames sorted by token and rank: each row's first candidates among the earlier rows of its token."""
+def _candidates(percent: int, first: int | None):
+    """Of rows sorted by node and set size: the candidates of each among its like, or the first ones; it is held against those rows only whose sizes the length filter allows."""
 
-    def taken(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = {c: frame[c].to_numpy(np.int64) for c in PREFIX if c not in "pq"} | {c: frame[c].to_numpy(np.int64).view(np.uint64) for c in "pq"}
-        token = rows["token"]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        start = np.repeat(start, np.diff(np.concatenate([start, [len(token)]])))
-        earlier = np.arange(len(token)) - start
-        upto, at = np.cumsum(earlier), 0
-        while at < len(token):
+    def taken(columns: dict[str, np.ndarray], done: int) -> Iterator[pa.RecordBatch]:
+        tn, n = columns["tn"], columns["tn"] & ((1 << _PLACE_BITS) - 1)
+        rows = columns | {"n": n, "place": columns["pl"] >> 32, "line": columns["pl"] & 0xFFFFFFFF}
+        low = np.searchsorted(tn, (tn - n) | -(-percent * n // 100))
+        counts = np.arange(len(tn)) - low
+        counts[:done] = 0
+        upto, at = np.cumsum(counts), done
+        while at < len(tn):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, "right")))
-            count = earlier[at:to]
+            count = counts[at:to]
             j = np.repeat(np.arange(at, to), count)
-            i = np.repeat(start[at:to], count) + np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count)
-            good = _passing(rows, i, j, percent)
-            i, j = i[good], j[good]
+            i = np.repeat(low[at:to] - np.cumsum(count) + count, count) + np.arange(len(j))
+            k = _passing(rows, i, j, percent)
+            i, j = i[k], j[k]
             if len(j):
-                first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
-                nth = np.arange(len(j)) - np.repeat(first, np.diff(np.concatenate([first, [len(j)]])))
-                yield pd.DataFrame({"kind": 0, "a": rows["key"][i[nth < FIRST]], "b": rows["key"][j[nth < FIRST]]})
-                if (nth == FIRST).any():
-                    yield pd.DataFrame({"kind": 1, "a": 0, "b": rows["key"][j[nth == FIRST]]})
+                later = (rows["doc_id"][i] > rows["doc_id"][j]) | ((rows["doc_id"][i] == rows["doc_id"][j]) & (rows["line"][i] > rows["line"][j]))
+                i, j = np.where(later, j, i), np.where(later, i, j)
+                if first is not None:
+                    order = np.argsort(j, kind="stable")
+                    i, j = i[order], j[order]
+                    starts = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+                    nth = np.arange(len(j)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(j)]])))
+                    more = np.unique(rows["key"][j[nth == first]])
+                    i, j = i[nth < first], j[nth < first]
+                else:
+                    more = np.empty(0, np.int64)
+                pairs = np.unique(np.stack([rows["key"][i], rows["key"][j]], 1), axis=0)
+                kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(more)])
+                yield pa.RecordBatch.from_pydict({"kind": kind, "a": np.concatenate([pairs[:, 0], np.zeros(len(more), np.int64)]), "b": np.concatenate([pairs[:, 1], more])})
             at = to
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in batches(frames):
-            token = frame["token"].to_numpy()
-            cut = int(np.searchsorted(token, token[-1], "left"))
-            if cut:  # what came before the last token is whole
-                yield from taken(pd.concat([*held, frame.iloc[:cut]]) if held else frame.iloc[:cut])
-                held = []
-            elif held and held[-1]["token"].iloc[-1] != token[0]:
-                yield from taken(pd.concat(held))
-                held = []
-            held.append(frame.iloc[cut:])
-        if held:
-            yield from taken(pd.concat(held))
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _COLUMNS}
+            for c in "pq":
+                columns[c] = columns[c].view(np.uint64)
+            done = len(held.get("tn", ()))
+            if done:
+                columns = {c: np.concatenate([held[c], columns[c]]) for c in _COLUMNS}
+            yield from taken(columns, done)
+            # Rows to come may meet those of the last node that aren't too small.
+            last = int(columns["tn"][-1])
+            n = last & ((1 << _PLACE_BITS) - 1)
+            cut = int(np.searchsorted(columns["tn"], (last - n) | -(-percent * n // 100)))
+            held = {c: columns[c][cut:].copy() for c in _COLUMNS}
 
     return run
 
 
+def _met(rows: DataFrame, percent: int, first: int | None) -> DataFrame:
+    return stored(dealt(rows).mapInArrow(_candidates(percent, first), TAKEN).distinct(), "candidates")
+
+
 def _all_candidates(rows: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
-    """Every candidate (a, b) of the asked rows b among all rows a."""
-    a, b = rows.select(*[F.col(c).alias(f"{c}_a") for c in PREFIX]), asked.select(*[F.col(c).alias(f"{c}_b") for c in PREFIX])
-    n_a, n_b, i, j = F.col("n_a"), F.col("n_b"), F.col("place_a"), F.col("place_b")
-    small = F.least(n_a, n_b)
-    differ = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
-    met = (
-        (F.struct("doc_id_a", "line_a") < F.struct("doc_id_b", "line_b"))
-        & (F.col("key_a") != F.col("key_b"))
-        & (100 * small >= percent * F.greatest(n_a, n_b))
-        & ((100 + percent) * (small - F.when(n_a <= n_b, i).otherwise(j)) >= 2 * percent * small)
-        & ((100 + percent) * F.least(n_a - i, n_b - j) >= percent * (n_a + n_b))
-        & ((100 + percent) * differ <= (100 - percent) * (n_a + n_b))
-    )
-    return a.join(b, (F.col("token_a") == F.col("token_b")) & met).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-
-
-def _semi(df: DataFrame, keys: DataFrame, condition: Column, n: int) -> DataFrame:
-    return df.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, condition, "left_semi")
+    """Every candidate pair of the asked classes b; only rows with one of their tokens take part."""
+    n = asked.count()
+    small = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    tokens = asked.select(F.col("token").alias("__token")).distinct()
+    met = _met(rows.join(small(tokens), F.col("token") == F.col("__token"), "left_semi"), percent, None)
+    return stored(met.join(small(asked.select(F.col("key").alias("b")).distinct()), "b", "left_semi").select("a", "b"), "rest")
 
 
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
     """The pairs (a, b) of keys whose full sets are similar, stored."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rank"), "key"), "wanted")
-    n = wanted.count()
-    ids = wanted.select(F.col("rank.doc_id").alias("__id")).distinct()
-    texts = _semi(docs, ids, F.col("doc_id") == F.col("__id"), n)
-    sets = texts.select("text").mapInPandas(_token_sets(min_words, percent), "key long, words binary")
-    sets = _semi(sets, wanted.select(F.col("key").alias("__key")), F.col("key") == F.col("__key"), n).groupBy("key").agg(F.first("words").alias("words"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rank"), "key")
+    wanted = stored(wanted.groupBy(F.col("rank.doc_id").alias("__id")).agg(F.collect_list(F.col("rank.line").cast("long")).alias("__wanted")), "wanted-lines")
+    if (wanted.agg(F.sum(F.size("__wanted"))).first()[0] or 0) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, F.col("doc_id") == F.col("__id")).select("text", "__wanted")
+    sets = texts.mapInArrow(_token_sets(min_words, percent), "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "similar-lines")
 
@@ -315,26 +322,26 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
 def removed(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line, start and end (in characters) of every line of docs(doc_id, text) that goes."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = stored(docs.mapInPandas(_lines(rarity(docs), percent, min_words), LINE), "lines")
+    lines = stored(docs.mapInArrow(_lines(rarity(docs), percent, min_words), LINE), "lines")
     rank = F.struct("doc_id", "line")
     classes = stored(lines.groupBy("key").agg(F.min(rank).alias("rank"), F.count("*").alias("copies")), "line-classes")
     # Of equal sets only the first line's prefix is looked at. Repeated rows of one doc_id have more than one such line.
     others = lines.select("key", "doc_id", "line").join(classes.where("copies > 1").select(F.col("key").alias("__key"), "rank"), F.col("key") == F.col("__key")).where(rank != F.col("rank")).select(F.col("doc_id").alias("__doc"), F.col("line").alias("__line"))
     others = stored(others, "other-lines")
-    if others.count() <= BROADCAST_KEYS:
+    if others.count() <= BROADCAST_ROWS:
         others = F.broadcast(others)
-    rows = prefixes(lines.join(others, (F.col("doc_id") == F.col("__doc")) & (F.col("line") == F.col("__line")), "left_anti"))
-    dealt = rows.repartition("token").sortWithinPartitions("token", "doc_id", "line")
-    taken = stored(dealt.mapInPandas(_first_candidates(percent), TAKEN).distinct(), "taken")
+    firsts = lines.join(others, (F.col("doc_id") == F.col("__doc")) & (F.col("line") == F.col("__line")), "left_anti")
+    rows = prefixes(firsts)
+    taken = _met(rows, percent, FIRST)
     later = _similar(docs, classes, taken.where("kind = 0").select("a", "b"), percent, min_words).select(F.col("b").alias("__later")).distinct()
-    open_ = taken.where("kind = 1").select(F.col("b").alias("__open")).join(later, F.col("__open") == F.col("__later"), "left_anti").distinct()
-    asked = stored(rows.join(open_, F.col("key") == F.col("__open"), "left_semi"), "asked")
-    n = asked.count()
+    open_ = stored(taken.where("kind = 1").select(F.col("b").alias("__open")).join(later, F.col("__open") == F.col("__later"), "left_anti").distinct(), "open-classes")
+    n = open_.count()
     if n:
-        rest = stored(_all_candidates(rows, F.broadcast(asked) if n <= BROADCAST_KEYS else asked, percent), "rest")
+        asked = stored(rows.join(F.broadcast(open_) if n <= BROADCAST_ROWS else open_, F.col("key") == F.col("__open"), "left_semi").select("key", "token"), "asked")
+        rest = _all_candidates(rows, asked, percent)
         later = later.unionByName(_similar(docs, classes, rest, percent, min_words).select(F.col("b").alias("__later"))).distinct()
     going = stored(classes.join(later, F.col("key") == F.col("__later"), "left").where("copies > 1 OR __later IS NOT NULL").select(F.col("key").alias("__key"), "rank", F.col("__later").isNotNull().alias("all")), "going")
-    if going.count() <= BROADCAST_KEYS:
+    if going.count() <= BROADCAST_ROWS:
         going = F.broadcast(going)
     found = lines.select("doc_id", "line", "start", "end", "key").join(going, F.col("key") == F.col("__key"))
     return found.where(F.col("all") | (rank != F.col("rank"))).select("doc_id", "line", "start", "end")

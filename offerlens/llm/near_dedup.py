@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import WordHashes, ascii_words, batches, mixed, only, shingles, stored
+from offerlens.llm.common import WordHashes, ascii_words, batches, mixed, only, stored
+from offerlens.llm.common import old_shingles as shingles
 from offerlens.llm.components import components
 
 COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 128, 8, 48, 12, 0.7

@@ -155,7 +155,7 @@ def test_components(spark):
 # 5, lines
 
 
-def brute_lines(texts, min_words=5):
+def brute_lines(texts, min_words=1):
     lines = [(i, k, frozenset(w)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(w := re.findall(rb"[0-9a-z\x80-\xff]+", x.encode().lower())) >= min_words]
     return {(i, k) for i, k, s in lines if any((j, m) < (i, k) and 100 * len(s & r) >= 80 * len(s | r) for j, m, r in lines)}
 
@@ -181,7 +181,7 @@ def test_query_and_pipeline_judge_short_lines_too(spark, corpus, tmp_path):
     rng = random.Random(9)
     short = ["\n".join(" ".join(words(rng, rng.randint(0, 6), 8)) for _ in range(12)) for _ in range(20)]
     texts = [*corpus[:20], *short, "All rights reserved\na b c d", "all rights, reserved.\na b c d e", "the", "The the the the the the", "--"]
-    expected = brute_lines(texts, 1)
+    expected = brute_lines(texts)
     docs = docs_of(spark, texts, extra=False)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
