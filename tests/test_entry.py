@@ -13,7 +13,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("offerlens.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries()) and not any(k.startswith("op") for k in e.queries())
