@@ -196,10 +196,10 @@ def _confirmed(percent: int):
 
 
 #: Pairs whose filters are looked at in one go.
-_PAIRS = 1_000_000
+_PAIRS = 250_000
 #: What a prefix row holds: node (its token, or two blocks of a hot one) and n as one number, place and line as one number, and
-#: the block of a hot token's row where it meets another block, else -1.
-PREFIX = "tn long, pl long, side int, doc_id long, key long, p long, q long"
+#: the block of a hot token's row where it meets another block, else -1. Only candidates of rows that are asked about are given.
+PREFIX = "tn long, pl long, side int, asked boolean, doc_id long, key long, p long, q long"
 _COLUMNS = [c.split()[0] for c in PREFIX.split(", ")]
 
 
@@ -207,7 +207,7 @@ def prefixes(lines: DataFrame) -> DataFrame:
     """A row for each prefix token of lines(doc_id, line, key, n, p, q, prefix)."""
     token, place = F.shiftright(F.col("t").bitwiseAND((1 << 62) - 1), _PLACE_BITS), F.col("t").bitwiseAND((1 << _PLACE_BITS) - 1)
     rows = lines.select("doc_id", "line", "key", "n", "p", "q", F.explode("prefix").alias("t"))
-    return rows.select(token.alias("token"), (F.col("t") >= 1 << 62).alias("frequent"), "n", F.shiftleft(place, 32).bitwiseOR(F.col("line")).alias("pl"), "doc_id", "key", "p", "q")
+    return rows.select(token.alias("token"), (F.col("t") >= 1 << 62).alias("frequent"), "n", F.shiftleft(place, 32).bitwiseOR(F.col("line")).alias("pl"), F.lit(True).alias("asked"), "doc_id", "key", "p", "q")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -216,12 +216,12 @@ def dealt(rows: DataFrame) -> DataFrame:
     hot = rows.where("frequent").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ROWS)
     hot = stored(hot.select(F.col("token").alias("__hot"), F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("blocks")), "hot-tokens")
     if not hot.take(1):
-        found = rows.select(tn(F.col("token")).alias("tn"), "pl", F.lit(-1).alias("side"), "doc_id", "key", "p", "q")
+        found = rows.select(tn(F.col("token")).alias("tn"), "pl", F.lit(-1).alias("side"), "asked", "doc_id", "key", "p", "q")
     else:  # there are fewer hot tokens than rows / HOT_ROWS, all frequent in the corpus, so they go to every task
         parts = rows.join(F.broadcast(hot), F.col("token") == F.col("__hot"), "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key", "token"), "blocks").cast("int"), F.lit(0)))
         parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         node = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND((1 << TOKEN_BITS) - 1)
-        found = parts.select(tn(F.when(F.col("blocks").isNull(), F.col("token")).otherwise(node)).alias("tn"), "pl", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "doc_id", "key", "p", "q")
+        found = parts.select(tn(F.when(F.col("blocks").isNull(), F.col("token")).otherwise(node)).alias("tn"), "pl", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "asked", "doc_id", "key", "p", "q")
     return found.repartition(F.shiftright("tn", _PLACE_BITS)).sortWithinPartitions("tn")
 
 
@@ -259,6 +259,8 @@ def _candidates(percent: int, first: int | None):
             if len(j):
                 later = (rows["doc_id"][i] > rows["doc_id"][j]) | ((rows["doc_id"][i] == rows["doc_id"][j]) & (rows["line"][i] > rows["line"][j]))
                 i, j = np.where(later, j, i), np.where(later, i, j)
+                i, j = i[rows["asked"][j]], j[rows["asked"][j]]
+            if len(j):
                 if first is not None:
                     order = np.argsort(j, kind="stable")
                     i, j = i[order], j[order]
@@ -298,13 +300,13 @@ def _met(rows: DataFrame, percent: int, first: int | None) -> DataFrame:
     return stored(dealt(rows).mapInArrow(_candidates(percent, first), TAKEN).distinct(), "candidates")
 
 
-def _all_candidates(rows: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair of the asked classes b; only rows with one of their tokens take part."""
-    n = asked.count()
-    small = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
-    tokens = asked.select(F.col("token").alias("__token")).distinct()
-    met = _met(rows.join(small(tokens), F.col("token") == F.col("__token"), "left_semi"), percent, None)
-    return stored(met.join(small(asked.select(F.col("key").alias("b")).distinct()), "b", "left_semi").select("a", "b"), "rest")
+def _all_candidates(rows: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair (a, b) of the open classes b; only rows with one of their tokens take part."""
+    n = open_.count()
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    marked = rows.drop("asked").join(small(open_, n), F.col("key") == F.col("__open"), "left").withColumn("asked", F.col("__open").isNotNull()).drop("__open")
+    tokens = stored(marked.where("asked").select(F.col("token").alias("__token")).distinct(), "asked-tokens")
+    return _met(marked.join(small(tokens, tokens.count()), F.col("token") == F.col("__token"), "left_semi"), percent, None).select("a", "b")
 
 
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
@@ -335,10 +337,8 @@ def removed(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WOR
     taken = _met(rows, percent, FIRST)
     later = _similar(docs, classes, taken.where("kind = 0").select("a", "b"), percent, min_words).select(F.col("b").alias("__later")).distinct()
     open_ = stored(taken.where("kind = 1").select(F.col("b").alias("__open")).join(later, F.col("__open") == F.col("__later"), "left_anti").distinct(), "open-classes")
-    n = open_.count()
-    if n:
-        asked = stored(rows.join(F.broadcast(open_) if n <= BROADCAST_ROWS else open_, F.col("key") == F.col("__open"), "left_semi").select("key", "token"), "asked")
-        rest = _all_candidates(rows, asked, percent)
+    if open_.take(1):
+        rest = _all_candidates(rows, open_, percent)
         later = later.unionByName(_similar(docs, classes, rest, percent, min_words).select(F.col("b").alias("__later"))).distinct()
     going = stored(classes.join(later, F.col("key") == F.col("__later"), "left").where("copies > 1 OR __later IS NOT NULL").select(F.col("key").alias("__key"), "rank", F.col("__later").isNotNull().alias("all")), "going")
     if going.count() <= BROADCAST_ROWS:

@@ -192,6 +192,26 @@ def test_query_and_pipeline_judge_short_lines_too(spark, corpus, tmp_path):
         assert left.get(i, "gone") == ("gone" if stay != text and not stay.strip() else stay)
 
 
+def test_lines_with_hot_tokens_open_classes_and_few_candidate_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(7)]
+    # Lines of frequent words only; near copies of one line; many that are like several, none of which holds.
+    texts = ["\n".join(" ".join(rng.sample(common, 5) + words(rng, rng.randint(1, 3), 30)) for _ in range(15)) for _ in range(20)]
+    base = words(rng, 40, 10**6)
+    texts += [" ".join("own%d" % rng.randrange(99) if rng.random() < p else w for w in base) for p in (0.03, 0.12, 0.2) for _ in range(60)]
+    expected = brute_lines(texts)
+    seen = []
+    met = line_dedup._met
+    for hot, first in ((20_000, 3), (30, 1)):
+        monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+        monkeypatch.setattr(line_dedup, "_LEVEL_HOT", 8)
+        monkeypatch.setattr(line_dedup, "FIRST", first)
+        monkeypatch.setattr(line_dedup, "_met", lambda rows, percent, n: seen.append((n, rows.count(), (df := met(rows, percent, n)).count())) or df)
+        found = line_dedup.report(docs_of(spark, texts)).collect()
+        assert {(r["doc_id"], x["line"]) for r in found for x in r["removed"]} == expected
+    assert all(pairs <= 3 * rows for n, rows, pairs in seen if n) and any(n is None for n, _, _ in seen)
+
+
 def test_lines_of_nulls_repeats_and_nothing(spark):
     line = "one two three four five six"
     rows = [(None, line), (5, line), (5, line), (6, f"{line}\n{line}"), (8, None)]
