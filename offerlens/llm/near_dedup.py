@@ -1,17 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 1. Each document's set of word shingles is hashed; documents with equal sets are one class, which stands for them all from
-   here on. A class has a signature of COORDINATES minwise tokens.
+   here on. A class has a signature of COORDINATES minwise tokens (16 bits each), and a sketch: one bit of each.
 2. Trees. A node draws one or two coordinates (1 / SIMILARITY on average) from its own path; its classes go on to the child
    that their minwise token at the coordinate names. So two classes with similarity s share about s / SIMILARITY children of
    a node, and meet again and again if they are similar, but part soon if they aren't. All trees grow level by level; a
    node of NODE_ROWS classes or fewer is a leaf, and lone classes are dropped. A node that keeps most of its parent's classes is
-   dense: its classes are alike, and splitting it further wouldn't help.
-3. Leaves are compared exhaustively within, by one byte of each minwise token. A dense node is dealt out in blocks, each with the
-   node's pivots. Of the candidates only a spanning forest is verified at first, on the full sets; it links what is alike
-   with as many pairs as there are classes, not all pairs of a group.
-4. Candidates that still lie in different components are verified next: in leaves all of them, in dense nodes those between
-   classes outside the main component and all others, block by block. This is the exact way for whatever the forest left.
+   dense: its classes are alike, and splitting it further wouldn't help. (So are the large nodes at depth MAX_DEPTH.)
+3. Leaves are compared exhaustively within, by their sketches. A dense node is dealt out in blocks, each with the
+   node's pivots; at first a class takes part in two of its dense nodes only. Of the candidates a spanning forest is verified,
+   on the full sets; it links what is alike with as many pairs as there are classes, not all pairs of a group.
+4. Then every node is searched for candidates between classes that still lie in different components: leaves as a whole, dense
+   nodes block by block, the classes outside the main component against all. Only the classes of such candidates are given, a
+   row for each; their full sets meet in a task that verifies the candidates there and gives a spanning forest of those that
+   hold. This is the exact way for whatever the first forest left, and no step makes more rows than a node's classes times its blocks.
 5. Components of the verified links come from alternating stars (components.py).
 
 The number of trees follows from the depth that nodes really reach: at depth 4 a tree keeps a pair that is just similar enough
@@ -31,59 +33,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import WordHashes, ascii_words, batches, mixed, only, stored
-from offerlens.llm.common import old_shingles as shingles
+from offerlens.llm.common import SPACED, Words, mixed, only, pieces, shingles, stored
 from offerlens.llm.components import components
 
-COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 128, 8, 48, 12, 0.7
+COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 256, 8, 48, 12, 0.7
 #: The chance that a pair at the threshold shares no node at the end is this at most.
 MISS = 0.001
-#: Of 128 coordinates, a pair at the threshold agrees on so many standard deviations less than it should at the least.
+#: Of the sketch's bits, a pair at the threshold agrees on so many standard deviations less than it should at the least.
 SLACK = 3.7
 PIVOTS = 3
-#: Classes of a block of a dense node in the second comparison: each class is sent once for each block of the other side.
-BLOCK_ROWS = 512
+#: Classes of a block of a dense node, in the first and in the second comparison; there a class is sent once for each block of the other side.
+FIRST_ROWS, BLOCK_ROWS = 256, 512
 #: Ids of documents whose sets are read again go to every task up to this number (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 400_000
-_RNG = np.random.default_rng(20)
-_A = _RNG.integers(1, 2**63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, 1024, np.uint64)
-
-
-def signature(sets: np.ndarray, coordinates: int) -> np.ndarray:
-    """Minwise tokens (32 bits each) of a set of hashes that isn't empty."""
-    a, b, out = _A[:coordinates], _B[:coordinates], None
-    for i in range(0, len(sets), 2_048):
-        low = ((sets[i : i + 2_048, None] * a + b) >> np.uint64(32)).min(0)
-        out = low if out is None else np.minimum(out, low)
-    return out.astype(np.uint32)
+_A = np.random.default_rng(20).integers(1, 2**31, 1024, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def signatures(sets: np.ndarray, first: np.ndarray, coordinates: int) -> np.ndarray:
+    """Minwise tokens of each set of hashes; those of empty sets mean nothing."""
+    values, a = (sets >> np.uint64(32)).astype(np.uint32)[:, None], _A[:coordinates]
+    out = np.zeros((len(first) - 1, coordinates), np.uint32)
+    room = np.empty((256, coordinates), np.uint32)
+    for k, (start, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        for i in range(start, end, 256):
+            part = room[: min(256, end - i)]
+            np.multiply(values[i : i + len(part)], a, out=part)
+            out[k] = part.min(0) if i == start else np.minimum(out[k], part.min(0))
+    # The least value of a large set is small; its bits are spread again, so that any of them tells two apart.
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x2C1B3C6D)
+    out ^= out >> np.uint32(12)
+    out *= np.uint32(0x297A2D39)
+    return (out >> np.uint32(16)).astype(np.uint16)
 
 
 def set_key(sets: np.ndarray) -> int:
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(sets.tobytes())).astype(np.int64))
+    return xxhash.xxh3_64_intdigest(sets.tobytes()) - (1 << 63)
 
 
 SIGNED = "doc_id long, n_shingles long, key long, signature binary"
 
 
 def _signed(width: int, coordinates: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for frame in frames:
-            sets = [shingles(hashes.of(ascii_words(t)), width) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "key": pd.array([set_key(s) if len(s) else None for s in sets], "Int64"),
-                    "signature": [signature(s, coordinates).tobytes() if len(s) else None for s in sets],
-                }
-            )
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(frames):
+            words = Words(texts, SPACED)
+            sets, first = shingles(words.hash, words.first, width)
+            tokens, n = signatures(sets, first, coordinates), np.diff(first)
+            keys = [set_key(sets[s:e]) if e > s else None for s, e in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": n, "key": pa.array(keys, pa.int64()), "signature": pa.array([t.tobytes() if k else None for t, k in zip(tokens, n, strict=True)], pa.binary())})
 
     return run
 
@@ -94,14 +98,16 @@ CHILD = "path long, key long, parent long"
 def _children(trees: range, coordinates: int, roots: int):
     """Rows of classes with their signatures go on to the children of their node (path), or of the root of each of these trees."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            tokens = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), coordinates)
-            keys = frame["key"].to_numpy(np.int64)
-            if "path" in frame:
-                starts = [(frame["path"].to_numpy(np.int64).view(np.uint64), frame["parent"].to_numpy(np.int64))]
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            if not (n := batch.num_rows):
+                continue
+            tokens = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(n, coordinates)
+            keys = batch.column("key").to_numpy()
+            if "path" in batch.schema.names:
+                starts = [(batch.column("path").to_numpy().view(np.uint64), batch.column("parent").to_numpy())]
             else:
-                starts = [(np.full(len(frame), mixed(np.array([t + 1], np.uint64))[0]), np.full(len(frame), roots)) for t in trees]
+                starts = [(np.full(n, mixed(np.array([t + 1], np.uint64))[0]), np.full(n, roots)) for t in trees]
             for path, parent in starts:
                 one = mixed(path ^ np.uint64(0xA5A5A5A5)) % np.uint64(coordinates)
                 other = (one + np.uint64(1) + mixed(path ^ np.uint64(0x5A5A5A5A)) % np.uint64(coordinates - 1)) % np.uint64(coordinates)
@@ -109,46 +115,91 @@ def _children(trees: range, coordinates: int, roots: int):
                 for rows, picked in ((slice(None), one), (twice, other[twice])):
                     token = tokens[rows][np.arange(len(picked)), picked.astype(np.int64)].astype(np.uint64)
                     child = mixed(path[rows] * np.uint64(0x9E3779B97F4A7C15) + mixed(picked << np.uint64(32) | token))
-                    yield pd.DataFrame({"path": child.view(np.int64), "key": keys[rows], "parent": parent[rows]})
+                    yield pa.RecordBatch.from_pydict({"path": child.view(np.int64), "key": keys[rows], "parent": parent[rows]})
 
     return run
 
 
-def _groups(frames: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """Groups of equal values of a sorted column; a group may go on in the next batch."""
-    held: list[pd.DataFrame] = []
-    for frame in batches(frames):
-        cuts = np.flatnonzero(np.diff(frame[by].to_numpy())) + 1
-        starts = [0, *cuts.tolist(), len(frame)]
-        for i, (s, e) in enumerate(zip(starts, starts[1:], strict=False)):
-            part = frame.iloc[s:e]
-            if held and held[-1][by].iloc[0] != part[by].iloc[0]:
-                yield held[0] if len(held) == 1 else pd.concat(held)
-                held = []
-            held.append(part)
-            if i < len(starts) - 2:
-                yield held[0] if len(held) == 1 else pd.concat(held)
-                held = []
-    if held:
-        yield held[0] if len(held) == 1 else pd.concat(held)
+def _sketched(coordinates: int):
+    """A bit of each minwise token, as whole numbers of 64 bits."""
 
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            if n := batch.num_rows:
+                bits = np.packbits(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(n, coordinates) >> 15, axis=1)
+                bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
+                yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": batch.column("n"), "sketch": pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), bits.shape[1] // 8).cast(pa.list_(pa.int64()))})
 
-def _agreement(group: pd.DataFrame, coordinates: int, percent: int) -> np.ndarray:
-    """How many coordinates each two classes agree on; -1 where their sizes rule them out."""
-    tokens = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), coordinates)
-    n = group["n"].to_numpy()
-    same = np.zeros((len(group), len(group)), np.int16)
-    for i in range(len(group) - 1):
-        same[i, i + 1 :] = (tokens[i + 1 :] == tokens[i]).sum(1)
-    same += same.T
-    same[np.minimum.outer(n, n) * 100 < percent * np.maximum.outer(n, n)] = -1
-    np.fill_diagonal(same, -1)
-    return same
+    return run
 
 
-def least_agreement(coordinates: int, percent: int) -> int:
-    p = percent / 100
-    return int(coordinates * p - SLACK * (coordinates * p * (1 - p)) ** 0.5)
+SKETCH = "key long, n long, sketch array<long>"
+
+
+def most_differing(coordinates: int, percent: int) -> int:
+    """How many bits of their sketches two classes at the threshold differ in at the most."""
+    p = (1 - percent / 100) / 2
+    return int(coordinates * p + SLACK * (coordinates * p * (1 - p)) ** 0.5)
+
+
+class Node:
+    """The classes of one node: a row for each, without repeats of one side."""
+
+    def __init__(self, rows: pa.Table):
+        self.node = rows.column("node")[0].as_py()
+        at = np.unique(rows.column("key").to_numpy(), return_index=True)[1]
+        if "side" in rows.schema.names:  # a class outside the main component stands on both sides
+            at = np.unique(np.stack([rows.column("key").to_numpy(), rows.column("side").to_numpy()]), axis=1, return_index=True)[1]
+        self.rows = rows.take(pa.array(at)).combine_chunks()
+        self.key, self.n = self.of("key"), self.of("n")
+        self.sketch = self.rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(at), -1)
+
+    def of(self, column: str) -> np.ndarray:
+        return self.rows.column(column).to_numpy()
+
+    def differ(self, of: np.ndarray, percent: int) -> np.ndarray:
+        """In how many bits the sketches of these rows differ from every other one's; a large number where the sizes rule a pair out."""
+        out = np.zeros((len(of), len(self.key)), np.int32)
+        for k in range(self.sketch.shape[1]):
+            out += np.bitwise_count(self.sketch[of, k, None] ^ self.sketch[None, :, k])
+        n = self.n
+        out[np.minimum(n[of, None], n[None]) * 100 < percent * np.maximum(n[of, None], n[None])] = 1 << 20
+        out[self.key[of, None] == self.key[None]] = 1 << 20
+        return out
+
+    def crossing(self, percent: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """A row and the rows of other components, and of the other side if there are sides, that it is a candidate with; some rows at a time."""
+        root, side = self.of("root"), self.of("side")
+        for start in range(0, len(self.key), 256):
+            of = np.arange(start, min(start + 256, len(self.key)))
+            of = of[side[of] != 0]
+            fits = (self.differ(of, percent) <= most) & (root[of, None] != root[None]) & ((side[of, None] < 0) | (side[None] == 0))
+            for i in np.flatnonzero(fits.any(1)):
+                yield int(of[i]), np.flatnonzero(fits[i])
+
+
+def nodes(frames: Iterator[pa.RecordBatch]) -> Iterator[Node]:
+    """The nodes of two classes or more, of rows sorted by node; a node's rows may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in frames:
+        if not batch.num_rows:
+            continue
+        of = batch.column("node").to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for i, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if held and held[-1].column("node")[0].as_py() != of[start]:
+                if sum(x.num_rows for x in held) > 1:
+                    yield Node(pa.Table.from_batches(held))
+                held = []
+            if i == len(cuts) - 2:
+                held.append(batch.slice(start))
+            elif held or end - start > 1:
+                yield Node(pa.Table.from_batches([*held, batch.slice(start, end - start)]))
+                held = []
+            else:
+                held = []
+    if sum(x.num_rows for x in held) > 1:
+        yield Node(pa.Table.from_batches(held))
 
 
 #: kind 0: a candidate pair of classes; 1: a node (a) that has more of them.
@@ -157,62 +208,95 @@ PAIR = "kind int, a long, b long"
 
 def _forest(coordinates: int, percent: int):
     """Of each node: a spanning forest of its candidates, the most alike first; and its id if it has more of them."""
-    least = least_agreement(coordinates, percent)
+    most = most_differing(coordinates, percent)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for group in _groups(frames, "node"):
-            if len(group) < 2:
-                continue
-            group = group.drop_duplicates("key")
-            same, keys = _agreement(group, coordinates, percent), group["key"].to_numpy()
-            n_pairs, n_forest = int((same >= least).sum()) // 2, 0
-            if not n_pairs:
+        for x in nodes(frames):
+            differ = x.differ(np.arange(len(x.key)), percent)
+            near = (differ <= most).sum(1)
+            if not near.any():
                 continue
-            best, by, todo = np.full(len(keys), -1), np.full(len(keys), -1), np.ones(len(keys), bool)
-            for _ in range(len(keys)):
-                at = int(np.where(todo, best, -2).argmax())
-                if best[at] >= least:
+            rows = np.flatnonzero(near)
+            differ, keys, n_forest = differ[np.ix_(rows, rows)], x.key[rows], 0
+            best, by, todo = np.full(len(rows), 1 << 20), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+            for _ in range(len(rows)):
+                at = int(np.where(todo, best, 1 << 21).argmin())
+                if best[at] <= most:
                     out.append((0, int(keys[by[at]]), int(keys[at])))
                     n_forest += 1
                 todo[at] = False
-                nearer = todo & (same[at] > best)
-                best[nearer], by[nearer] = same[at][nearer], at
-            if n_pairs > n_forest:
-                out.append((1, int(group["node"].iloc[0]), 0))
+                nearer = todo & (differ[at] < best)
+                best[nearer], by[nearer] = differ[at][nearer], at
+            if near.sum() // 2 > n_forest:
+                out.append((1, x.node, 0))
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["kind", "a", "b"])
+                yield from rows_of(out)
                 out = []
-        if out:
-            yield pd.DataFrame(out, columns=["kind", "a", "b"])
+        yield from rows_of(out)
 
     return run
 
 
-def _between(coordinates: int, percent: int):
-    """Of each node: all candidates between different components, and different sides if there are such."""
-    least = least_agreement(coordinates, percent)
+def rows_of(pairs: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        kind, a, b = zip(*pairs, strict=True)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": a, "b": b})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, "node"):
-            root, side = group["root"].to_numpy(), group["side"].to_numpy()
-            if len(group) < 2 or (root == root[0]).all():
-                continue
-            fits = (_agreement(group, coordinates, percent) >= least) & (root[:, None] != root[None, :]) & ((side[:, None] != side[None, :]) | (side < 0))
-            i, j = np.nonzero(np.triu(fits))
-            keys = group["key"].to_numpy()
-            if len(i):
-                yield pd.DataFrame({"a": keys[i], "b": keys[j]})
+
+MEMBER = "node long, key long, root long, side int, n long, sketch array<long>"
+
+
+def _crossing(coordinates: int, percent: int):
+    """Of each node: the rows that are candidates with a row of another component."""
+    most = most_differing(coordinates, percent)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in nodes(frames):
+            found = np.zeros(len(x.key), bool)
+            for i, others in x.crossing(percent, most):
+                found[i] = True
+                found[others] = True
+            if found.any():
+                yield from x.rows.select([c.split()[0] for c in MEMBER.split(", ")]).filter(pa.array(found)).to_batches()
+
+    return run
+
+
+def _verified(coordinates: int, percent: int):
+    """Of each node: a spanning forest of the candidates between components whose full sets are similar."""
+    most = most_differing(coordinates, percent)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in nodes(frames):
+            root, sets = x.of("root").copy(), [np.frombuffer(w.as_buffer(), np.uint64) for w in x.rows.column("words")]
+            out = []
+            for i, others in x.crossing(percent, most):
+                others = others[root[others] != root[i]]
+                if not len(others):
+                    continue
+                n = np.array([len(sets[j]) for j in others])
+                every = np.concatenate([sets[j] for j in others])
+                at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(n) - n)
+                for j in others[100 * both >= percent * (n + len(sets[i]) - both)]:
+                    if root[i] != root[j]:
+                        out.append((int(x.key[i]), int(x.key[j])))
+                        root[root == root[j]] = root[i]
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     return run
 
 
 def _sets(width: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for frame in frames:
-            sets = [s for t in frame["text"] if len(s := shingles(hashes.of(ascii_words(t)), width))]
-            yield pd.DataFrame({"key": np.array([set_key(s) for s in sets], np.int64), "words": [s.tobytes() for s in sets]})
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(frames):
+            words = Words(texts, SPACED)
+            sets, first = shingles(words.hash, words.first, width)
+            own = {set_key(x): x.tobytes() for s, e in zip(first[:-1], first[1:], strict=True) if len(x := sets[s:e])}
+            yield pa.RecordBatch.from_pydict({"key": pa.array(own.keys(), pa.int64()), "words": pa.array(own.values(), pa.binary())})
 
     return run
 
@@ -230,16 +314,20 @@ def _confirmed(percent: int):
     return run
 
 
+def _full_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """key and words (its sorted hashes) of these classes, read again from a document of each."""
+    wanted = stored(keys.join(classes.select("key", "first_id"), "key"), "wanted").select(F.col("key").alias("__key"), F.col("first_id").alias("__id"))
+    small = wanted.count() <= BROADCAST_IDS
+    ids, own = wanted.select("__id").distinct(), wanted.select("__key")
+    texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(width), "key long, words binary")
+    return sets.join(F.broadcast(own) if small else own, F.col("key") == F.col("__key"), "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+
+
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough, stored."""
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = stored(keys.join(classes.select("key", "first_id"), "key"), "wanted").select(F.col("key").alias("__key"), F.col("first_id").alias("__id"))
-    ids = wanted.select("__id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = texts.mapInPandas(_sets(width), "key long, words binary").join(wanted, F.col("key") == F.col("__key"), "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    sets = _full_sets(docs, classes, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("key")).distinct(), width)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInPandas(_confirmed(percent), "a long, b long"), "confirmed")
 
@@ -258,14 +346,10 @@ def trees_for(depth: int, percent: int, coordinates: int, miss: float = MISS) ->
     return trees
 
 
-def _blocks(n: str, node_rows: int):
-    return F.ceil(F.col(n) / node_rows).cast("int")
-
-
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = TREES, node_rows: int = NODE_ROWS, max_depth: int = MAX_DEPTH, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text)."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = stored(docs.mapInPandas(_signed(width, coordinates), SIGNED), "signed")
+    signed = stored(docs.mapInArrow(_signed(width, coordinates), SIGNED), "signed")
     classes = stored(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     roots = classes.count()
 
@@ -273,7 +357,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     leaves, dense, grown, deepest = [], [], 0, 0
     while grown < trees:
         own = range(grown, trees)
-        frontier = classes.select("key", "signature").mapInPandas(_children(own, coordinates, roots), CHILD)
+        frontier = classes.select("key", "signature").mapInArrow(_children(own, coordinates, roots), CHILD)
         for depth in range(1, max_depth + 1):
             counts = stored(frontier.groupBy("path").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1"), "counts")
             rows = stored(frontier.drop("parent").join(counts, "path"), "level")
@@ -285,42 +369,45 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
             deepest = max(deepest, depth)
             if depth == max_depth or not counts.where((F.col("n") > node_rows) & ~alike).take(1):
                 break
-            frontier = more.select("path", "key", F.col("n").alias("parent")).join(classes.select("key", "signature"), "key").mapInPandas(_children(own, coordinates, roots), CHILD)
+            frontier = more.select("path", "key", F.col("n").alias("parent")).join(classes.select("key", "signature"), "key").mapInArrow(_children(own, coordinates, roots), CHILD)
         grown, trees = trees, max(trees, trees_for(deepest, percent, coordinates))
     for frames in (leaves, dense):
         while len(frames) > 1:
             frames[0] = frames[0].unionByName(frames.pop())
     leaves, dense = leaves[0], dense[0]
 
-    # Forests.
-    sketches = classes.mapInPandas(_sketched(coordinates), "key long, n long, sketch binary")
+    # A first forest: every leaf, and of each class two dense nodes, dealt out in blocks that share some pivots.
+    sketches = stored(classes.mapInArrow(_sketched(coordinates), SKETCH), "sketches")
+    blocks = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
+    every = lambda n, rows: F.explode(F.sequence(F.lit(0), blocks(n, rows) - 1))
+    chosen = dense.groupBy("key").agg(F.array_distinct(F.array(F.min("path"), F.max("path"))).alias("paths")).select(F.explode("paths").alias("path"), "key")
+    firsts = chosen.groupBy("path").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key"))["key"].alias(f"p{i}") for i in range(PIVOTS)])
     of_block = lambda block: F.xxhash64("path", block)
-    dealt = dense.select(of_block(F.pmod(F.xxhash64("key", "path"), _blocks("n", node_rows)).cast("int")).alias("node"), "key")
-    firsts = dense.groupBy("path").agg(F.max("n").alias("n"), *[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key"))["key"].alias(f"p{i}") for i in range(PIVOTS)])
-    pivots = firsts.select("path", F.explode(F.sequence(F.lit(0), _blocks("n", node_rows) - 1)).alias("block"), F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("p")).select(of_block("block").alias("node"), F.explode("p").alias("key"))
+    dealt = chosen.join(firsts.select("path", "n"), "path").select(of_block(F.pmod(F.xxhash64("key", "path"), blocks("n", FIRST_ROWS)).cast("int")).alias("node"), "key")
+    pivots = firsts.select("path", every("n", FIRST_ROWS).alias("block"), F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("p")).select(of_block("block").alias("node"), F.explode("p").alias("key"))
     members = leaves.unionByName(dealt).unionByName(pivots)
-    met = members.join(sketches, "key").repartition("node").sortWithinPartitions("node")
-    pairs = stored(met.mapInPandas(_forest(coordinates, percent), PAIR), "forest")
+    met = members.join(sketches, "key").select("node", "key", "n", "sketch").repartition("node").sortWithinPartitions("node")
+    pairs = stored(met.mapInArrow(_forest(coordinates, percent), PAIR), "forest")
     links = _links(docs, classes, pairs.where("kind = 0").select("a", "b"), width, percent)
-    roots_of = components(links)
+    roots_of = components(links).withColumnRenamed("node", "node_")
+    rooted = lambda df: df.join(roots_of, F.col("key") == F.col("node_"), "left").withColumn("root", F.coalesce("root", "key")).drop("node_")
 
     # What still lies in different components.
-    rooted = lambda df: df.join(roots_of, F.col("key") == F.col("node_"), "left").withColumn("root", F.coalesce("root", "key")).drop("node_")
-    roots_of = roots_of.withColumnRenamed("node", "node_")
     again = pairs.where("kind = 1").select(F.col("a").alias("node")).distinct()
     small = rooted(leaves.join(again, "node", "left_semi")).withColumn("side", F.lit(-1))
     parts = rooted(dense)
     tally = parts.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))
     tally = tally.where(F.col("c") < F.col("all")).withColumn("__minor", F.col("all") - F.col("c"))
     mixed_nodes = parts.join(tally, "path")
-    block = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), _blocks(n, BLOCK_ROWS)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), _blocks(n, BLOCK_ROWS) - 1))
-    theirs = mixed_nodes.select("path", "key", "root", every("__minor").alias("i"), block("n").alias("j"), F.lit(0).alias("side"))
-    minor = mixed_nodes.where(F.col("root") != F.col("main")).select("path", "key", "root", block("__minor").alias("i"), every("n").alias("j"), F.lit(1).alias("side"))
+    block = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), blocks(n, BLOCK_ROWS)).cast("int")
+    theirs = mixed_nodes.select("path", "key", "root", every("__minor", BLOCK_ROWS).alias("i"), block("n").alias("j"), F.lit(0).alias("side"))
+    minor = mixed_nodes.where(F.col("root") != F.col("main")).select("path", "key", "root", block("__minor").alias("i"), every("n", BLOCK_ROWS).alias("j"), F.lit(1).alias("side"))
     large = theirs.unionByName(minor).select(F.xxhash64("path", "i", "j").alias("node"), "key", "root", "side")
     met = small.select("node", "key", "root", "side").unionByName(large).join(sketches, "key").repartition("node").sortWithinPartitions("node")
-    rest = met.mapInPandas(_between(coordinates, percent), "a long, b long")
-    more_links = _links(docs, classes, rest, width, percent)
+    crossing = stored(met.mapInArrow(_crossing(coordinates, percent), MEMBER), "crossing")
+    sets = _full_sets(docs, classes, crossing.select("key").distinct(), width)
+    met = crossing.join(sets, "key").repartition("node").sortWithinPartitions("node")
+    more_links = stored(met.mapInArrow(_verified(coordinates, percent), "a long, b long"), "more-links")
     if more_links.take(1):
         roots_of = components(links.unionByName(more_links)).withColumnRenamed("node", "node_")
 
@@ -333,15 +420,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _sketched(coordinates: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            low = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), coordinates).astype(np.uint8)
-            yield pd.DataFrame({"key": frame["key"], "n": frame["n"], "sketch": [x.tobytes() for x in low]})
-
-    return run
-
-
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay: one of each component, its least doc_id (repeated rows of it once), and all without a doc_id."""
     found = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
