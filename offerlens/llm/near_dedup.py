@@ -145,17 +145,12 @@ def most_differing(coordinates: int, percent: int) -> int:
 class Node:
     """The classes of one node: a row for each, without repeats of one side."""
 
-    def __init__(self, rows: pa.Table):
-        self.node = rows.column("node")[0].as_py()
-        at = np.unique(rows.column("key").to_numpy(), return_index=True)[1]
-        if "side" in rows.schema.names:  # a class outside the main component stands on both sides
-            at = np.unique(np.stack([rows.column("key").to_numpy(), rows.column("side").to_numpy()]), axis=1, return_index=True)[1]
-        self.rows = rows.take(pa.array(at)).combine_chunks()
-        self.key, self.n = self.of("key"), self.of("n")
-        self.sketch = self.rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(at), -1)
-
-    def of(self, column: str) -> np.ndarray:
-        return self.rows.column(column).to_numpy()
+    def __init__(self, columns: dict[str, np.ndarray]):
+        both = np.stack([columns["key"], columns["side"]]) if "side" in columns else columns["key"][None]
+        at = np.unique(both, axis=1, return_index=True)[1]
+        self.columns = {c: x[at] for c, x in columns.items()}
+        self.key, self.n, self.sketch = self.columns["key"], self.columns["n"], self.columns["sketch"]
+        self.node = int(self.columns["node"][0])
 
     def differ(self, of: np.ndarray, percent: int) -> np.ndarray:
         """In how many bits the sketches of these rows differ from every other one's; a large number where the sizes rule a pair out."""
@@ -169,7 +164,7 @@ class Node:
 
     def crossing(self, percent: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
         """A row and the rows of other components, and of the other side if there are sides, that it is a candidate with; some rows at a time."""
-        root, side = self.of("root"), self.of("side")
+        root, side = self.columns["root"], self.columns["side"]
         for start in range(0, len(self.key), 256):
             of = np.arange(start, min(start + 256, len(self.key)))
             of = of[side[of] != 0]
@@ -178,28 +173,53 @@ class Node:
                 yield int(of[i]), np.flatnonzero(fits[i])
 
 
-def nodes(frames: Iterator[pa.RecordBatch]) -> Iterator[Node]:
-    """The nodes of two classes or more, of rows sorted by node; a node's rows may go on in the next batch."""
+#: Pairs of small nodes' rows that are looked at in one go.
+_PAIRS = 250_000
+
+
+def _promising(x: dict[str, np.ndarray], starts: np.ndarray, percent: int, most: int) -> np.ndarray:
+    """Which groups of rows hold a candidate pair, of different components if there are such. Large groups are taken to."""
+    size = np.diff(starts)
+    found = size > 2 * NODE_ROWS
+    group = np.repeat(np.arange(len(size)), size)
+    counts = np.where(found[group], 0, np.arange(len(group)) - starts[:-1][group])
+    upto, at = np.cumsum(counts), 0
+    while at < len(group):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, "right")))
+        j = np.repeat(np.arange(at, to), counts[at:to])
+        i = np.arange(len(j)) + np.repeat(starts[:-1][group[at:to]] - np.cumsum(counts[at:to]) + counts[at:to], counts[at:to])
+        good = (np.minimum(x["n"][i], x["n"][j]) * 100 >= percent * np.maximum(x["n"][i], x["n"][j])) & (x["key"][i] != x["key"][j])
+        if "root" in x:
+            good &= x["root"][i] != x["root"][j]
+        i, j = i[good], j[good]
+        found[group[j[np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]).sum(1) <= most]]] = True
+        at = to
+    return np.flatnonzero(found)
+
+
+def nodes(frames: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[Node]:
+    """The nodes with a candidate pair, and all large ones, of rows sorted by node; a node's rows may go on in the next batch."""
     held: list[pa.RecordBatch] = []
+
+    def found(batches: list[pa.RecordBatch]) -> Iterator[Node]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        x = {c: table.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in table.schema.names if c != "sketch"}
+        x["sketch"] = table.column("sketch").chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+        starts = np.concatenate([[0], np.flatnonzero(x["node"][1:] != x["node"][:-1]) + 1, [len(table)]])
+        for k in _promising(x, starts, percent, most).tolist():
+            yield Node({c: v[starts[k] : starts[k + 1]] for c, v in x.items()})
+
     for batch in frames:
-        if not batch.num_rows:
-            continue
-        of = batch.column("node").to_numpy()
-        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-        for i, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if held and held[-1].column("node")[0].as_py() != of[start]:
-                if sum(x.num_rows for x in held) > 1:
-                    yield Node(pa.Table.from_batches(held))
-                held = []
-            if i == len(cuts) - 2:
-                held.append(batch.slice(start))
-            elif held or end - start > 1:
-                yield Node(pa.Table.from_batches([*held, batch.slice(start, end - start)]))
-                held = []
-            else:
+        if batch.num_rows:
+            of = batch.column("node").to_numpy()
+            last = int(np.flatnonzero(of == of[-1])[0])
+            if last or (held and held[-1].column("node")[-1].as_py() != of[0]):
+                done = [*held, *([batch.slice(0, last)] if last else [])]
+                yield from found(done)
                 held = []
-    if sum(x.num_rows for x in held) > 1:
-        yield Node(pa.Table.from_batches(held))
+            held.append(batch.slice(last))
+    if held:
+        yield from found(held)
 
 
 #: kind 0: a candidate pair of classes; 1: a node (a) that has more of them.
@@ -212,7 +232,7 @@ def _forest(coordinates: int, percent: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for x in nodes(frames):
+        for x in nodes(frames, percent, most):
             differ = x.differ(np.arange(len(x.key)), percent)
             near = (differ <= most).sum(1)
             if not near.any():
@@ -252,13 +272,15 @@ def _crossing(coordinates: int, percent: int):
     most = most_differing(coordinates, percent)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in nodes(frames):
+        for x in nodes(frames, percent, most):
             found = np.zeros(len(x.key), bool)
             for i, others in x.crossing(percent, most):
                 found[i] = True
                 found[others] = True
             if found.any():
-                yield from x.rows.select([c.split()[0] for c in MEMBER.split(", ")]).filter(pa.array(found)).to_batches()
+                own = {c: v[found] for c, v in x.columns.items()}
+                own["sketch"] = pa.FixedSizeListArray.from_arrays(pa.array(own["sketch"].view(np.int64).ravel()), x.sketch.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({c.split()[0]: own[c.split()[0]] for c in MEMBER.split(", ")})
 
     return run
 
@@ -268,8 +290,8 @@ def _verified(coordinates: int, percent: int):
     most = most_differing(coordinates, percent)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in nodes(frames):
-            root, sets = x.of("root").copy(), [np.frombuffer(w.as_buffer(), np.uint64) for w in x.rows.column("words")]
+        for x in nodes(frames, percent, most):
+            root, sets = x.columns["root"].copy(), [np.frombuffer(w, np.uint64) for w in x.columns["words"]]
             out = []
             for i, others in x.crossing(percent, most):
                 others = others[root[others] != root[i]]
