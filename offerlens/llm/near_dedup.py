@@ -40,14 +40,14 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import SPACED, Words, mixed, only, pieces, shingles, stored
 from offerlens.llm.components import components
 
-COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 256, 8, 48, 12, 0.7
+COORDINATES, TREES, NODE_ROWS, MAX_DEPTH, DENSE = 256, 8, 512, 12, 0.7
 #: The chance that a pair at the threshold shares no node at the end is this at most.
 MISS = 0.001
 #: Of the sketch's bits, a pair at the threshold agrees on so many standard deviations less than it should at the least.
 SLACK = 3.7
 PIVOTS = 3
 #: Classes of a block of a dense node, in the first and in the second comparison; there a class is sent once for each block of the other side.
-FIRST_ROWS, BLOCK_ROWS = 256, 512
+FIRST_ROWS, BLOCK_ROWS = 512, 512
 #: Ids of documents whose sets are read again go to every task up to this number (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 400_000
 _A = np.random.default_rng(20).integers(1, 2**31, 1024, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -173,14 +173,14 @@ class Node:
                 yield int(of[i]), np.flatnonzero(fits[i])
 
 
-#: Pairs of small nodes' rows that are looked at in one go.
-_PAIRS = 250_000
+#: Nodes of so many rows are small; pairs of small nodes' rows that are looked at in one go.
+_SMALL, _PAIRS = 64, 250_000
 
 
 def _promising(x: dict[str, np.ndarray], starts: np.ndarray, percent: int, most: int) -> np.ndarray:
     """Which groups of rows hold a candidate pair, of different components if there are such. Large groups are taken to."""
     size = np.diff(starts)
-    found = size > 2 * NODE_ROWS
+    found = size > _SMALL
     group = np.repeat(np.arange(len(size)), size)
     counts = np.where(found[group], 0, np.arange(len(group)) - starts[:-1][group])
     upto, at = np.cumsum(counts), 0
