@@ -19,7 +19,7 @@ class that class. Extra columns are ignored (scores) or kept (kept). An empty ta
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,44 +31,54 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import only
 
 BANK_ROWS, TERMS, DIMENSIONS, NEIGHBOURS, THRESHOLD = 4_096, 4_096, 48, 25, 0.7
-#: Documents of one matrix product.
-BLOCK = 256
+#: Documents of one matrix product, and words whose cells a task remembers (some 100 bytes each).
+BLOCK, CACHED_WORDS = 256, 150_000
 
 
 class _Cells(dict):
-    """Term cells of words, remembered up to a bound: one of the word, one of its shape."""
+    """Term cells of words, remembered up to a bound: one of the word, one of its shape, as one number."""
 
     def __init__(self, of: int):
         super().__init__()
         self.of = of
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word)))
         cell = lambda kind, x: xxhash.xxh3_64_intdigest(f"{kind}{x}".encode("utf-8", "surrogatepass"))
         half = self.of // 2
-        self[word] = found = (cell("w", word.lower()) % half, half + cell("s", shape[:12]) % (half - 256))
+        self[word] = found = cell("w", word.lower()) % half * self.of + half + cell("s", shape) % (half - 256)
         return found
 
 
+_UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
+_ASCII = re.compile("[\x00-\x7f]+")
+
+
+def _share(text: str, data: bytes, of: bytes, kind: Callable[[str], bool]) -> int:
+    """How many characters are of a kind: the ASCII ones by their bytes, the others one by one."""
+    n = len(data) - len(data.translate(None, of))
+    return n if len(data) == len(text) else n + sum(map(kind, _ASCII.sub("", text)))
+
+
 def terms(text: str, cells: _Cells) -> np.ndarray:
     """Damped counts of a text's terms; the last 256 cells are buckets of its statistics."""
     words = text.split()
-    found = np.array([cells[w] for w in words], np.int64).ravel() if words else np.empty(0, np.int64)
-    out = np.log1p(np.bincount(found, minlength=cells.of)).astype(np.float32)
-    n, lines = max(1, len(words)), text.split("\n")
+    found = np.fromiter(map(cells.__getitem__, words), np.int64, len(words))
+    out = np.log1p(np.bincount(np.concatenate([found // cells.of, found % cells.of]), minlength=cells.of)).astype(np.float32)
+    n, lines, data = max(1, len(words)), text.split("\n"), text.encode("utf-8", "surrogatepass")
     shares = (
         len(set(words)) / n,
         max(map(len, words), default=0) / 40,
         sum(map(len, words)) / n / 12,
         len(set(lines)) / len(lines),
         len(words) / len(lines) / 80,
-        sum(map(str.isupper, text)) / max(1, len(text)) * 2,
-        sum(text.count(c) for c in "#*$%&|!{}<>=_~^") / n,
-        sum(map(str.isdigit, text)) / max(1, len(text)) * 4,
+        _share(text, data, _UPPER, str.isupper) / max(1, len(text)) * 2,
+        (len(data) - len(data.translate(None, b"#*$%&|!{}<>=_~^"))) / n,
+        _share(text, data, _DIGITS, str.isdigit) / max(1, len(text)) * 4,
         np.log1p(len(words)) / 10,
     )
     base = cells.of - 256
@@ -77,6 +87,15 @@ def terms(text: str, cells: _Cells) -> np.ndarray:
     return out
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest of each row. The bank is in a fixed order, and of equal similarities the first ones count."""
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, best, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((near >= least).sum(1) > k):  # a tie at the end
+        best[i] = np.argsort(-near[i], kind="stable")[:k]
+    return best
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -100,7 +119,7 @@ class Model:
                 continue
             near = self.vectors(np.stack([terms(texts[j], cells) for j in rows])) @ self.bank.T
             k = min(NEIGHBOURS, near.shape[1])
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            best = nearest(near, k)
             vote = np.maximum(np.take_along_axis(near, best, 1), 1e-6) ** 4 * self.weight[best]
             out[rows] = (vote * self.label[best]).sum(1) / vote.sum(1)
         return out
