@@ -22,12 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import WordHashes, mixed, only
+from offerlens.llm.common import Words, mixed, only, pieces
 
 #: 1 is a compared position.
 LONG_MASKS = ("1110110101", "1101010111", "110110010011", "101001101101", "1111111")
@@ -35,7 +34,14 @@ SHORT_MASKS = ("111", "1101", "1011")
 SHORTEST, OVERLAP, SIMILARITY = 5, 13, 0.8
 BLOCK_WORDS = 400_000
 _FILTER_BITS = 23
-WORD = re.compile(r"\w+")
+#: ASCII characters that are no part of a word become spaces; others that aren't are replaced before.
+_TABLE = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+_MARKS = re.compile(r"[^\w\x00-\x7f]+")
+
+
+def hashed(texts: list[str | None]) -> Words:
+    lower = ((t or "").lower() for t in texts)
+    return Words([(t if t.isascii() else _MARKS.sub(" ", t)).encode("utf-8", "surrogatepass") for t in lower], _TABLE)
 
 
 def _masked(words: np.ndarray, mask: str, seed: int) -> np.ndarray:
@@ -67,8 +73,8 @@ class Items:
 
     @staticmethod
     def of(ids: list[int], texts: list[str | None]) -> Items:
-        hash_of = WordHashes()
-        words = [hash_of.of(WORD.findall((t or "").lower())) for t in texts]
+        found_words = hashed(texts)
+        words = np.split(found_words.hash, found_words.first[1:-1])
         keep = [i for i, w in enumerate(words) if len(w) >= SHORTEST]
         words = [words[i] for i in keep]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -115,50 +121,42 @@ class Items:
         return (lo + int(good[0]), lo + int(good[-1]) + need) if len(good) else None
 
 
-def _found(items: Items, texts: list[str | None], hash_of: WordHashes) -> list[list[tuple[int, int, int]]]:
+def _found(items: Items, texts: list[bytes | None]) -> list[list[tuple[int, int, int]]]:
     """Of each text: (item_id, first word, end) of its overlaps."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    at = 0
-    while at < len(texts):  # some texts at a time, so that very long ones don't add up
-        parts, size, to = [], 0, at
-        while to < len(texts) and size < 200_000:
-            parts.append(hash_of.of(WORD.findall((texts[to] or "").lower())))
-            size, to = size + len(parts[-1]), to + 1
-        starts = np.cumsum([0, *map(len, parts)])
-        for doc, k, s, e in items.overlaps(np.concatenate(parts), starts):
-            out[at + doc].append((int(items.ids[k]), s, e))
-        at = to
+    words = hashed([None if t is None else str(t, "utf-8", "surrogatepass") for t in texts])
+    for doc, k, s, e in items.overlaps(words.hash, words.first):
+        out[doc].append((int(items.ids[k]), s, e))
     return out
 
 
-def blocks(benchmark: DataFrame) -> list[Items]:
-    """The benchmark in blocks of BLOCK_WORDS words or little more; it is a stated set, read block by block."""
+def blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark in blocks of BLOCK_WORDS words or little more, one at a time; it is a stated set, read block by block."""
     rows = only(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, -(-words // BLOCK_WORDS))
-    out = []
     for i in range(n):
         got = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id").collect()
-        out.append(Items.of([r["item_id"] for r in got], [r["text"] for r in got]))
-    return out
+        yield Items.of([r["item_id"] for r in got], [r["text"] for r in got])
 
 
-FOUND = "doc_id long, contaminated boolean, n_items int, item_ids array<long>, spans array<struct<item_id: long, first_word: long, end_word: long>>"
+SPAN = "struct<item_id: long, first_word: long, end_word: long>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids and spans (by words) of every row of docs(doc_id, text)."""
-    all_items = blocks(benchmark)
+    """doc_id, contaminated, n_items, item_ids and spans (by words) of every row of docs(doc_id, text); one pass for each block of the benchmark, which alone goes to the tasks then."""
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast(f"array<{SPAN}>").alias("spans"))
+    for items in blocks(benchmark):
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_of = WordHashes()
-        for frame in frames:
-            texts = frame["text"].tolist()
-            found = [sorted(x for part in parts for x in part) for parts in zip(*(_found(items, texts, hash_of) for items in all_items), strict=True)]
-            ids = [sorted({x[0] for x in f}) for f in found]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "contaminated": [bool(f) for f in found], "n_items": [len(x) for x in ids], "item_ids": ids, "spans": [[{"item_id": a, "first_word": b, "end_word": c} for a, b, c in f] for f in found]})
+        def run(frames: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for batch, texts in pieces(frames):
+                found, spans = _found(items, texts), batch.column("spans")
+                own = [[*old, *({"item_id": a, "first_word": b, "end_word": c} for a, b, c in new)] for old, new in zip(spans.to_pylist(), found, strict=True)] if any(found) else spans
+                yield batch.set_column(2, "spans", pa.array(own, spans.type))
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(run, FOUND)
+        rows = rows.mapInArrow(run, rows.schema)
+    ids = F.array_sort(F.array_distinct(F.col("spans.item_id")))
+    return rows.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"), F.array_sort("spans").alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -166,9 +164,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in blocks(benchmark):
 
         def run(frames: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            hash_of = WordHashes()
-            for frame in frames:
-                yield frame.filter(pa.array([not f for f in _found(items, frame.column("text").to_pylist(), hash_of)], pa.bool_()))
+            for batch, texts in pieces(frames):
+                yield batch.filter(pa.array([not f for f in _found(items, texts)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
