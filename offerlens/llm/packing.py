@@ -35,16 +35,23 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids ar
 BATCH_CHARS = 2_000_000
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _whole(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Ids of each text, by the vocabulary of a tokenizers file.
 
     tiktoken merges a byte-level vocabulary by the same ranks about five times as fast as tokenizers does, with the same ids;
-    other kinds of files go to tokenizers itself. Special tokens' strings in a text are ordinary text.
+    other kinds of files, and texts that hold the string of an added token, go to tokenizers itself.
     """
     import tiktoken
     from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         known = json.load(file)
@@ -53,14 +60,11 @@ def tokenizer(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         # Byte-level files write bytes that aren't printable as the code points from 256 on, in order.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-        special = {x["content"] for x in known.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in known["model"]["vocab"].items() if token not in special}
+        added = sorted(x["content"] for x in known.get("added_tokens", []))
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in known["model"]["vocab"].items() if token not in added}
         merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [np.array(merge.encode_ordinary(x), np.uint32) for x in texts]
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return lambda texts: [np.array(x.ids, np.uint32) for x in found.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(_whole(path).encode(x, add_special_tokens=False).ids if any(a in x for a in added) else merge.encode_ordinary(x), np.uint32) for x in texts]
+    return lambda texts: [np.array(x.ids, np.uint32) for x in _whole(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
