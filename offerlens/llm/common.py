@@ -11,26 +11,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlens.session import shared_folder
+
 #: Lower-cases A-Z only, as the contracts ask; Spark's lower() also changes other letters.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of one Arrow batch: texts are long, and a task holds a batch or two.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. There is no default: any folder that is chosen here might be one machine's own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of the texts; a session that asks for fewer rows keeps its setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, so that a lost executor costs no recomputation. The driver's JVM deletes it as it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    small_batches(spark)
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)

@@ -195,8 +195,8 @@ def _confirmed(percent: int):
     return run
 
 
-#: Pairs whose filters are looked at in one go.
-_PAIRS = 250_000
+#: Rows that are taken in one go, and pairs of them whose filters are looked at.
+_ROWS, _PAIRS = 30_000, 250_000
 #: What a prefix row holds: node (its token, or two blocks of a hot one) and n as one number, place and line as one number, and
 #: the block of a hot token's row where it meets another block, else -1. Only candidates of rows that are asked about are given.
 PREFIX = "tn long, pl long, side int, asked boolean, doc_id long, key long, p long, q long"
@@ -277,10 +277,12 @@ def _candidates(percent: int, first: int | None):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in frames:
-            if not batch.num_rows:
-                continue
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _COLUMNS}
+        waiting: list[pa.RecordBatch] = []
+
+        def met() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            new = pa.Table.from_batches(waiting)
+            columns = {c: new.column(c).to_numpy() for c in _COLUMNS}
             for c in "pq":
                 columns[c] = columns[c].view(np.uint64)
             done = len(held.get("tn", ()))
@@ -292,6 +294,15 @@ def _candidates(percent: int, first: int | None):
             n = last & ((1 << _PLACE_BITS) - 1)
             cut = int(np.searchsorted(columns["tn"], (last - n) | -(-percent * n // 100)))
             held = {c: columns[c][cut:].copy() for c in _COLUMNS}
+            waiting.clear()
+
+        for batch in frames:
+            if batch.num_rows:
+                waiting.append(batch)
+                if sum(x.num_rows for x in waiting) >= _ROWS:
+                    yield from met()
+        if waiting:
+            yield from met()
 
     return run
 
@@ -357,10 +368,12 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs without the lines that go, and without the documents that lose all their words so; n_chars, if there is such a column, follows the text."""
-    gone = removed(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(stay)).where(F.col("__gone").isNull() | F.col("text").rlike(r"\S"))
+    gone = removed(docs, **options).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("was"))
+    rows = rows.join(gone, F.col("id") == F.col("doc_id"), "left")
+    left = F.array_join(F.filter(F.split("was", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("was")).otherwise(left)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -444,6 +444,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay: one of each component, its least doc_id (repeated rows of it once), and all without a doc_id."""
-    found = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(found, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    found = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    stay = rows.where("id IS NOT NULL").join(found, F.col("id") == F.col("doc_id"), "left_semi").dropDuplicates(["id"])
+    return stay.unionByName(rows.where("id IS NULL")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
