@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The classifier and the packing plan can't be written in SQL; tests/llm compares each stage with a brute-force version.
+#: The classifier and the packing plan can't be written in SQL; tests/llm/test_pipeline.py composes the stages naively.
 ORACLE_SQL: str | None = None
 
 
