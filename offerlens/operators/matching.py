@@ -5,33 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.functions import text as T
+
 
 def postings(rows: DataFrame, row_id: str, words) -> DataFrame:
     """The inverted index: a row for each distinct word of each row."""
     return rows.select(F.col(row_id).alias("row_id"), F.explode(F.array_distinct(words)).alias("word"))
 
 
+def near_words(words: DataFrame, edits: int) -> DataFrame:
+    """Pairs a < b of distinct words(word) that share what is left after so many deletions at most: all that are as many edits apart, and some others.
+
+    A string of n letters is left of n + 1 places times the alphabet's letters words at most, for each deletion.
+    """
+    cuts = words.select("word", F.col("word").alias("cut"))
+    for _ in range(edits):
+        cuts = cuts.select("word", F.explode(T.deletions(F.col("cut"))).alias("cut")).distinct()
+    return cuts.withColumnRenamed("word", "a").join(cuts.withColumnRenamed("word", "b"), "cut").where("a < b").select("a", "b").distinct()
+
+
 def carrying_all(index: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows that carry every word of a query: asked(query_id, words); one join of postings and a count, no self joins."""
     wanted = asked.select("query_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("needed"))
-    return index.join(F.broadcast(wanted), "word").groupBy("query_id", "row_id").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met = needed").select("query_id", "row_id")
+    return index.join(wanted, "word").groupBy("query_id", "row_id").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met = needed").select("query_id", "row_id")
 
 
-def similar_sets(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows whose word sets have a Jaccard similarity of percent / 100 or more, by shared rare words.
+#: Sets of so many words at most are met by three shared rare words, larger ones by one.
+SHORT_SET = 20
 
-    Of each row only its rarest words are joined, as many as any similar row must share one of.
-    """
+
+def word_sets(index: DataFrame) -> DataFrame:
+    """Each row of an index and its word set, the rarest first and of equally rare ones in order: row_id, words."""
     frequency = index.groupBy("word").agg(F.count("*").alias("f"))
     sets = index.join(frequency, "word").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("own"))
-    sets = sets.select("row_id", F.transform("own", lambda x: x["word"]).alias("words"))
-    n = F.size("words")
-    prefix = F.slice("words", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    keyed = sets.select("row_id", "words", F.explode(prefix).alias("key"))
-    a, b = keyed.select(F.col("row_id").alias("a"), F.col("words").alias("x"), "key"), keyed.select(F.col("row_id").alias("b"), F.col("words").alias("y"), "key")
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    return a.join(b, "key").where("a < b").where(100 * both >= percent * union).select("a", "b", both.cast("bigint").alias("shared"), union.cast("bigint").alias("together")).distinct()
+    return sets.select("row_id", F.transform("own", lambda x: x["word"]).alias("words"))
+
+
+def similar_sets(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of distinct word sets, by their least rows, with a Jaccard similarity of percent / 100 or more; n_a and n_b rows have them.
+
+    Equal sets are one class first. Two similar sets of n words or more share l words among the rarest n - ceil(n * percent /
+    100) + l of each; so they meet by the hashes of l such words: three while the smaller set is short, one beyond. Only ids and sizes
+    go through that join, and sizes that can't be similar are parted there.
+    """
+    classes = word_sets(index).groupBy("words").agg(F.min("row_id").alias("id"), F.count("*").alias("n_rows")).withColumn("n", F.size("words"))
+    together = max(1, min(3, -(-percent // max(1, 100 - percent))))
+    least = lambda n: F.ceil(n * F.lit(percent) / 100).cast("int")
+    level = lambda n: F.when(n <= SHORT_SET, together).otherwise(1)
+
+    def keys(l: int):  # noqa: E741
+        rare = F.slice("words", F.lit(1), F.col("n") - least(F.col("n")) + l)
+        places = F.sequence(F.lit(0), F.size(rare) - 1)
+        chosen = F.transform(places, lambda i: F.struct(i.alias("last"), F.xxhash64(F.lit(l), rare[i]).alias("h")))
+
+        def longer(c):
+            return F.transform(F.filter(places, lambda i: i > c["last"]), lambda i: F.struct(i.alias("last"), F.xxhash64(c["h"], rare[i]).alias("h")))
+
+        for _ in range(l - 1):
+            chosen = F.flatten(F.transform(chosen, longer))
+        return F.transform(chosen, lambda c: c["h"])
+
+    levels = F.array_distinct(F.array(level(F.col("n")), level(least(F.col("n")))))
+    own = F.flatten(F.transform(levels, lambda l: F.when(l == 1, keys(1)).otherwise(keys(together))))  # noqa: E741
+    keyed = classes.where(F.col("n") * (100 - percent) >= percent).select("id", "n", F.explode(F.array_distinct(own)).alias("key"))
+    a, b = keyed.select(F.col("id").alias("a"), F.col("n").alias("size_a"), "key"), keyed.select(F.col("id").alias("b"), F.col("n").alias("size_b"), "key")
+    fits = F.least("size_a", "size_b") * 100 >= percent * F.greatest("size_a", "size_b")
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("n_rows").alias(f"n_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
+    both = both.withColumn("together", F.size("words_a") + F.size("words_b") - F.col("shared")).where(100 * F.col("shared") >= percent * F.col("together"))
+    return both.select("a", "b", F.col("shared").cast("bigint").alias("shared"), F.col("together").cast("bigint").alias("together"), "n_a", "n_b")
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

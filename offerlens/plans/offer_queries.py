@@ -179,15 +179,13 @@ def squeezed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "fn5_name_distances",
-    """WITH w AS (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part), n AS (SELECT DISTINCT word FROM w)
-    SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word) AS distance FROM n a JOIN n b ON a.word < b.word AND substr(a.word, 1, 1) = substr(b.word, 1, 1) WHERE levenshtein(a.word, b.word) <= 4""",
+    """WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS word FROM benchmark)
+    SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word) AS distance FROM n a JOIN n b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2""",
 )
 def name_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of title words with the same first letter within four edits, with a bound, so that far pairs end early."""
-    word = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("initial", F.substring("word", 1, 1))
-    a, b = word.select(F.col("word").alias("a"), "initial"), word.select(F.col("word").alias("b"), "initial")
-    pairs = a.join(b, "initial").where("a < b").withColumn("distance", F.levenshtein("a", "b", 4).cast("bigint"))
-    return pairs.where("distance >= 0").select("a", "b", "distance")
+    """Pairs of benchmark words within two edits, with a bound, so that far pairs end early."""
+    word = table(spark, d, "benchmark").select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("word")).distinct()
+    return M.near_words(word, 2).withColumn("distance", F.levenshtein("a", "b", 2).cast("bigint")).where("distance >= 0").select("a", "b", "distance")
 
 
 @query("fn8_skeletons", "SELECT p_partkey, regexp_replace(lower(p_name), '[^b-df-hj-np-tv-z]', '', 'g') AS consonants FROM part")
@@ -405,14 +403,27 @@ def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn25_similar_titles",
-    """WITH s AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part)
-    SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared, CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS BIGINT) AS together
-    FROM s a JOIN s b ON a.id < b.id WHERE 100 * len(list_intersect(a.w, b.w)) >= 80 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
+    """WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> ''))) AS w FROM part),
+    c AS (SELECT min(id) AS id, w, count(*) AS n FROM s GROUP BY w)
+    SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared, CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS BIGINT) AS together, a.n AS n_a, b.n AS n_b
+    FROM c a JOIN c b ON a.id < b.id WHERE 100 * len(list_intersect(a.w, b.w)) >= 80 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
 )
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     return M.similar_sets(M.postings(table(spark, d, "part"), "p_partkey", T.words(F.concat_ws(" ", "p_name", "p_type", "p_brand"))), 80)
 
 
+@query(
+    "jn25_title_classes",
+    """WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> ''))) AS w FROM part)
+    SELECT id AS p_partkey, min(id) OVER (PARTITION BY w) AS class_id FROM s""",
+)
+def title_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Which products share their whole set of title words: the members of jn25's classes."""
+    sets = M.word_sets(M.postings(table(spark, d, "part"), "p_partkey", T.words(F.concat_ws(" ", "p_name", "p_type", "p_brand"))))
+    least = sets.groupBy("words").agg(F.min("row_id").alias("class_id"))
+    return sets.join(least, "words").select(F.col("row_id").alias("p_partkey"), "class_id")
+
+
 @query(
     "agg1_balance",
     """WITH {OFFERS}, x AS (SELECT 'flag' AS dimension, flag AS value FROM offers UNION ALL SELECT 'state', state FROM offers UNION ALL SELECT 'shop', CAST(shop AS VARCHAR) FROM offers), n AS (SELECT dimension, value, count(*) AS n FROM x GROUP BY ALL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import fuzzy
 from offerlens.functions import text as T
 from offerlens.operators import grouping as G
+from offerlens.operators import matching as M
 from offerlens.operators import offers as O
 from offerlens.plans.offer_queries import offers, query
 from offerlens.session import table
@@ -257,20 +258,18 @@ def tied_products(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fn1_plain_letters", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def plain_letters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", fuzzy.plain_letters("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", fuzzy.plain_letters(F.col("text")).alias("text"))
 
 
 @query(
     "fn6_swap_distances",
-    """WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) BETWEEN 5 AND 9)) AS word FROM benchmark)
-    SELECT a.word AS a, b.word AS b, damerau_levenshtein(a.word, b.word) AS distance FROM n a JOIN n b ON a.word < b.word AND substr(a.word, 1, 2) = substr(b.word, 1, 2) AND damerau_levenshtein(a.word, b.word) <= 1""",
+    """WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS word FROM benchmark)
+    SELECT a.word AS a, b.word AS b, damerau_levenshtein(a.word, b.word) AS distance FROM n a JOIN n b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) <= 1""",
 )
 def swap_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark words with the same beginning that are one edit or one swap apart."""
-    word = table(spark, d, "benchmark").select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x).between(5, 9))).alias("word")).distinct().withColumn("start", F.substring("word", 1, 2))
-    a, b = word.select(F.col("word").alias("a"), "start"), word.select(F.col("word").alias("b"), "start")
-    near = a.join(b, "start").where("a < b").where(F.abs(F.length("a") - F.length("b")) <= 1).withColumn("distance", fuzzy.swap_distances(1)("a", "b").cast("bigint"))
-    return near.where("distance <= 1").select("a", "b", "distance")
+    """Benchmark words that are one edit or one swap apart."""
+    word = table(spark, d, "benchmark").select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("word")).distinct()
+    return M.near_words(word, 1).withColumn("distance", fuzzy.near_distance(F.col("a"), F.col("b")).cast("bigint")).where("distance <= 1").select("a", "b", "distance")
 
 
 @query("fn24_offer_scores", "WITH {OFFERS} SELECT offer_id, 40 * (state = 'O')::BIGINT + 30 * (flag <> 'R')::BIGINT + 20 * (sale_price < price)::BIGINT + least(quantity, 10) AS score FROM offers")

@@ -36,7 +36,7 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
     at = [expected.columns.index(c) for c in df.columns]
     got, want = collections.Counter(map(tuple, df.collect())), collections.Counter(tuple(r[i] for i in at) for r in expected.fetchall())
     assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3])
-    assert got or name == "jn15_failing_rows"  # no such rows at the smallest scale
+    assert got or name in ("jn15_failing_rows", "jn25_similar_titles")  # no such rows at the smallest scale
 
 
 def test_price_texts(spark):
