@@ -12,7 +12,7 @@ nearest vote for their labels, weighted by similarity and by how rare their clas
 Labels serve the fit only. lang, source and doc_id are never inputs of a score.
 
 Cases. A null, empty or blank text has the score 0. Repeated rows are scored each. A null doc_id gives a null doc_id, not held
-out. Labels of unknown documents, or null ones, are ignored; without labels every other text scores 0.5, with labels of one
+out. Null labels are ignored. Labels of unknown documents teach nothing; they count where classes are weighed against each other; without labels every other text scores 0.5, with labels of one
 class that class. Extra columns are ignored (scores) or kept (kept). An empty table gives no rows.
 """
 
@@ -126,23 +126,29 @@ class Model:
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's damped counts, as places and values of those above zero."""
     cells = _Cells(TERMS)
     for frame in frames:
-        yield pd.DataFrame({"quality": frame["quality"], "__order": frame["__order"], "counts": [terms(t or "", cells).astype(np.float16).tobytes() for t in frame["text"]]})
+        counts = [terms(t or "", cells) for t in frame["text"]]
+        at = [np.flatnonzero(x).astype(np.uint16) for x in counts]
+        yield pd.DataFrame({"quality": frame["quality"], "__order": frame["__order"], "at": [i.tobytes() for i in at], "counts": [x[i].astype(np.float16).tobytes() for x, i in zip(counts, at, strict=True)]})
 
 
 def fit(labelled: DataFrame, sizes: dict[int, int], *, bank_rows: int = BANK_ROWS, seed: int = 3) -> Model:
-    """labelled(text, quality, __key): the picked rows; sizes: how many labels of each class there are in all."""
+    """labelled(text, quality, __key): the picked rows, of which bank_rows at most are taken; sizes: how many labels of each class there are in all."""
     none = Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.empty((0, 1)), np.empty(0), np.empty(0))
     picked = labelled.withColumn("__order", F.xxhash64("__key", F.lit(seed)))
-    rows = picked.select("text", "quality", "__order").mapInPandas(_counted, "quality int, __order long, counts binary").orderBy("__order").limit(2 * bank_rows).toPandas()
+    rows = picked.select("text", "quality", "__order").mapInPandas(_counted, "quality int, __order long, at binary, counts binary").orderBy("__order", "at", "counts", "quality").limit(bank_rows).toPandas()
     if not len(rows):
         return none
     label = rows["quality"].to_numpy(np.float64)
-    x = np.frombuffer(b"".join(rows.pop("counts")), np.float16).reshape(len(rows), TERMS).astype(np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))) + 0.3).astype(np.float32)
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for own, at, counts in zip(x, rows["at"], rows["counts"], strict=True):
+        own[np.frombuffer(at, np.uint16)] = np.frombuffer(counts, np.float16)
+    idf = (np.log((1 + len(rows)) / (1 + np.bincount(np.concatenate([np.frombuffer(at, np.uint16) for at in rows["at"]]), minlength=TERMS))) + 0.3).astype(np.float32)
+    del rows
     x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     rank = min(DIMENSIONS, *x.shape)
     y = x.T @ (x @ np.random.default_rng(seed).standard_normal((TERMS, rank + 8)).astype(np.float32))
     for _ in range(3):
@@ -152,8 +158,7 @@ def fit(labelled: DataFrame, sizes: dict[int, int], *, bank_rows: int = BANK_ROW
     model = Model(idf, axes, np.empty((0, rank)), label, np.empty(0))
     model.bank = x @ axes
     model.bank /= np.maximum(np.linalg.norm(model.bank, axis=1, keepdims=True), 1e-12)
-    in_bank = {v: (label == v).mean() for v in sizes}
-    model.weight = np.array([sizes[v] / sum(sizes.values()) / in_bank[v] for v in label])
+    model.weight = np.array([sizes[v] / sum(sizes.values()) / (label == v).mean() for v in label])
     return model
 
 

@@ -611,3 +611,19 @@ def test_queries_match_their_sql(spark, name):
     expected = con.sql(ORACLES[name])
     at = [expected.columns.index(c) for c in df.columns]
     assert collections.Counter(map(tuple, df.collect())) == collections.Counter(tuple(r[i] for i in at) for r in expected.fetchall())
+
+
+def test_quality_scores_match_the_naive_vote(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices(["alpha", "beta", "Gamma", "#", "d1", "e"], k=rng.randint(1, 30))) for _ in range(120)] * 2  # repeated texts make ties
+    rows = docs_of(spark, texts)
+    labels = frame(spark, [(i, i % 3 % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.trained(rows, labels)
+    found = {r["doc_id"]: r["score"] for r in quality.scores(rows, labels).collect()}
+    cells = quality._Cells(quality.TERMS)
+    for i, text in enumerate(texts):
+        near = (model.vectors(quality.terms(text, cells)[None]) @ model.bank.T)[0]
+        best = sorted(range(len(near)), key=lambda j: (-near[j], j))[: quality.NEIGHBOURS]
+        vote = [max(near[j], 1e-6) ** 4 * model.weight[j] for j in best]
+        assert abs(found[i] - sum(v * model.label[j] for v, j in zip(vote, best, strict=True)) / sum(vote)) < 0.05
+    assert len(model.bank) <= quality.BANK_ROWS
