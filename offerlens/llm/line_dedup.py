@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.common import LETTERED, Words, batches, groups_of, mixed, only, pieces, stored
 
-PERCENT, MIN_WORDS, CELL_BITS, FIRST = 80, 1, 24, 3
+PERCENT, MIN_WORDS, CELL_BITS, FIRST = 80, 1, 24, 1
 #: Bits of a token's hash in prefix rows, and of its place in the set.
 TOKEN_BITS, _PLACE_BITS = 34, 28
 _PART_BITS = 16
