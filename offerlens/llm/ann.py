@@ -160,7 +160,7 @@ def _search(codes: Codes, queries: tuple[np.ndarray, np.ndarray], k: int, exact:
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, bits: int = 128, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's k nearest rows of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("__query")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("__query")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     total = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < min(1.0, sample_rows / max(1, total)) * 1_000_000)

@@ -189,34 +189,20 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return found, starts
 
 
-#TEMP
+#: Some 100 bytes each.
+REMEMBERED = 150_000
+
+
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered; cleared when a task has seen half a million distinct words, which bounds its memory."""
+    """64-bit hashes of words (bytes), remembered; cleared when a task has seen REMEMBERED distinct words, which bounds its memory."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def old_shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """The distinct hashes of width-word shingles, sorted; the whole sequence is one shingle where it is shorter; none without words."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    k = min(width, n)
-    out = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i])
-    return np.unique(out)
-
-
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased: bytes.lower and bytes.split know ASCII only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
