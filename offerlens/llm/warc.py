@@ -5,9 +5,12 @@ the others are revisits of it; smaller payloads are always responses. A volume i
 little more, one gzip member a record, kept as a binary value: Spark's writers put it in any store, and tasks that run again
 give the same bytes. Volumes in ordinary files are read through read_files().
 
-Reading. A member counts if it inflates, its checksum holds, its version line, headers and length hold, and its payload has
-the digest its header names. After a failed check the reader searches for the next gzip member that inflates to a version
-line, or the next plain version line, and goes on there; the bytes between are logged as a quarantined gap.
+Reading. A record counts if its version line, headers and length hold, and its payload has the digest its header names (SHA-256,
+or SHA-1 in base 32 as other writers have it; other digests aren't checked). A member of one or more records is inflated, and its
+checksum tested. After a failed check the reader searches for the next gzip member that gives a record, or the next version line,
+in the archive and inside the inflated bytes of a member alike, and goes on there; the bytes between are logged as a quarantined
+gap, those inside a member by their places in it. Of a member that is cut off, the records before the cut count. Of one that is
+damaged, those before the fault count whose payload has its digest; a revisit has no payload to prove it by and stays in the gap.
 
 Cases. A null html is an empty payload; a null url gives a record without a target. A null page_id gives a record without a
 number, read back as null, never the one that others refer to unless all are null. Rows that repeat a smallest page_id are
@@ -16,6 +19,7 @@ responses each. Extra columns are ignored; an empty table gives no volumes and n
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -95,6 +99,16 @@ def written(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")).mapInPandas(_volumes, VOLUME)
 
 
+def _proved(payload: bytes, digest: str) -> bool | None:
+    """Whether the payload has the digest, null if its algorithm isn't known."""
+    kind, colon, value = digest.partition(":")
+    if not colon:
+        return hashlib.sha256(payload).hexdigest() == digest.lower()
+    if kind.lower() == "sha1":
+        return base64.b32encode(hashlib.sha1(payload).digest()).decode() == value.upper()
+    return None
+
+
 def _parsed(data: bytes, start: int = 0) -> tuple[dict, int]:
     """The record at start, and where it ends; ValueError if a check fails."""
     if not (m := _HEAD.match(data, start)):
@@ -114,46 +128,89 @@ def _parsed(data: bytes, start: int = 0) -> tuple[dict, int]:
     end = begin + int(head["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("block end")
-    http, _, payload = data[begin:end].partition(b"\r\n\r\n")
+    block = data[begin:end]
+    # Records of other kinds than HTTP messages, such as warcinfo, are payload throughout.
+    is_http = head.get("content-type", "application/http").lower().startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
     kind, digest = head.get("warc-type", ""), head.get("warc-payload-digest", "").removeprefix("sha256:")
     size = len(payload)
     if kind == "revisit":
         found = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
         size = int(found[1]) if found else None
-    elif digest and hashlib.sha256(payload).hexdigest() != digest:
+    elif digest and _proved(payload, digest) is False:
         raise ValueError("payload digest")
     name = lambda key: head[key].strip("<>") if key in head else None
     return {"record_type": kind, "record_id": name("warc-record-id"), "refers_to": name("warc-refers-to"), "target": head.get("warc-target-uri"), "payload_digest": digest or None, "payload_bytes": size, "payload": payload}, end + 4
 
 
-def _inflated(data: bytes, start: int) -> tuple[bytes, int]:
-    """The gzip member at start, and where it ends; zlib.error if it is damaged or cut off."""
+def _inflated(data: bytes, start: int) -> tuple[bytes, int, str | None, bool]:
+    """The gzip member at start as far as it inflates, where it ends, what is wrong with it, and whether that is no more than a cut."""
     inflate, out, at = zlib.decompressobj(31), [], start
     while not inflate.eof:
         piece = data[at : at + 65_536]
         if not piece:
-            raise zlib.error("cut off")
-        out.append(inflate.decompress(piece))
+            return b"".join(out), at, "cut off", True
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(piece))
+        except zlib.error as failed:
+            # What the piece gives before its fault, byte by byte.
+            for i in range(len(piece)):
+                try:
+                    out.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at, str(failed), False
         at += len(piece)
-    return b"".join(out), at - len(inflate.unused_data)
+    return b"".join(out), at - len(inflate.unused_data), None, False
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
-    """(start, length, why, record) of each record, or of each quarantined gap, of one archive in order; why is null for records."""
+def _inner(data: bytes, only_proved: bool) -> Iterator[tuple[int, int, str | None, dict]]:
+    """(start, end, why, record) of each record or gap of plain bytes, in order."""
     at = 0
+    while at < len(data):
+        p, why = at, None
+        while p >= 0:
+            try:
+                found, end = _parsed(data, p)
+                if only_proved and (found["record_type"] == "revisit" or not found["payload_digest"] or not _proved(found["payload"], found["payload_digest"])):
+                    raise ValueError("not proved by a digest")
+                break
+            except ValueError as failed:
+                why = why or f"ValueError: {failed}"
+                p = data.find(b"WARC/1.", p + 1)
+        if why is not None:
+            yield at, len(data) if p < 0 else p, why, {}
+        if p < 0:
+            return
+        yield p, end, None, found
+        at = end
+
 
-    def good(p: int) -> tuple[list[dict], int]:
-        if data[p : p + 2] != b"\x1f\x8b":
+def _unit(data: bytes, p: int) -> tuple[list[dict], list[str], int | None]:
+    """Records of the member or plain record at p, what was wrong, and where it ends (null if that isn't known)."""
+    if data[p : p + 2] != b"\x1f\x8b":
+        try:
             found, end = _parsed(data, p)
-            return [found], end
-        inner, end = _inflated(data, p)
-        found, q = [], 0
-        while q < len(inner):
-            one, q = _parsed(inner, q)
-            found.append(one)
-        if not found:
-            raise ValueError("empty member")
-        return found, end
+        except ValueError as failed:
+            return [], [f"ValueError: {failed}"], None
+        return [found], [], end
+    inner, end, fault, cut = _inflated(data, p)
+    rows = list(_inner(inner, fault is not None and not cut))
+    # The last gap of a member with a fault is what the fault left.
+    faults = [f"{why}; bytes {a} to {b} inside the member" for a, b, why, _ in rows if why is not None and (fault is None or b < len(inner))]
+    if fault is not None:
+        faults.insert(0, f"error: {fault}")
+    elif not rows:
+        faults = ["ValueError: empty member"]
+    return [one for _, _, why, one in rows if why is None], faults, end if fault is None else None
+
+
+def records(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
+    """(start, length, why, record) of each record, or of each quarantined gap, of one archive in order; why is null for records.
+
+    Records and gaps of one member have the member's start and length.
+    """
 
     def candidates(p: int) -> Iterator[int]:
         member, line = data.find(b"\x1f\x8b\x08", p), data.find(b"WARC/1.", p)
@@ -165,23 +222,21 @@ def records(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
                 yield line
                 line = data.find(b"WARC/1.", line + 1)
 
+    at, unit = 0, None
     while at < len(data):
-        try:
-            found, end = good(at)
-        except (ValueError, zlib.error) as failed:
-            why = f"{type(failed).__name__}: {failed}"
+        found, faults, end = unit or _unit(data, at)
+        unit = None
+        if end is None:
             end = len(data)
             for p in candidates(at + 1):
-                try:
-                    good(p)
-                except (ValueError, zlib.error):
-                    continue
-                end = p
-                break
+                later = _unit(data, p)
+                if later[0]:
+                    end, unit = p, later
+                    break
+        for one in found:
+            yield at, end - at, None, one
+        for why in faults:
             yield at, end - at, why[:200], {}
-        else:
-            for one in found:
-                yield at, end - at, None, one
         at = end
 
 

@@ -502,6 +502,47 @@ def test_salvage_goes_on_after_damage_and_logs_the_gaps():
     assert [x[:2] for x in warc.records(b"no archive at all")] == [(0, 17)] and list(warc.records(b"")) == []
 
 
+
+def test_salvage_inside_a_member_of_many_records():
+    sha = __import__("hashlib").sha256
+    plain = [warc._record(i, "u", (b"%d payload " % i) * 40, sha((b"%d payload " % i) * 40).hexdigest(), None, False) for i in range(6)]
+    ids = lambda data: [x[3]["record_id"][-1] for x in warc.records(data) if x[2] is None]
+    gaps = lambda data: [x for x in warc.records(data) if x[2] is not None]
+    whole = b"".join(plain)
+    assert ids(gzip.compress(whole)) == list("012345") and gaps(gzip.compress(whole)) == []
+    # A record whose text was changed, before it was compressed: the member is whole, the record is not.
+    changed = gzip.compress(whole.replace(b"2 payload", b"2 PAYLOAD", 1), mtime=0)
+    assert ids(changed) == list("01345") and len(gaps(changed)) == 1
+    at = len(plain[0]) + len(plain[1])
+    assert gaps(changed)[0][:2] == (0, len(changed)) and f"bytes {at} to {at + len(plain[2])} inside" in gaps(changed)[0][2]
+    # Cut off, and cut off before another member.
+    rng = np.random.default_rng(0)
+    bodies = [rng.integers(97, 123, 3000, dtype=np.uint8).tobytes() for _ in range(6)]
+    plain = [warc._record(i, "u", b, sha(b).hexdigest(), None, False) for i, b in enumerate(bodies)]
+    member = gzip.compress(b"".join(plain), mtime=0)
+    assert ids(member[:-20]) == list("01234") + (["5"] if len(ids(member[:-20])) == 6 else [])
+    assert ids(member[: len(member) // 2]) == list("012")[: len(ids(member[: len(member) // 2]))] and len(ids(member[: len(member) // 2])) >= 2
+    both = member[: len(member) // 2] + gzip.compress(plain[5], mtime=0)
+    assert ids(both)[-1] == "5" and len(ids(both)) >= 3 and len(gaps(both)) == 1
+    assert sum({x[0]: x[1] for x in warc.records(both)}.values()) == len(both)
+    # A flipped byte: what comes before it is kept where its digest proves it, what comes after is recovered from the next member.
+    flipped = bytearray(member)
+    flipped[len(member) // 2] ^= 0xFF
+    got = ids(bytes(flipped) + gzip.compress(plain[4], mtime=0))
+    assert got[:2] == ["0", "1"] and got[-1] == "4" and len(gaps(bytes(flipped))) >= 1
+    # Two members of several records, both damaged.
+    two = bytes(flipped) + bytes(flipped)
+    assert ids(two)[:2] == ["0", "1"] and ids(two).count("0") == 2
+    # Other writers' digests and kinds of records.
+    sha1 = __import__("base64").b32encode(__import__("hashlib").sha1(b"abc").digest()).decode()
+    block = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    other = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (sha1.encode(), len(block), block)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\na: b\n\r\n\r\n"
+    found = [x[3] for x in warc.records(info + other)]
+    assert [(x["record_type"], x["payload"]) for x in found] == [("warcinfo", b"a: b\n"), ("response", b"abc")]
+    assert gaps(other.replace(b"abc\r\n", b"abd\r\n")) != []
+
+
 # 6, pages
 
 
