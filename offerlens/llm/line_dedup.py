@@ -311,13 +311,33 @@ def _met(rows: DataFrame, percent: int, first: int | None) -> DataFrame:
     return stored(dealt(rows).mapInArrow(_candidates(percent, first), TAKEN).distinct(), "candidates")
 
 
+def near_asked(marked: DataFrame, percent: int) -> DataFrame:
+    """The rows of marked (prefix rows with asked) that an asked row of the same token may have as its like by the length, positional and rank filters.
+
+    Sizes go by cells of a sixth of a doubling. The place of the smaller set's row must lie in the shorter prefix, which holds
+    2p / (100 + p) of the set behind it; so a row that lies beyond it is met by asked rows of smaller or equal sets only, which
+    lie within it (and by itself, as it takes part). Only classes of a lower rank than an asked one are its candidates.
+    """
+    cell = lambda n: F.floor(F.log2(n.cast("double")) * 6).cast("int")
+    n, at = F.col("n"), F.shiftright("pl", 32)
+    early = (100 + percent) * (n - at) >= 2 * percent * n
+    low, high = cell(F.ceil(n * percent / 100)), cell(F.floor(n * 100 / percent))
+    upto = F.when(early, high).otherwise(cell(n))
+    kinds = F.array(F.struct(F.lit(True).alias("early"), F.sequence(low, upto).alias("cells")), F.struct(F.lit(False).alias("early"), F.sequence(cell(n), F.when(early, high).otherwise(cell(n))).alias("cells")))
+    asked = marked.where("asked").select("token", "doc_id", F.explode(kinds).alias("k")).select("token", "doc_id", F.col("k.early").alias("__early"), F.explode("k.cells").alias("__cell"))
+    asked = stored(asked.groupBy(F.col("token").alias("__token"), "__early", "__cell").agg(F.max("doc_id").alias("__last")), "asked-tokens")
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    met = (F.col("token") == F.col("__token")) & (early == F.col("__early")) & (cell(n) == F.col("__cell")) & (F.col("doc_id") <= F.col("__last"))
+    return marked.join(asked, met, "left_semi")
+
+
 def _all_candidates(rows: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair (a, b) of the open classes b; only rows with one of their tokens take part."""
+    """Every candidate pair (a, b) of the open classes b; only rows that may be like theirs take part."""
     n = open_.count()
     small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     marked = rows.drop("asked").join(small(open_, n), F.col("key") == F.col("__open"), "left").withColumn("asked", F.col("__open").isNotNull()).drop("__open")
-    tokens = stored(marked.where("asked").select(F.col("token").alias("__token")).distinct(), "asked-tokens")
-    return _met(marked.join(small(tokens, tokens.count()), F.col("token") == F.col("__token"), "left_semi"), percent, None).select("a", "b")
+    return _met(near_asked(marked, percent), percent, None).select("a", "b")
 
 
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
