@@ -31,3 +31,10 @@ def parsed_pence(text: Column) -> Column:
 def sale_pence(usual: Column, discount: Column) -> Column:
     """Usual pence less a discount in hundredths, rounded down."""
     return F.floor(usual * (100 - F.round(discount * 100).cast("bigint")) / 100).cast("bigint")
+
+
+def amount_and_code(text: Column) -> Column:
+    """A struct of the amount and the currency code written before or after it; without one the text as it is, and ""."""
+    before, after = r"^([A-Z]{3})\s+(\S+)$", r"^(\S+)\s+([A-Z]{3})$"
+    pair = lambda amount, code: F.struct(amount.alias("amount"), code.alias("code"))
+    return F.when(text.rlike(before), pair(F.regexp_extract(text, before, 2), F.regexp_extract(text, before, 1))).when(text.rlike(after), pair(F.regexp_extract(text, after, 1), F.regexp_extract(text, after, 2))).otherwise(pair(text, F.lit("")))

@@ -75,3 +75,42 @@ def deletions(word: Column) -> Column:
     """The word and every word that one deletion gives, sorted and distinct."""
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
     return F.array_sort(F.array_distinct(F.concat(F.array(word), cut)))
+
+
+def misspellings(text: Column) -> Column:
+    """A struct of slips in the longest word (the first of them): missing (a letter, from five letters on), swapped and doubled (from
+    four on), and joined (two words or more, without their spaces); "" where one can't be made."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    most = F.array_max(F.transform(words, F.length))
+    place = F.array_position(F.transform(words, F.length), most).cast("int")
+    word = F.get(words, place - 1)
+    half = F.floor(most / 2).cast("int")
+    left = F.greatest(F.lit(1), half - 1)
+    with_word = lambda new: F.array_join(F.transform(words, lambda w, i: F.when(i == place - 1, new).otherwise(w)), " ")
+    letter = lambda at: F.substr(word, at + 1, F.lit(1))
+    head, tail = (lambda n: F.substr(word, F.lit(1), n)), (lambda n: F.substr(word, n + 1))
+    missing = F.when(most >= 5, with_word(F.concat(head(half), tail(half + 1))))
+    swapped = F.when((most >= 4) & (letter(left) != letter(left + 1)), with_word(F.concat(head(left), letter(left + 1), letter(left), tail(left + 2))))
+    doubled = F.when(most >= 4, with_word(F.concat(head(half), letter(half), tail(half))))
+    joined = F.when(F.size(words) >= 2, F.array_join(words, ""))
+    return F.struct(*[F.coalesce(c, F.lit("")).alias(n) for n, c in (("missing", missing), ("swapped", swapped), ("doubled", doubled), ("joined", joined))])
+
+
+def words_apart(first: Column, second: Column) -> Column:
+    """How many words the side with more words of its own has that the other lacks."""
+    return F.greatest(F.size(F.array_except(first, second)), F.size(F.array_except(second, first)))
+
+
+def words_close(first: Column, second: Column, most: int) -> Column:
+    """Whether two sets of words are at most so many apart, and share more words than that; empty sets are close to nothing."""
+    apart = words_apart(first, second)
+    return (F.size(first) > 0) & (F.size(second) > 0) & (apart <= most) & (F.size(F.array_intersect(first, second)) > apart)
+
+
+def shelves(url: Column) -> Column:
+    """The parts of an address before its last one, as a path of words; "" if there are none."""
+    path = F.lower(F.regexp_extract(url, "^[a-z]+://[^/?#]*([^?#]*)", 1))
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    named = F.transform(above, lambda p: F.trim(F.regexp_replace(F.coalesce(F.try_url_decode(F.regexp_replace(p, "[-_+]+", " ")), p), "[-_+]+", " ")))
+    return F.coalesce(F.array_join(F.filter(named, lambda p: p != ""), " > "), F.lit(""))

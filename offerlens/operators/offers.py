@@ -144,3 +144,59 @@ def apportioned(weights: DataFrame, seats: int) -> DataFrame:
     left = F.lit(seats) - F.sum("whole").over(all_)
     placed = exact.withColumns({"left": left, "rn": F.row_number().over(Window.orderBy(F.desc("rest"), "name"))})
     return placed.select("name", "n", (F.col("whole") + (F.col("rn") <= F.col("left")).cast("bigint")).alias("seats"))
+
+
+def fair_quotas(groups: DataFrame, percent: int) -> DataFrame:
+    """Shares percent of all rows out to groups (name, n; one row each): equal shares; a group smaller than its share keeps all it
+    has and leaves the rest to the others; what an equal split leaves over goes to the largest groups, then by name."""
+    all_ = Window.partitionBy()  # one row for each group
+    rising = Window.orderBy("n", "name")
+    placed = groups.withColumns({"i": F.row_number().over(rising) - 1, "rest": F.floor(F.sum("n").over(all_) * percent / 100) - F.sum("n").over(rising) + F.col("n"), "left": F.count("*").over(all_)})
+    split = placed.withColumn("left", F.col("left") - F.col("i")).withColumn("equal", F.floor(F.col("rest") / F.col("left"))).withColumn("larger", F.col("n") > F.col("equal"))
+    at = F.min(F.when(F.col("larger"), F.struct("i", "rest", "left", "equal"))).over(all_)  # the smallest group that an equal share cuts; so does it all larger ones
+    ranked = split.withColumns({"at": at, "k": F.row_number().over(Window.orderBy(F.desc("n"), "name"))})
+    extra = (F.col("k") <= F.col("at.rest") - F.col("at.equal") * F.col("at.left")).cast("bigint")
+    return ranked.select("name", "n", F.when(F.col("larger"), F.col("at.equal") + extra).otherwise(F.col("n")).cast("bigint").alias("quota"))
+
+
+#: Ages in days beyond which rows are counted as old (fixed values).
+AGES = (7, 30, 90, 180, 365)
+
+
+def freshness(offers: DataFrame, key: str, today: str) -> DataFrame:
+    """Of each key: rows, dated rows, their median age in days (a later date counts as 0), those older than each of AGES, stock."""
+    age = F.greatest(F.lit(0), F.datediff(F.to_date(F.lit(today)), F.col("night")))
+    aged = offers.withColumn("age", F.when(F.col("night").isNotNull(), age))
+    older = [F.count_if(F.col("age") > n).alias(f"older_than_{n}") for n in AGES]
+    return aged.groupBy(key).agg(F.count("*").alias("products"), F.count("age").alias("dated"), F.median("age").alias("median_age_days"), *older, F.count_if(F.col("quantity") <= 0).alias("quantity_zero"), F.count_if(F.col("quantity") > 0).alias("quantity_positive"))
+
+
+def majority(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
+    """Each key's most frequent value (ties to the one seen first, then the smaller), how many rows have it and how many haven't."""
+    counted = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("first"), F.col(value).alias("value")))
+    return counted.groupBy(key).agg(best.alias("best"), F.sum("n").alias("all")).select(key, F.col("best.value").alias(value), (-F.col("best.minus")).alias("kept"), (F.col("all") + F.col("best.minus")).alias("dropped"))
+
+
+def stock_of_catalogue(offers: DataFrame, catalogue: DataFrame, keys: list[str], today: str, days: int) -> DataFrame:
+    """Offers (stock), overridden by a catalogue (keys, seen, in_stock; one row a key) that was seen at most so many days ago."""
+    fresh = F.coalesce(F.datediff(F.to_date(F.lit(today)), F.col("seen")) <= days, F.lit(False))
+    own = F.when(F.col("in_stock"), "in_stock").otherwise("sold_out")
+    return offers.join(catalogue, keys, "left").withColumn("overridden", fresh).withColumn("stock", F.when(F.col("overridden"), own).otherwise(F.col("stock"))).drop("in_stock")
+
+
+def role_labels(offers: DataFrame, key: str) -> DataFrame:
+    """What a choice's label says of its price among the key's: no price, the only one, lowest, nth lowest, highest. The texts are fixed values."""
+    by = Window.partitionBy(key)
+    placed = offers.withColumns({"rank": F.rank().over(by.orderBy(F.asc_nulls_last("price"))), "comparable": F.count("price").over(by), "choices": F.count("*").over(by)})
+    scope = F.when(F.col("choices") == 4, "these four").otherwise(F.concat(F.lit("these "), F.col("choices").cast("string")))
+    nth = F.when(F.col("rank") == 2, "2nd").when(F.col("rank") == 3, "3rd").otherwise(F.concat(F.col("rank").cast("string"), F.lit("th")))
+    label = (
+        F.when(F.col("price").isNull(), "Price not comparable with the others")
+        .when(F.col("comparable") <= 1, "Only option with a comparable price")
+        .when(F.col("rank") == 1, F.concat(F.lit("Lowest price of "), scope))
+        .when(F.col("rank") >= F.col("comparable"), F.concat(F.lit("Highest price of "), scope))
+        .when(F.col("rank") <= 5, F.concat(nth, F.lit(" lowest price of "), scope))
+        .otherwise(F.concat(F.lit("Price rank "), F.col("rank").cast("string"), F.lit(" of "), scope))
+    )
+    return placed.withColumn("label", label)
