@@ -33,7 +33,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,10 +186,10 @@ def closed(state: list[tuple[int, str]]) -> tuple[int, str]:
 def _pairs_of(grammar: Grammar):
     """The task: neighbours of the compressed sequences and how often they are met."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, int] = {}
-        for frame in frames:
-            for sequence, n in zip(frame["symbols"], frame["n"], strict=True):
+        for batch in batches:
+            for sequence, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = grammar.compressed(sequence)
                 i = 0
                 while i < len(s) - 1:
@@ -198,7 +197,8 @@ def _pairs_of(grammar: Grammar):
                     found[pair] = found.get(pair, 0) + n
                     # Three equal symbols in a row have their pair once.
                     i += 2 if pair[0] == pair[1] and s[i + 2 : i + 3] == pair[0] else 1
-        yield pd.DataFrame({"pair": list(found), "n": list(found.values())})
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pair", "n"])
 
     return run
 
@@ -209,7 +209,7 @@ def grammar_of(sequences: DataFrame, rules: int = RULES, rounds: int = ROUNDS) -
     for _ in range(rounds):
         if len(grammar.pairs) >= rules:
             break
-        counted = sequences.mapInPandas(_pairs_of(grammar), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
+        counted = sequences.select("symbols", "n").mapInArrow(_pairs_of(grammar), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
         taken: set[str] = set()
         before = len(grammar.pairs)
         for pair, _n in counted.orderBy(F.desc("n"), "pair").limit(rules).collect():
