@@ -42,7 +42,7 @@ QUERY_BLOCK = 32_768
 #: Rows of one tree; a task with more builds one after another.
 TREE_ROWS = 65_536
 #: Entries of a page, which is a node's children or a leaf's rows.
-PAGE = 64
+PAGE = 256
 #: Below this norm the products of two vectors are exact in doubles.
 EXACT_NORM = 2.0**26
 FOUND = "query_id long, vec_id long, score long"
