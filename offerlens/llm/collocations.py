@@ -168,14 +168,30 @@ class Filter:
         return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+#: Bits of one row of a filter on its way to the driver.
+_ROW = 1 << 16
+
+
+def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task: the rows of a filter whose bits these places are."""
+    rows: dict[int, np.ndarray] = {}
+    for batch in batches:
+        place = np.unique(batch.column(0).to_numpy()).astype(np.uint64)
+        for row in np.unique(place // np.uint64(_ROW)).tolist():
+            own = place[place // np.uint64(_ROW) == np.uint64(row)] % np.uint64(_ROW)
+            np.bitwise_or.at(rows.setdefault(row, np.zeros(_ROW // 64, np.uint64)), own >> np.uint64(6), np.uint64(1) << (own & np.uint64(63)))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([b.tobytes() for b in rows.values()], pa.binary())], ["row", "bits"])
+
+
 def filter_of(keys: DataFrame):
-    """A broadcast filter of keys(key). The driver gets 2**FILTER_BITS / 64 numbers at most."""
-    spark = keys.sparkSession
-    place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(bits)
+    """A broadcast filter of keys(key). The driver gets 2**FILTER_BITS bits at most, in rows of _ROW."""
+    places = keys.select(F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("place"))
+    rows = places.repartition(F.expr(f"place div {_ROW}")).mapInArrow(_bits, "row long, bits binary")
+    bits = np.zeros(max(1 << FILTER_BITS, _ROW) // 64, np.uint64)
+    for row in rows.toLocalIterator():
+        bits[row.row * _ROW // 64 : (row.row + 1) * _ROW // 64] = np.frombuffer(row.bits, np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits[: (1 << FILTER_BITS) // 64])
 
 
 def _counted(length: int, filters: list, spelled: bool):
