@@ -114,3 +114,21 @@ def shelves(url: Column) -> Column:
     above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     named = F.transform(above, lambda p: F.trim(F.regexp_replace(F.coalesce(F.try_url_decode(F.regexp_replace(p, "[-_+]+", " ")), p), "[-_+]+", " ")))
     return F.coalesce(F.array_join(F.filter(named, lambda p: p != ""), " > "), F.lit(""))
+
+
+#: Edits that two words of an overlap may have, and how near they must be.
+WORD_EDITS, WORD_NEAR = 2, 0.72
+
+
+def token_overlap(first: Column, second: Column) -> Column:
+    """How far two lists of words cover each other: of each word of the first its nearness to the nearest of the second, if that is
+    enough, over the number of words of the longer list. 0 if either has none."""
+    own, other = (F.filter(w, lambda x: x != "") for w in (first, second))
+
+    def nearness(a: Column, b: Column) -> Column:
+        edits = F.levenshtein(a, b, WORD_EDITS)
+        return F.when(edits >= 0, 1 - edits / F.greatest(F.length(a), F.length(b))).otherwise(0.0)
+
+    best = F.transform(own, lambda a: F.array_max(F.transform(other, lambda b: nearness(a, b))))
+    total = F.aggregate(best, F.lit(0.0), lambda sum_, x: sum_ + F.when(x >= WORD_NEAR, x).otherwise(0.0))
+    return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).otherwise(total / F.greatest(F.size(own), F.size(other)))
