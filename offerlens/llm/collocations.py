@@ -194,13 +194,54 @@ def filter_of(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits[: (1 << FILTER_BITS) // 64])
 
 
+class _Sums:
+    """Sums by language and phrase, as they are spelled."""
+
+    def __init__(self) -> None:
+        self.own: dict[str, Counter] = {}
+
+    def add(self, lang: str, phrases: list[bytes], weight: int) -> None:
+        own = self.own.setdefault(lang, Counter())
+        if weight == 1:
+            own.update(phrases)
+        else:
+            for phrase, n in Counter(phrases).items():
+                own[phrase] += n * weight
+
+    def __len__(self) -> int:
+        return sum(map(len, self.own.values()))
+
+    def out(self) -> pa.RecordBatch:
+        lang = [x for x, own in self.own.items() for _ in own]
+        phrases = [p.decode() for own in self.own.values() for p in own]
+        n = [n for own in self.own.values() for n in own.values()]
+        self.own.clear()
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+
+
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task: sums of words. Nothing is hashed: a chunk's words are what white space parts."""
+    sums = _Sums()
+    for batch in _parts(batches):
+        groups: dict[tuple[str, int], list[bytes]] = {}
+        for lang, final, chunk, n in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            words = chunk.split()
+            groups.setdefault((lang, n), []).extend(words if final else words[:-OVERLAP])
+        for (lang, n), words in groups.items():
+            sums.add(lang, words, n)
+        if len(sums) >= HELD:
+            yield sums.out()
+    if len(sums):
+        yield sums.out()
+
+
 def _counted(length: int, filters: list, spelled: bool):
     """The task: sums of n-grams of so many words, by hash or as they are spelled. filters: of the words, the pairs, the triples, as far as there are any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        sums: dict[str, Counter] = {}
+        sums = _Sums()
         may = [Filter(f.value) for f in filters]
 
         def hashed() -> pa.RecordBatch:
@@ -208,21 +249,6 @@ def _counted(length: int, filters: list, spelled: bool):
             total = np.bincount(own, np.concatenate([h[1] for h in held]))  # below 2**53 within one task
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total.astype(np.int64))], ["key", "n"])
 
-        def written() -> pa.RecordBatch:
-            lang = [x for x, own in sums.items() for _ in own]
-            phrases = [p.decode() for own in sums.values() for p in own]
-            n = [n for own in sums.values() for n in own.values()]
-            sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
-
-        def add(lang: str, phrases: list[bytes], weight: int) -> None:
-            own = sums.setdefault(lang, Counter())
-            if weight == 1:
-                own.update(phrases)
-            else:
-                for phrase, n in Counter(phrases).items():
-                    own[phrase] += n * weight
-
         for batch in _parts(batches):
             chunks = Chunks(batch)
             at = chunks.grams(length)
@@ -230,16 +256,16 @@ def _counted(length: int, filters: list, spelled: bool):
                 for i in range(length - n + 1):
                     at = at[passes(chunks.keys(at + i, n))]
             weight = chunks.n[chunks.chunk[at]]
-            if spelled:
+            if spelled and len(at):
                 names, lang = np.unique(chunks.lang[chunks.chunk[at]].astype(str), return_inverse=True)
                 order = np.lexsort((weight, lang))
                 lang, weight = lang[order], weight[order]
                 phrases = chunks.spelled(at[order], length)
-                edges = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (weight[1:] != weight[:-1])]) if len(at) else at
-                for b, e in zip(edges.tolist(), np.append(edges[1:], len(at)).tolist(), strict=True) if len(at) else ():
-                    add(str(names[lang[b]]), phrases[b:e], int(weight[b]))
-                if sum(map(len, sums.values())) >= HELD:
-                    yield written()
+                edges = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (weight[1:] != weight[:-1])])
+                for b, e in zip(edges.tolist(), np.append(edges[1:], len(at)).tolist(), strict=True):
+                    sums.add(str(names[lang[b]]), phrases[b:e], int(weight[b]))
+                if len(sums) >= HELD:
+                    yield sums.out()
             elif len(at):
                 held.append((chunks.keys(at, length), weight))
                 size += len(at)
@@ -248,8 +274,8 @@ def _counted(length: int, filters: list, spelled: bool):
                     held, size = [], 0
         if held:
             yield hashed()
-        if sums:
-            yield written()
+        if len(sums):
+            yield sums.out()
 
     return run
 
@@ -267,7 +293,7 @@ def _parts(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
 
 def counts(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Exact counts (lang, words, phrase, n) of the phrases of one to three words that occur so often, and all word occurrences (lang, n)."""
-    words = stored(chunks.mapInArrow(_counted(1, [], True), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
+    words = stored(chunks.mapInArrow(_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
     total = words.groupBy("lang").agg(F.sum("n").alias("total"))
     found = words.where(F.col("n") >= least).select("lang", F.lit(1).alias("words"), "phrase", "n")
     filters = [filter_of(found.select("lang", "phrase").mapInArrow(_keys, "key long"))]
