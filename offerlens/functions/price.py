@@ -34,7 +34,11 @@ def sale_pence(usual: Column, discount: Column) -> Column:
 
 
 def amount_and_code(text: Column) -> Column:
-    """A struct of the amount and the currency code written before or after it; without one the text as it is, and ""."""
-    before, after = r"^([A-Z]{3})\s+(\S+)$", r"^(\S+)\s+([A-Z]{3})$"
-    pair = lambda amount, code: F.struct(amount.alias("amount"), code.alias("code"))
-    return F.when(text.rlike(before), pair(F.regexp_extract(text, before, 2), F.regexp_extract(text, before, 1))).when(text.rlike(after), pair(F.regexp_extract(text, after, 1), F.regexp_extract(text, after, 2))).otherwise(pair(text, F.lit("")))
+    """amount and code of a price text of two words, of which one is a currency's code: three letters, all capital. Any other text is an amount as it stands, with an empty code."""
+    words = F.split(text, r"\s+")
+    is_code = lambda w: (F.length(w) == 3) & (F.regexp_count(w, F.lit("[A-Z]")) == 3)
+    place = F.when(F.size(words) != 2, 0).when(is_code(F.get(words, F.lit(0))), 1).when(is_code(F.get(words, F.lit(1))), 2).otherwise(0)
+    amount = F.when(place == 0, text).otherwise(F.get(words, 2 - place))
+    code = F.when(place == 0, "").otherwise(F.get(words, place - 1))
+    # A space at an end makes an empty word, which is no amount.
+    return F.when(amount == "", F.struct(text.alias("amount"), F.lit("").alias("code"))).otherwise(F.struct(amount.alias("amount"), code.alias("code")))

@@ -147,8 +147,8 @@ def apportioned(weights: DataFrame, seats: int) -> DataFrame:
 
 
 def fair_quotas(groups: DataFrame, percent: int) -> DataFrame:
-    """Shares percent of all rows out to groups (name, n; one row each): equal shares; a group smaller than its share keeps all it
-    has and leaves the rest to the others; what an equal split leaves over goes to the largest groups, then by name."""
+    """A quota for each of groups (name, n; one row each) that together make percent of all rows, rounded down: the smallest ones are kept whole, as long as
+    none of them is above the mean of what is left for it and the larger ones; from there on all have that mean, and the first by size, then name, one row more while the division leaves any."""
     all_ = Window.partitionBy()  # one row for each group
     rising = Window.orderBy("n", "name")
     placed = groups.withColumns({"i": F.row_number().over(rising) - 1, "rest": F.floor(F.sum("n").over(all_) * percent / 100) - F.sum("n").over(rising) + F.col("n"), "left": F.count("*").over(all_)})

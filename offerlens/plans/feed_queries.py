@@ -175,7 +175,7 @@ def event_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.length("props").cast("bigint").alias("size"))
 
 
-@query("prj12_conversation_turns", "SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, max(length(text)) AS longest, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
+@query("conversation_turns", "SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, max(length(text)) AS longest, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
 def conversation_turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_distinct("role").alias("n_roles"), F.max(F.length("text")).cast("bigint").alias("longest"), F.min_by("role", "turn").alias("first_role"))
 

@@ -237,7 +237,7 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "agg10_gate_summary",
+    "flt1_gate_summary",
     """WITH {OFFERS}, r AS (SELECT unnest(list_filter([CASE WHEN quantity > 40 THEN 'bulk_only' END, CASE WHEN state <> 'O' THEN 'not_live' END, CASE WHEN price < 200000 THEN 'price_too_low' END, CASE WHEN flag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL)) AS reason, shop FROM offers)
     SELECT reason, count(*) AS n, count(DISTINCT shop) AS n_shops FROM r GROUP BY reason""",
 )
