@@ -132,3 +132,31 @@ def token_overlap(first: Column, second: Column) -> Column:
     best = F.transform(own, lambda a: F.array_max(F.transform(other, lambda b: nearness(a, b))))
     total = F.aggregate(best, F.lit(0.0), lambda sum_, x: sum_ + F.when(x >= WORD_NEAR, x).otherwise(0.0))
     return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).otherwise(total / F.greatest(F.size(own), F.size(other)))
+
+
+#: Letters and words of a part number, and digits of a trade number.
+PART_LETTERS, PART_WORDS, GTIN_DIGITS = (3, 40), 4, (8, 12, 13, 14)
+
+
+def _spaced(column: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"\s+", " "))
+
+
+def same_product_key(codes: list[Column], brand: Column, parts: list[Column]) -> Column:
+    """What joins offers of one product: the first trade number whose check digit agrees, else the brand with the first part number that looks like a code
+    (a digit, or two capitals together); else "". Numbers have 14 digits, so that all lengths of one agree."""
+    digits = [F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "") for c in codes]
+    code = F.coalesce(*[F.when(gtin_valid(d) & d.rlike("[1-9]"), F.lpad(d, 14, "0")) for d in digits])
+    coded = lambda p: F.length(p).between(*PART_LETTERS) & (F.size(F.split(p, " ")) <= PART_WORDS) & p.rlike(r"\d|[A-Z]{2}")
+    part = F.coalesce(*[F.when(coded(_spaced(p)), F.lower(_spaced(p))) for p in parts])
+    name = F.lower(_spaced(brand))
+    return F.when(code.isNotNull(), F.concat(F.lit("gtin:"), code)).when((name != "") & part.isNotNull(), F.concat(F.lit("mpn:"), name, F.lit("|"), part)).otherwise("")
+
+
+def identity_key(codes: list[Column], brand: Column, parts: list[Column]) -> Column:
+    """The older key: the first filled trade number of a known length that isn't all zeros, whatever its check digit; else the brand with the first filled part number; else ""."""
+    first = lambda columns: F.coalesce(*[F.nullif(_spaced(c), F.lit("")) for c in columns], F.lit(""))
+    digits = F.regexp_replace(first(codes), "[^0-9]", "")
+    part, name = F.lower(first(parts)), F.lower(_spaced(brand))
+    known = F.length(digits).isin(*GTIN_DIGITS) & digits.rlike("[1-9]")
+    return F.when(known, F.concat(F.lit("gtin:"), F.lpad(digits, 14, "0"))).when((name != "") & (part != ""), F.concat(F.lit("mpn:"), name, F.lit("|"), part)).otherwise("")
