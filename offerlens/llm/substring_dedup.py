@@ -241,9 +241,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs without the repeated units; the texts' other characters stay as they are."""
-    gone = removed(docs, **options).select(F.col("doc_id").alias("__id"), "spans")
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    gone = removed(docs, **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("was")).join(gone, F.col("id") == F.col("doc_id"), "left")
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["text"], F.substring("text", a["at"] + 1, s["start"] - a["at"])).alias("text"), s["end"].alias("at"))
-    left = F.aggregate("spans", start, step, lambda a: F.concat(a["text"], F.substring("text", a["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    step = lambda a, s: F.struct(F.concat(a["text"], F.substring("was", a["at"] + 1, s["start"] - a["at"])).alias("text"), s["end"].alias("at"))
+    left = F.aggregate("spans", start, step, lambda a: F.concat(a["text"], F.substring("was", a["at"] + 1, F.length("was"))))
+    text = F.when(F.col("spans").isNull(), F.col("was")).otherwise(left)
+    return rows.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 llm = pytest.importorskip("offerlens.llm")
 
-from offerlens.llm import collocations, conversations, mtree  # noqa: E402
+from offerlens.llm import collocations, conversations, mtree, substring_dedup  # noqa: E402
 from offerlens.llm.queries import QUERIES  # noqa: E402
 from tests.conftest import DATA  # noqa: E402
 
@@ -281,3 +281,13 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
 
 def test_no_texts(spark):
     assert not collocations.collocations(frame(spark, [], "text string, lang string")).count()
+
+
+def test_passages_go_beside_columns_of_any_name(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"first\n{line}\nlast"), (2, f"other\n{line}\nend"), (3, None), (4, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "'x' AS spans", "text", "'y' AS __id", "'z' AS id", "'w' AS was", "'r' AS row", "'d' AS `a.b`")
+    got = substring_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    kept = {r.doc_id: r for r in got.collect()}
+    assert [kept[i].text for i in (1, 3, 4)] == [rows[0][1], None, "alone"] and line not in kept[2].text and kept[2].spans == "x" and kept[2]["a.b"] == "d"
