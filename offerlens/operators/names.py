@@ -146,3 +146,22 @@ def looked_up(asked: DataFrame, entries: DataFrame) -> DataFrame:
     hit = F.col("status") == "match"
     kept = found.select("query_id", "status", F.when(hit, F.col("entry_id")).alias("entry_id"), F.when(hit, F.col("score")).otherwise(0.0).alias("score"), "reason")
     return kept.withColumn("confidence", confidence(F.col("score")))
+
+
+def unexplained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """query_id and word of asked(query_id, words) whose word no row of known(word) has; each once."""
+    words = asked.select("query_id", F.explode("words").alias("word")).where("word <> ''").distinct()
+    return words.join(known.select("word").distinct(), "word", "left_anti").select("query_id", "word")
+
+
+#: Suggestions for a word, and the looser score that bounds their edits.
+SUGGESTED, LOOSE = 3, 0.6
+
+
+def did_you_mean(words: DataFrame, known: DataFrame, k: int = SUGGESTED) -> DataFrame:
+    """The k names of known(word, n) nearest to each of words(word): by edits, then how often they occur, then name. place, suggestion, distance."""
+    near = near_strings(words.select(F.col("word").alias("a")).where("a IS NOT NULL").distinct(), known.select(F.col("word").alias("b")).where("b IS NOT NULL").distinct(), LOOSE)
+    counted = known.groupBy(F.col("word").alias("b")).agg(F.max("n").alias("n"))
+    order = Window.partitionBy("a").orderBy("distance", F.desc("n"), "b")
+    placed = near.where("a <> b").join(counted, "b").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return placed.select(F.col("a").alias("word"), F.col("place").cast("bigint").alias("place"), F.col("b").alias("suggestion"), F.col("distance").cast("bigint").alias("distance"))

@@ -200,3 +200,33 @@ def word_overlap(spark: SparkSession, d: str) -> DataFrame:
     heads = table(spark, d, "conversations").select("conv_id", "turn", F.slice(T.words(F.col("text")), 1, 12).alias("w"))
     after = heads.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("next"))
     return heads.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.token_overlap(F.col("w"), F.col("next")), 6).alias("overlap"))
+
+
+_UNKNOWN = f"""b AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM benchmark) GROUP BY 1),
+    t AS (SELECT DISTINCT conv_id, unnest({_WORDS}) AS word FROM conversations), u AS (SELECT * FROM t WHERE word NOT IN (SELECT word FROM b))"""
+
+
+def _unknown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    known = table(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    asked = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), T.words(F.col("text")).alias("words"))
+    return N.unexplained(asked, known), known
+
+
+@query("flt33_unexplained_words", f"WITH {_UNKNOWN} SELECT conv_id AS query_id, word FROM u")
+def unexplained_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each conversation that the benchmark doesn't have."""
+    return _unknown(spark, d)[0]
+
+
+@query(
+    "fn31_did_you_mean",
+    f"""WITH {_UNKNOWN}, q AS (SELECT DISTINCT word AS a FROM u),
+    p AS (SELECT a, word AS b, n, levenshtein(a, word) AS d FROM q JOIN b ON abs(len(a) - len(word)) <= 4),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, n DESC, b) AS place FROM p
+        WHERE d <= CASE WHEN len(a) >= 10 AND len(b) >= 10 THEN 4 ELSE 3 END AND d <= floor(greatest(len(a), len(b)) * (1 - (0.6::DOUBLE - 0.25 - 0.03 - 0.04 - 0.06) / 0.75) + 1e-9))
+    SELECT a AS word, place, b AS suggestion, CAST(d AS BIGINT) AS distance FROM r WHERE place <= 3""",
+)
+def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
+    """For each word that nothing explains: the three nearest known ones."""
+    words, known = _unknown(spark, d)
+    return N.did_you_mean(words, known)

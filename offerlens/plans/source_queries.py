@@ -11,7 +11,7 @@ from offerlens.functions.price import pence
 from offerlens.operators.batches import batched
 from offerlens.plans.offer_queries import query
 from offerlens.session import shared_folder, table
-from offerlens.sources import sniffed
+from offerlens.sources import notes, sniffed
 
 COLUMNS = ("id", "name", "brand", "size", "note")
 
@@ -73,3 +73,28 @@ def job_batches(spark: SparkSession, d: str) -> DataFrame:
     """Orders as sets of their pieces, in jobs of 25 sets and 1,000 pieces at most."""
     sets = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("set_id")).agg(F.sum("l_quantity").cast("bigint").alias("listings"))
     return batched(sets, "set_id", "listings", 25, 1_000)
+
+
+_CHANGES = """n AS (SELECT l_partkey AS key, CAST(l_shipdate AS DATE) AS night, min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS price FROM lineitem GROUP BY ALL),
+    c AS (SELECT key, night, price FROM (SELECT *, lag(price) OVER (PARTITION BY key ORDER BY night) AS was FROM n) WHERE was IS DISTINCT FROM price)"""
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    sightings = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_shipdate").cast("date").alias("night"), pence(F.col("l_extendedprice")).alias("price"))
+    return notes.written(notes.changes(sightings))
+
+
+@query(
+    "snk4_price_notes",
+    f"""WITH {_CHANGES}, d AS (SELECT *, (night - DATE '1970-01-01') - coalesce(lag(night - DATE '1970-01-01') OVER w, 0) AS days, price - coalesce(lag(price) OVER w, 0) AS pence FROM c WINDOW w AS (PARTITION BY key ORDER BY night))
+    SELECT key, string_agg(days || ':' || pence, ' ' ORDER BY night) AS note FROM d GROUP BY key""",
+)
+def price_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Each product's price history as a note."""
+    return _notes(spark, d)
+
+
+@query("snk4_notes_read_back", f"WITH {_CHANGES} SELECT * FROM c")
+def notes_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """The price changes, through their notes."""
+    return notes.read(_notes(spark, d))

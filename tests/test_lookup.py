@@ -196,3 +196,21 @@ def test_closure_as_by_a_walk(spark):
     assert got == {1: ("c0", 40), 2: ("lonely", 0), 3: ("", 0), 4: ("w", 1), 5: ("", 0)}
     met = hierarchy.related(spark.createDataFrame([("c3",), ("x",), ("lonely",)], "kind string"), spark.createDataFrame([("c1",), ("c3",), ("c9",), ("y",), ("lonely",)], "other string"), paths)
     assert sorted((r.kind, r.other, r.relation) for r in met.collect()) == [("c3", "c1", "narrower"), ("c3", "c3", "same"), ("c3", "c9", "broader"), ("lonely", "lonely", "same"), ("x", "y", "broader")]
+
+
+def test_words_that_nothing_explains(spark):
+    rng = random.Random(12)
+    known = [("".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))), rng.randint(1, 5)) for _ in range(150)]
+    known = list({w: (w, n) for w, n in known}.values())
+    words = sorted({slip(rng, rng.choice(known)[0]).replace(" ", "") for _ in range(80)} - {""})
+    k = spark.createDataFrame([*known, (None, 3)], "word string, n long")
+    asked = spark.createDataFrame([(1, words[:40]), (2, words[30:]), (3, None), (4, [""])], "query_id long, words array<string>")
+    left = names.unexplained(asked, k)
+    names_ = {w for w, _ in known}
+    assert {(r.query_id, r.word) for r in left.collect()} == {(q, w) for q, ws in ((1, words[:40]), (2, words[30:])) for w in ws if w not in names_}
+    want = []
+    for w in {w for w in words if w not in names_}:
+        near = [(edits(w, v), -n, v) for v, n in known]
+        fits = sorted(x for x in near if x[0] <= min(4 if len(w) >= 10 and len(x[2]) >= 10 else 3, int(max(len(w), len(x[2])) * (1 - (0.6 - 0.38) / 0.75) + 1e-9)))
+        want += [(w, i, v, d) for i, (d, _, v) in enumerate(fits[:3], 1)]
+    assert sorted(map(tuple, names.did_you_mean(left, k).collect())) == sorted(want)
