@@ -89,6 +89,10 @@ def nearest_names(asked: DataFrame, entries: DataFrame, k: int, least: float = L
     e = entries.select("entry_id", "name", "term", "kind", joined("name").alias("b")).where("b <> ''")
     pairs = near_strings(q.select("a").distinct(), e.select("b").distinct(), least)
     both = pairs.join(q, "a").join(e, "b")
+    if least > EDIT_WEIGHT * T.WORD_NEAR + JOINED_BONUS + FAMILY_BONUS + SKELETON_BONUS:
+        # Of two single words that are too far apart to overlap, no bonus makes up for it: such pairs are most, and need no score.
+        single = ~F.contains("query", F.lit(" ")) & ~F.contains("name", F.lit(" "))
+        both = both.where(~single | (1 - F.col("distance") / F.greatest(F.length("a"), F.length("b")) >= T.WORD_NEAR - 1e-9))
     skeleton = T.skeleton(F.col("a"))
     same = (F.col("a") == F.col("b")) & (F.col("query") != F.col("name"))
     family = F.col("kind").isin(*FAMILY)
