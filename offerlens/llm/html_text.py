@@ -5,10 +5,12 @@ has its text, the number of tags in it, and how much of its text stands in links
 headers, footers, sidebars, forms, scripts, styles, adverts, notices, comments) are passed over, by their names, roles, and the
 words of their classes and ids.
 
-A line's ratio is its text outside links for each tag. The ratios are smoothed by a Gaussian, and two clusters, content and the
-rest, are found by the threshold between their means. Regions: a container (the nearest sectioning element around a line) is
-content if enough of its text is; then all its lines are, so that a short paragraph isn't lost. Where a page has an article
-or main element with text, the others are passed over.
+A line's ratio is its text outside links for each tag. The ratios are smoothed by a Gaussian, and two clusters of their logarithms,
+content and the rest, are found by the threshold between their means; clusters closer than `APART` are one. Regions: an article or
+main element, else the nearest sectioning element around a line; a table cell that holds blocks of its own is a region (a page laid out
+by a table), any other cell belongs to what holds its table. A region is content if half of its text is, and half stands outside
+links; then all its lines are, so that a short paragraph isn't lost. An article's text is never dropped; what stands outside of it
+is content only if it has more dense text than all articles of the page.
 
 Cases. A null or empty html, or one without text, gives the empty text. Unclosed and misplaced tags are taken as they come: an end
 tag closes what is open down to its start, others are ignored. Repeated rows are each extracted. Extra columns are ignored.
@@ -31,14 +33,19 @@ from offerlens.llm.common import only
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form head header iframe map math menu nav noscript object script select style svg template textarea title video".split())
-CONTAINERS = frozenset("article body div main section td".split())
+CONTAINERS = frozenset("article body div main section".split())
+CELLS = frozenset(("td", "th"))
+#: What a table is made of; another block inside a cell makes the cell a region.
+TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of classes and ids of what isn't the article.
+#: A chosen list: words of classes and ids of what isn't the article.
 MARKS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices notification overlay pagination pager popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 SIGMA = 1.0
+#: Two clusters of ratios are told apart if their means differ by this factor at least.
+APART = 3.0
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -47,7 +54,8 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, bool]] = []  # name, whether passed over, whether a region
+        self.cells: list[bool] = []  # of the open cells: whether a region
         self.skipping = self.links = self.articles = 0
         self.containers = [0]
         self.n_containers = 0
@@ -72,30 +80,39 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         skip = tag in SKIPPED
-        if attrs and not skip and tag not in ("html", "body", "article", "main"):
+        if attrs and not skip and tag not in ("html", "body") and (self.articles or tag not in ("article", "main")):
             for name, value in attrs:
                 if (name in ("class", "id") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower()))) or (name == "role" and value and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
                     skip = True
                     break
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self._close(len(self.open) - 1)
-        self.open.append((tag, skip))
+        if self.cells and not self.cells[-1] and not self.articles and tag in BLOCKS and tag not in TABLE_PARTS:
+            self.cells[-1] = True
+            self._begin_region()
+        region = tag in CONTAINERS and not self.articles
+        if region:
+            self._begin_region()
+        if tag in CELLS:
+            self.cells.append(False)
+        self.open.append((tag, skip, region))
         self.skipping += skip
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
-        if tag in CONTAINERS:
-            self.n_containers += 1
-            self.containers.append(self.n_containers)
+
+    def _begin_region(self) -> None:
+        self.n_containers += 1
+        self.containers.append(self.n_containers)
 
     def _close(self, to: int) -> None:
         while len(self.open) > to:
-            tag, skip = self.open.pop()
+            tag, skip, region = self.open.pop()
             if tag in BLOCKS and not self.skipping:
                 self._end_line()
             self.skipping -= skip
             self.links -= tag == "a"
             self.articles -= tag in ("article", "main")
-            if tag in CONTAINERS:
+            if region or (tag in CELLS and self.cells.pop()):
                 self.containers.pop()
 
     def handle_endtag(self, tag: str) -> None:
@@ -140,27 +157,35 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def dense(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+    """Which lines are in the cluster of high ratios, with their neighbours' help."""
+    ratios = np.array([max(0, len(x[0]) - x[2]) / max(1, x[1]) for x in lines], float)
+    levels = np.log1p(smoothed(ratios))
+    above = levels >= threshold(levels)
+    if above.all() or levels[above].mean() - levels[~above].mean() < np.log(APART):
+        return np.ones(len(lines), bool)
+    return above
+
+
 def blocks(html: str | None) -> list[str]:
     """The content blocks of a page, in order."""
     if not html:
         return []
     lines = _Lines().all_lines(html)
-    if any(x[4] for x in lines):
-        lines = [x for x in lines if x[4]]
     if not lines:
         return []
-    plain = np.array([len(x[0]) - x[2] for x in lines], float).clip(0)
-    content = smoothed(plain / np.array([max(1, x[1]) for x in lines]))
-    content = content >= min(threshold(content), 25.0)
-    # A container is content if at least a tenth of its text is, and most of its text stands outside links.
-    sizes = np.array([len(x[0]) for x in lines], float)
-    total: dict[int, list[float]] = {}
-    for x, size, free, good in zip(lines, sizes, plain, content, strict=True):
-        own = total.setdefault(x[3], [0.0, 0.0, 0.0])
-        own[0] += size
+    total: dict[int, list[int]] = {}  # by region: characters, those outside links, those in dense lines outside links
+    articles = set()
+    for x, good in zip(lines, dense(lines), strict=True):
+        own = total.setdefault(x[3], [0, 0, 0])
+        free = max(0, len(x[0]) - x[2])
+        own[0] += len(x[0])
         own[1] += free
-        own[2] += size * good
-    kept = {k for k, (size, free, good) in total.items() if good >= 0.1 * size and free >= 0.5 * size}
+        own[2] += free * bool(good)
+        if x[4]:
+            articles.add(x[3])
+    least = sum(total[k][2] for k in articles)
+    kept = articles | {k for k, (size, free, good) in total.items() if 2 * good >= size and 2 * free >= size and (not articles or good > least)}
     return [x[0] for x in lines if x[3] in kept]
 
 

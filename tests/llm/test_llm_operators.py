@@ -2,12 +2,14 @@
 
 import collections
 import gzip
+import html
 import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 llm = pytest.importorskip("offerlens.llm")
@@ -565,6 +567,41 @@ def test_main_text_without_an_article_element():
     assert html_text.blocks(page) == [(long * 3).strip(), long.strip(), (long * 4).strip(), "The end."]
 
 
+def test_density_chooses_among_regions(monkeypatch):
+    long = "This is a paragraph of the story with a good number of words in it, as stories have. "
+    story = "".join(f"<p>{long * k}</p>" for k in (3, 2, 4))
+    menu = "<div>" + "".join(f"<span><b>{w}</b></span><p><i><b>{w}</b></i></p>" for w in ("Home", "News", "Sport", "Arts", "Shop", "Help")) + "</div>"
+    page = f"<body>{menu}<div><h2>A head</h2>{story}<p>The end.</p></div>{menu}</body>"
+    want = ["A head", *[(long * k).strip() for k in (3, 2, 4)], "The end."]
+    assert html_text.blocks(page) == want
+    # An article keeps all of its text beside larger menus, and gives way to nothing; a larger story outside of a teaser is content too.
+    assert html_text.blocks(f"{menu * 5}<article><p>Short.</p><div><p>{long}</p></div><div><p>x</p></div></article>{menu}") == ["Short.", long.strip(), "x"]
+    assert html_text.blocks(f"<article><p>{long}</p></article>{menu}<div>{story}</div>")[:2] == [long.strip(), (long * 3).strip()]
+    assert html_text.blocks(f"<article>{story}<article class='comment'><p>{long}</p></article></article>") == want[1:4]
+    monkeypatch.setattr(html_text, "dense", lambda lines: np.ones(len(lines), bool))
+    assert "Home" in " ".join(html_text.blocks(page))
+
+
+def test_cells_of_tables():
+    long = "This is a paragraph of the story with a good number of words in it, as stories have. " * 3
+    table = "<table><tr><th>Mass</th><td>3</td></tr><tr><th>Size<td>4</table>"
+    want = [long.strip(), "Mass", "3", "Size", "4", long.strip()]
+    assert html_text.blocks(f"<article><p>{long}</p>{table}<p>{long}</p></article>") == want
+    assert html_text.blocks(f"<div><p>{long}</p>{table}<p>{long}</p></div>") == want
+    laid_out = f"<body><table><tr><td><p><a href=1>Home</a></p><p><a href=2>Shop</a></p></td><td><p>{long}</p>{table}<p>{long}</p></td></tr></table></body>"
+    assert html_text.blocks(laid_out) == want
+
+
+def test_article_of_every_page_by_a_plain_reading():
+    """All pages of the smallest tables: the article element cut out and its tags removed by patterns."""
+    for row in pq.read_table(f"{DATA}/pages.parquet").to_pylist():
+        inner = re.search(r"<article[^>]*>(.*?)(</article>|$)", re.sub(r"<!--.*?-->", "", row["html"] or "", flags=re.S), re.S).group(1)
+        inner = re.sub(r"<(script|style|aside|form|nav|footer|header|div)\b.*?</\1>", "<p>", inner, flags=re.S)
+        pieces = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|pre|table|tr|td|th|figure)\b[^>]*>", inner)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in pieces]
+        assert html_text.blocks(row["html"]) == [x for x in plain if x], row["page_id"]
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", "<p>a  b</p>"), (1, "u", "<p>a  b</p>"), (None, None, None), (2, None, ""), (3, "u", "<p>" + "word " * 50_000 + "</p>"), (4, "u", "<<<>>&&&#x; <p <b>ok</p>")]
     got = html_text.extracted(frame(spark, rows, "page_id long, url string, html string")).collect()
