@@ -11,6 +11,7 @@ from offerlens.functions.price import pence
 from offerlens.plans.offer_queries import query
 from offerlens.session import shared_folder, table
 from offerlens.streaming.nights import Memory
+from offerlens.streaming.search_log import SearchLog
 
 #: A night of each year's offers: of each product the offer of the least shop (as text), then price.
 _NIGHTS = """n AS (SELECT *, dense_rank() OVER (ORDER BY night) AS i FROM (
@@ -44,3 +45,23 @@ def nightly_state(spark: SparkSession, d: str) -> DataFrame:
 def price_records(spark: SparkSession, d: str) -> DataFrame:
     """The nights on which each product's price changed."""
     return _memory(spark, d).prices().drop("currency")
+
+
+@query(
+    "snk5_search_log",
+    """WITH RECURSIVE l AS (
+        SELECT CAST(ts AS DATE) AS day, q, strlen(CAST(json_object('q', q) AS VARCHAR)) + 1 AS size, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, q) AS i
+        FROM (SELECT ts, concat(event_type, ' ', props) AS q FROM events) WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 20 FROM events)
+    ), f AS (
+        SELECT DISTINCT day, CAST(0 AS BIGINT) AS i, CAST(4000 AS BIGINT) AS room, CAST(NULL AS VARCHAR) AS q FROM l
+        UNION ALL
+        SELECT l.day, l.i, CASE WHEN size <= room THEN room - size ELSE room END, CASE WHEN size <= room THEN l.q END FROM f JOIN l ON l.day = f.day AND l.i = f.i + 1
+    ) SELECT day, q, count(*) AS n FROM f WHERE q IS NOT NULL GROUP BY day, q""",
+)
+def search_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as searches, logged in two batches (one of them twice), 4,000 bytes a day, 20 days and the latest: what the log holds."""
+    searches = table(spark, d, "events").select("ts", F.concat_ws(" ", "event_type", "props").alias("q"))
+    log = SearchLog(spark, f"{shared_folder(spark)}/searches-{uuid.uuid4().hex}", most_bytes=4000, keep_days=20)
+    for number, half in ((0, F.hour("ts") < 12), (1, F.hour("ts") >= 12), (1, F.hour("ts") >= 12)):
+        log.record(searches.where(half), number)
+    return log.read().groupBy("day", "q").agg(F.count("*").alias("n"))
