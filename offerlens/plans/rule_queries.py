@@ -97,12 +97,12 @@ def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn12_deletion_join",
-    """WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) BETWEEN 4 AND 12)) AS word FROM benchmark), q AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) BETWEEN 4 AND 12)) AS word FROM conversations)
+    """WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS word FROM benchmark), q AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS word FROM conversations)
     SELECT q.word AS query_word, n.word AS known_word FROM q JOIN n ON abs(length(q.word) - length(n.word)) <= 1 AND levenshtein(q.word, n.word) <= 1""",
 )
 def deletion_join(spark: SparkSession, d: str) -> DataFrame:
     """Words of conversations within one edit of a benchmark word: both share a deletion, so the join is on equal deletions."""
-    words = lambda name: table(spark, d, name).select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x).between(4, 12))).alias("word")).distinct()
+    words = lambda name: table(spark, d, name).select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("word")).distinct()
     asked, known = words("conversations").withColumnRenamed("word", "query_word"), words("benchmark").withColumnRenamed("word", "known_word")
     a, b = asked.select("query_word", F.explode(T.deletions(F.col("query_word"))).alias("cut")), known.select("known_word", F.explode(T.deletions(F.col("known_word"))).alias("cut"))
     return a.join(b, "cut").select("query_word", "known_word").distinct().where(F.levenshtein("query_word", "known_word", 1) >= 0)
