@@ -23,8 +23,9 @@ def _swapped(word: Column) -> Column:
     return F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.lit(1)), F.substr(word, i, F.lit(1)), F.substr(word, i + 2, F.length(word))))
 
 
-def swap_distance(a: Column, b: Column) -> Column:
-    """Edits from a to b, a swap of neighbours being one, up to 2; null beyond. No letter is edited again after its swap."""
+def swap_distance(a: Column, b: Column, across: bool = False) -> Column:
+    """Edits from a to b, a swap of neighbours being one, up to 2; null beyond. No letter is edited again after its swap; across: but two may swap across
+    one that goes, and one may come between two that swapped (the unrestricted distance)."""
     places = F.when(F.length(a) > 1, F.sequence(F.lit(1), F.length(a) - 1)).otherwise(F.array().cast("array<int>"))
     letter = lambda w, i: F.substr(w, i, F.lit(1))
 
@@ -37,7 +38,14 @@ def swap_distance(a: Column, b: Column) -> Column:
     one = F.array_min(F.flatten(F.transform(places, lambda i: F.transform(F.array(i - 1, i, i + 1), lambda j: with_swap(i, j)))))
     two = F.when(F.arrays_overlap(_swapped(a), _swapped(b)), 2)
     edits = F.levenshtein(a, b, 2)
-    return F.least(F.when(edits >= 0, edits), one, two)
+
+    def crossed(long: Column, short: Column) -> Column:
+        ends = lambda i: (F.left(long, i - 1) == F.left(short, i - 1)) & (F.substr(long, i + 3, F.length(long)) == F.substr(short, i + 2, F.length(short)))
+        around = lambda i: (letter(long, i) == letter(short, i + 1)) & (letter(long, i + 2) == letter(short, i)) & ends(i)
+        return (F.length(long) == F.length(short) + 1) & (F.length(short) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(short) - 1, F.lit(1))), around)
+
+    plain = F.least(F.when(edits >= 0, edits), one, two)
+    return F.least(plain, F.when(crossed(a, b) | crossed(b, a), 2)) if across else plain
 
 
 def _cuts(word: Column) -> Column:
@@ -47,8 +55,8 @@ def _cuts(word: Column) -> Column:
     return F.transform(twice, lambda c: F.xxhash64(F.left(word, F.lit(1)), F.endswith(word, F.lit("s")), c))
 
 
-def mended(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """word, best and nearness of words(word) by lexicon(word), both distinct.
+def mended(words: DataFrame, lexicon: DataFrame, across: bool = False) -> DataFrame:
+    """word, best and nearness of words(word) by lexicon(word), both distinct; across: see swap_distance.
 
     A word of the lexicon, a short one and one with other signs than letters stay (1.0). Of the lexicon's words with the same first letter, and
     an s at the end if the word has one, the one with the fewest edits is best, two at most; if two are, or it is too far, the word stays
@@ -59,15 +67,15 @@ def mended(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     open_ = known.where(~as_is & (F.length("word") >= MENDED_FROM)).select("word")
     keys = lambda rows, c: rows.select(F.col("word").alias(c), F.explode(_cuts(F.col("word"))).alias("key"))
     pairs = keys(open_, "a").join(keys(lexicon, "b"), "key").select("a", "b").distinct()
-    near = pairs.withColumn("edits", swap_distance(F.col("a"), F.col("b"))).where("edits IS NOT NULL")
+    near = pairs.withColumn("edits", swap_distance(F.col("a"), F.col("b"), across)).where("edits IS NOT NULL")
     best = near.groupBy("a").agg(F.min("edits").alias("least"), F.min(F.struct("edits", "b")).alias("first"), F.max(F.struct(-F.col("edits"), "b")).alias("last"))
     nearness = 1 - F.col("least") / F.greatest(F.length("a"), F.length("first.b"))
     sure = best.where(F.col("first.b") == F.col("last.b")).where(nearness >= WORD_NEAR).select(F.col("a").alias("word"), F.col("first.b").alias("best"), F.round(nearness, 2).alias("nearness"))
     return known.select("word", as_is.alias("as_is")).join(sure, "word", "left").select("word", F.coalesce("best", "word").alias("best"), F.when(F.col("as_is"), 1.0).otherwise(F.coalesce("nearness", F.lit(0.0))).alias("nearness"))
 
 
-def parted(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """word and parts (array) of words(word): two words of the lexicon that were written as one, the first such place, or the word itself.
+def parted(words: DataFrame, lexicon: DataFrame, across: bool = False) -> DataFrame:
+    """word and parts (array) of words(word): two words of the lexicon that were written as one, the first such place, or the word itself; across: see swap_distance.
 
     One of the two must be a word of the lexicon as it is; the other may be mended if both are near enough together. All parts of all words
     are mended at once, as distinct words.
@@ -77,7 +85,7 @@ def parted(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     cuts = cuts.select("word", "at", F.left("word", F.col("at")).alias("left"), F.substr("word", F.col("at") + 1, F.length("word")).alias("right"))
     own = lexicon.select("word").withColumn("own", F.lit(True))
     side = lambda c: cuts.select(F.col(c).alias("word"))
-    read = mended(side("left").unionByName(side("right")).distinct(), lexicon)
+    read = mended(side("left").unionByName(side("right")).distinct(), lexicon, across)
     read = read.join(own, "word", "left").join(own.select(F.col("word").alias("best"), F.col("own").alias("best_own")), "best", "left").where("best_own")
     of = lambda c: read.select(F.col("word").alias(c), F.col("best").alias(f"{c}_best"), F.coalesce("own", F.lit(False)).alias(f"{c}_own"), F.col("nearness").alias(f"{c}_near"))
     both = cuts.join(of("left"), "left").join(of("right"), "right")

@@ -175,7 +175,7 @@ def _lexicon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("fn15_mended_words", f"WITH {_LEXICON}, {_mended('q', 'm')} SELECT word, best, nearness FROM m")
 def mended_words(spark: SparkSession, d: str) -> DataFrame:
     """Each word of the conversations as the benchmark's words mend it."""
-    return S.mended(*_lexicon(spark, d))
+    return S.mended(*_lexicon(spark, d), across=True)
 
 
 @query(
@@ -189,7 +189,7 @@ def mended_words(spark: SparkSession, d: str) -> DataFrame:
 )
 def parted_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of the conversations that are two words of the benchmark, written as one."""
-    return S.parted(*_lexicon(spark, d)).where("size(parts) > 1").select("word", F.array_join("parts", " ").alias("parts"))
+    return S.parted(*_lexicon(spark, d), across=True).where("size(parts) > 1").select("word", F.array_join("parts", " ").alias("parts"))
 
 
 @query("fn7_word_overlap", f"""WITH t AS (SELECT conv_id, turn, list_slice({_WORDS}, 1, 12) AS nw FROM conversations),

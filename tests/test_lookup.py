@@ -131,6 +131,22 @@ def test_swap_distance(spark):
         assert r.d == (want if want <= 2 else None), r
 
 
+def test_swaps_across_a_letter(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)} | {"ca", "abc", "andretion", "arnetion", "adnretion"})
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").select("a", "b", spelling.swap_distance(F.col("a"), F.col("b"), across=True).alias("d"))
+    want = {(a, b): n if n <= 2 else None for a, b, n in duckdb.execute("SELECT a, b, damerau_levenshtein(a, b) FROM (SELECT unnest(?) AS a), (SELECT unnest(?) AS b)", [words, words]).fetchall()}
+    got = {(r.a, r.b): r.d for r in df.collect()}
+    assert got == want and got["ca", "abc"] == 2
+
+
+def test_a_tie_across_a_letter_mends_nothing(spark):
+    """One candidate is two plain edits away, the other a swap across a letter that goes: neither is sure."""
+    w, x = (spark.createDataFrame([(v,) for v in s], "word string") for s in (["mandretion"], ["manhetion", "marnetion"]))
+    assert spelling.mended(w, x).first().best == "manhetion" and spelling.mended(w, x, across=True).first().best == "mandretion"
+
+
 def brute_mended(word, lexicon):
     if word in lexicon or len(word) < 3 or not word.isalpha():
         return word, 1.0
