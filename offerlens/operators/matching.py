@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions import text as T
@@ -77,6 +77,69 @@ def similar_sets(index: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.col("shared").cast("bigint").alias("shared"), F.col("together").cast("bigint").alias("together"), "n_a", "n_b")
 
 
+#: Ids of one block of equal rows.
+BLOCK = 1024
+
+
+def blocks(rows: DataFrame, row_id: str, by: list[str], words: str = "words") -> DataFrame:
+    """Rows with equal words (sorted sets) and columns by, once for each BLOCK of their ids: by, words, ids (in order)."""
+    number = F.row_number().over(Window.partitionBy(*by, words).orderBy(row_id)) - 1
+    placed = rows.where(F.col(row_id).isNotNull()).select(*by, words, row_id, F.floor(number / BLOCK).alias("block"))
+    return placed.groupBy(*by, words, "block").agg(F.array_sort(F.collect_list(row_id)).alias("ids")).drop("block")
+
+
+def block_pairs(blocks: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Blocks with the same columns by, whose rows may make pairs a < b: by, words and ids of both, as x, y, ids_x, ids_y."""
+    of = lambda c: blocks.select(*by, F.col("words").alias(c), F.col("ids").alias(f"ids_{c}"))
+    return of(x).join(of(y), by).where(_may_pair(x, y))
+
+
+def _may_pair(x: str, y: str) -> Column:
+    return F.get(f"ids_{x}", F.lit(0)) < F.element_at(f"ids_{y}", -1)
+
+
+def row_pairs(pairs: DataFrame, x: str, y: str, *columns: str) -> DataFrame:
+    """Pairs a < b of the rows of paired blocks, and columns that hold for all rows of the two; nothing is held but the two lists of ids."""
+    first = pairs.select(*columns, f"ids_{y}", F.explode(f"ids_{x}").alias("a")).where(F.col("a") < F.element_at(f"ids_{y}", -1))
+    return first.select(*columns, "a", F.explode(f"ids_{y}").alias("b")).where("a < b").select("a", "b", *columns)
+
+
+def _lists(words: Column, n: int) -> Column:
+    """All lists of n of a list's words, in its order."""
+    places = F.sequence(F.lit(1), F.size(words))
+    chosen = F.transform(places, lambda i: F.struct(i.alias("last"), F.array(F.get(words, i - 1)).alias("key")))
+
+    def longer(c):
+        return F.transform(F.filter(places, lambda i: i > c["last"]), lambda i: F.struct(i.alias("last"), F.concat(c["key"], F.array(F.get(words, i - 1))).alias("key")))
+
+    for _ in range(n - 1):
+        chosen = F.flatten(F.transform(chosen, longer))
+    return F.transform(chosen, lambda c: c["key"])
+
+
+def close_rows(rows: DataFrame, row_id: str, by: list[str], enough: int = 3) -> DataFrame:
+    """Pairs a < b of rows(row_id, by, words) with equal columns by that share `enough` words, or all of the smaller set; words: sorted sets, not empty.
+
+    Equal sets are one class. A set of n < enough words meets by all of them those sets that hold them; larger ones meet by `enough` shared words, and
+    count at the first such. So what meets is an answer: the joins grow with what is found, and the rows are paired last, in blocks that are dealt evenly.
+    """
+    own = blocks(rows.where(F.col("words").isNotNull()).select(row_id, *by, "words"), row_id, by)
+    classes = own.select(*by, "words").distinct()
+    size = F.size("words")
+    found = None
+    for n in range(1, enough + 1):
+        some = classes.where(size >= n).select(*by, F.col("words").alias("y"), F.explode(_lists(F.col("words"), n)).alias("key"))
+        if n < enough:
+            met = classes.where(size == n).select(*by, F.col("words").alias("x"), F.col("words").alias("key")).join(some, [*by, "key"]).select(*by, "x", "y")
+            met = met.unionByName(met.where("x <> y").select(*by, F.col("y").alias("x"), F.col("x").alias("y")))
+        else:
+            met = some.withColumnRenamed("y", "x").join(some, [*by, "key"]).where(F.slice(F.array_intersect("x", "y"), 1, n) == F.col("key")).select(*by, "x", "y")
+        found = met if found is None else found.unionByName(met)
+    of = lambda c: own.select(*by, F.col("words").alias(c), F.col("ids").alias(f"ids_{c}"))
+    paired = found.join(of("x"), [*by, "x"]).join(of("y"), [*by, "y"]).where(_may_pair("x", "y")).select("ids_x", "ids_y")
+    return row_pairs(paired.repartition(16 * rows.sparkSession.sparkContext.defaultParallelism), "x", "y")
+
+
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Rows (n) of each key in two periods: new, gone, shrunk below a half, or held."""
     both = before.select(key, F.col("n").alias("n_before")).join(after.select(key, F.col("n").alias("n_after")), key, "full")

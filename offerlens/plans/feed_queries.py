@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions import text as T
+from offerlens.operators import matching as M
 from offerlens.operators import offers as O
 from offerlens.plans.offer_queries import query
 from offerlens.session import table
@@ -215,9 +216,9 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn24_close_titles", "WITH p AS (SELECT p_partkey, p_type, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) >= least(len(a.w), len(b.w), 3)")
 def close_titles(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select("p_partkey", "p_type", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    a, b = part.select(F.col("p_partkey").alias("a"), "p_type", F.col("w").alias("x")), part.select(F.col("p_partkey").alias("b"), "p_type", F.col("w").alias("y"))
-    return a.join(b, "p_type").where("a < b").where(F.size(F.array_intersect("x", "y")) >= F.least(F.size("x"), F.size("y"), F.lit(3))).select("a", "b")
+    """Pairs of products of one type whose titles share three words, or all of the shorter one."""
+    words = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    return M.close_rows(table(spark, d, "part").select("p_partkey", "p_type", words.alias("words")), "p_partkey", ["p_type"])
 
 
 @query("fn2_normal_words", "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS words FROM benchmark")
