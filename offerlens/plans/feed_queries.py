@@ -136,12 +136,13 @@ def recheck_queue(spark: SparkSession, d: str) -> DataFrame:
     SELECT a, b, CASE WHEN only_a = 0 AND only_b = 0 THEN 'same' WHEN only_a > 0 AND only_b > 0 THEN 'certain' ELSE 'doubtful' END AS difference FROM x""",
 )
 def title_differences(spark: SparkSession, d: str) -> DataFrame:
-    """Products of one brand and size: whether each title has words of its own, one has, or none."""
-    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    a, b = part.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("w").alias("x")), part.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("y"))
-    own = lambda p, q: F.size(F.array_except(p, q)) > 0
-    difference = F.when(~own("x", "y") & ~own("y", "x"), "same").when(own("x", "y") & own("y", "x"), "certain").otherwise("doubtful")
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", difference.alias("difference"))
+    """Products of one brand and size: whether each title has words of its own, one has, or none. Equal titles are compared once."""
+    words = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    own = M.blocks(table(spark, d, "part").select("p_partkey", "p_brand", "p_size", words.alias("words")), "p_partkey", ["p_brand", "p_size"])
+    has_own = lambda p, q: F.size(F.array_except(p, q)) > 0
+    difference = F.when(~has_own("x", "y") & ~has_own("y", "x"), "same").when(has_own("x", "y") & has_own("y", "x"), "certain").otherwise("doubtful")
+    pairs = M.block_pairs(own, ["p_brand", "p_size"], "x", "y").withColumn("difference", difference)
+    return M.row_pairs(pairs, "x", "y", "difference")
 
 
 @query(
