@@ -137,7 +137,29 @@ def close_rows(rows: DataFrame, row_id: str, by: list[str], enough: int = 3) ->
         found = met if found is None else found.unionByName(met)
     of = lambda c: own.select(*by, F.col("words").alias(c), F.col("ids").alias(f"ids_{c}"))
     paired = found.join(of("x"), [*by, "x"]).join(of("y"), [*by, "y"]).where(_may_pair("x", "y")).select("ids_x", "ids_y")
-    return row_pairs(paired.repartition(16 * rows.sparkSession.sparkContext.defaultParallelism), "x", "y")
+    return row_pairs(_dealt(paired), "x", "y")
+
+
+def _dealt(paired: DataFrame) -> DataFrame:
+    """Paired blocks, dealt evenly: they are few bytes of which many rows come, so their number of tasks can't follow from their size."""
+    return paired.repartition(16 * paired.sparkSession.sparkContext.defaultParallelism)
+
+
+def near_numbers(rows: DataFrame, row_id: str, value: str, by: list[str], within: int) -> DataFrame:
+    """Pairs a < b of rows(row_id, value, by) with equal columns by whose whole numbers are at most `within` apart.
+
+    Numbers are cut into cells as wide; a row meets the later ones of its own cell and those of the next. Cells are parted into blocks in order, which are
+    dealt evenly, so neither a full cell nor equal numbers make one task's work.
+    """
+    placed = rows.where(F.col(row_id).isNotNull() & F.col(value).isNotNull())
+    placed = placed.select(*by, F.struct(F.col(value).alias("v"), F.col(row_id).alias("id")).alias("row"), F.floor(F.col(value) / within).alias("cell"))
+    own = blocks(placed, "row", by, "cell")
+    x = own.select(*by, F.col("ids").alias("ids_x"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    y = own.select(*by, F.col("ids").alias("ids_y"), "cell")
+    near = lambda first, last: last["v"] - first["v"] <= within
+    paired = x.join(y, [*by, "cell"]).where(_may_pair("x", "y") & near(F.element_at("ids_x", -1), F.get("ids_y", F.lit(0))))
+    met = row_pairs(_dealt(paired.select("ids_x", "ids_y")), "x", "y").where(near(F.col("a"), F.col("b")) & (F.col("a.id") != F.col("b.id")))
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

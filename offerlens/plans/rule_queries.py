@@ -87,12 +87,9 @@ def query_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn10_duplicate_records", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND abs(CAST(round(a.c_acctbal * 100) AS BIGINT) - CAST(round(b.c_acctbal * 100) AS BIGINT)) <= 20000")
 def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
-    """Customers of one nation and segment whose balances are within 200: balances are cut into cells of 200, and a row meets its own cell and those beside it."""
+    """Customers of one nation and segment whose balances are within 200."""
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("v"))
-    cell = F.floor(F.col("v") / 20_000)
-    a = rows.select(F.col("c_custkey").alias("x"), "c_nationkey", "c_mktsegment", F.col("v").alias("v_a"), cell.alias("cell"))
-    b = rows.select(F.col("c_custkey").alias("y"), "c_nationkey", "c_mktsegment", F.col("v").alias("v_b"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    return a.join(b, ["c_nationkey", "c_mktsegment", "cell"]).where("x < y AND abs(v_a - v_b) <= 20000").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return M.near_numbers(rows, "c_custkey", "v", ["c_nationkey", "c_mktsegment"], 20_000)
 
 
 @query(

@@ -25,3 +25,18 @@ def test_many_equal_rows_are_few_classes(spark):
     assert pairs.count() <= 16
     assert M.row_pairs(pairs, "x", "y").count() == 3_000 * 2_999 // 2
     assert M.close_rows(rows, "id", ["kind"]).count() == 2 * (1_500 * 1_499 // 2)
+
+
+def test_near_numbers_as_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["x", "y"]), rng.choice([-250, -200, 0, 0, 1, 199, 200, 201, 400, rng.randint(-999, 999), None])) for i in range(400)]
+    pairs = M.near_numbers(spark.createDataFrame(rows, "id long, kind string, v long"), "id", "v", ["kind"], 200)
+    want = [(a, b) for (a, k, x), (b, l, y) in combinations(rows, 2) if k == l and x is not None and y is not None and abs(x - y) <= 200]
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+
+
+def test_equal_numbers_are_dealt_over_tasks(spark):
+    """5,000 equal numbers: no task makes more than two blocks' pairs at once, and no task has most of them."""
+    rows = spark.range(5_000).select("id", F.lit("x").alias("kind"), F.lit(7).cast("bigint").alias("v"))
+    made = M.near_numbers(rows, "id", "v", ["kind"], 200).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 5_000 * 4_999 // 2 and max(r["count"] for r in made) < 5_000 * 4_999 // 4
