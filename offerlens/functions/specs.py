@@ -52,15 +52,18 @@ def squeezed(text: Column) -> Column:
 def numbers(text: Column) -> Column:
     """Every number with a unit in a text: before (all that stands before it), stated, property, value (in the property's unit) and after."""
     marked = F.split(F.regexp_replace(squeezed(text), _STATED, f"{_OPEN}$0{_CLOSE}"), _OPEN)
-    found = F.filter(F.transform(marked, lambda p, i: F.struct(p.alias("piece"), i.alias("i"))), lambda p: p["i"] > 0)
 
-    def read(p: Column, stated: Column) -> Column:
-        before = F.translate(F.array_join(F.slice(marked, F.lit(1), p["i"]), ""), _CLOSE, "")
+    def read(pieces: Column, p: Column, stated: Column) -> Column:
+        before = F.translate(F.array_join(F.slice(pieces, F.lit(1), p["i"]), ""), _CLOSE, "")
         amount = F.replace(F.regexp_extract(stated, f"^{_NUMBER}", 0), F.lit(","), F.lit(".")).try_cast("double")
         of = lambda unit: F.struct(before.alias("before"), stated.alias("stated"), _mapped(_OF_UNIT, unit).alias("property"), (amount * _mapped(_SCALE, unit)).alias("value"), F.substring_index(p["piece"], _CLOSE, -1).alias("after"))
         return _let(F.lower(F.regexp_extract(stated, rf"(?i)({_UNITS})$", 1)), of)
 
-    return F.transform(found, lambda p: _let(F.substring_index(p["piece"], _CLOSE, 1), lambda stated: read(p, stated)))
+    def found(pieces: Column) -> Column:
+        placed = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), i.alias("i"))), lambda p: p["i"] > 0)
+        return F.transform(placed, lambda p: _let(F.substring_index(p["piece"], _CLOSE, 1), lambda stated: read(pieces, p, stated)))
+
+    return _let(marked, found)
 
 
 def _spec(name: Column, value: Column, stated: Column, source: str) -> Column:
@@ -127,10 +130,15 @@ def stated_specs(specifications: Column, title: Column, product_type: Column, *d
     return _let(found, lambda all_: F.array_compact(F.array(*[first(all_, name) for name, *_ in PROPERTIES])))
 
 
+def rows_of(offers: DataFrame, *columns: str) -> DataFrame:
+    """Columns and s, a row for each specification of offers(specs). The outer form: the plain one's filter for what has none would read the texts again, twice."""
+    return offers.select(*columns, F.explode_outer("specs").alias("s")).where("s IS NOT NULL")
+
+
 def comparable(offers: DataFrame, group: str, criteria: tuple[str, ...] = RANKING) -> DataFrame:
     """Each group's property that most of its offers(group, offer_id, specs) state, two at least, of those that may rank; ties go to the criteria's order. With how many state it, the most and who has it."""
     order = F.create_map(*[F.lit(x) for i, name in enumerate(criteria) for x in (name, i)])
-    stated = offers.select(group, "offer_id", F.explode("specs").alias("s")).where(F.col("s.property").isin(*[c for c in criteria if c in RANKING]))
+    stated = rows_of(offers, group, "offer_id").where(F.col("s.property").isin(*[c for c in criteria if c in RANKING]))
     counted = stated.groupBy(group, F.col("s.property").alias("property")).agg(F.count("*").alias("n_stated"), F.max("s.value").alias("most"), F.min(F.struct((-F.col("s.value")).alias("value"), "offer_id"))["offer_id"].alias("best_offer"))
     best = Window.partitionBy(group).orderBy(F.desc("n_stated"), order[F.col("property")])
     return counted.where("n_stated >= 2").withColumn("o", F.row_number().over(best)).where("o = 1").drop("o")

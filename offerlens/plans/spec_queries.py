@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import specs as S
 from offerlens.plans.offer_queries import query
-from offerlens.session import table
+from offerlens.session import spread, table
 
 #: What each part's texts state, by its type: property, value (of the size), unit, source; in the properties' order.
 _STATED = """s AS (
@@ -34,13 +34,13 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
     kind = F.coalesce(of("PROMO", text("Panel ", size, ",5 inch")), F.col("p_type"))
     tail = F.when(F.col("p_type") != "SMALL", text(" Playback of ", size, " hrs")).otherwise(text(" Runtime better than ", size, " hrs"))
     prose = F.concat(text("Battery: ", size * 100, "mAh. Playtime up to ", size + 7, " hours. Some 12 W of it; USB3.0m."), tail)
-    return table(spark, d, "part").select("p_partkey", "p_brand", S.stated_specs(listed, title, kind, prose).alias("specs"))
+    return spread(table(spark, d, "part")).select("p_partkey", "p_brand", S.stated_specs(listed, title, kind, prose).alias("specs"))
 
 
 @query("prj19_stated_specs", f"WITH {_STATED} SELECT p_partkey, property, value, unit, source FROM x")
 def stated_specs(spark: SparkSession, d: str) -> DataFrame:
     """What the texts of each part state."""
-    return _stated(spark, d).select("p_partkey", F.explode("specs").alias("s")).select("p_partkey", "s.property", "s.value", "s.unit", "s.source")
+    return S.rows_of(_stated(spark, d), "p_partkey").select("p_partkey", "s.property", "s.value", "s.unit", "s.source")
 
 
 @query(

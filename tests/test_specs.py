@@ -47,3 +47,14 @@ def test_the_property_that_most_state(spark):
     assert [tuple(r) for r in specs.comparable(offers.where("offer_id < 3"), "shop").collect()] == [("g", "storage", 2, 64.0, 1)]
     assert [tuple(r) for r in specs.comparable(offers.where("offer_id < 3"), "shop", ("playtime", "storage")).collect()] == [("g", "playtime", 2, 20.0, 2)]
     assert not specs.comparable(offers.limit(0), "shop").count()
+
+
+@pytest.mark.parametrize("name", ["prj19_stated_specs", "agg39_comparable_property"])
+def test_texts_are_read_once_and_by_many_tasks(spark, name):
+    """The optimised plan marks each text's numbers once (before, a filter for parts without specifications read them twice more), after dealing the parts out."""
+    from __spark_entry__ import queries
+
+    from tests.conftest import DATA
+
+    plan = queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Playtime up to ") == 1 and plan.index("Playtime up to ") < plan.index("Repartition")
