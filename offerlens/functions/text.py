@@ -80,20 +80,27 @@ def deletions(word: Column) -> Column:
 def misspellings(text: Column) -> Column:
     """A struct of slips in the longest word (the first of them): missing (a letter, from five letters on), swapped and doubled (from
     four on), and joined (two words or more, without their spaces); "" where one can't be made."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    most = F.array_max(F.transform(words, F.length))
-    place = F.array_position(F.transform(words, F.length), most).cast("int")
-    word = F.get(words, place - 1)
-    half = F.floor(most / 2).cast("int")
-    left = F.greatest(F.lit(1), half - 1)
-    with_word = lambda new: F.array_join(F.transform(words, lambda w, i: F.when(i == place - 1, new).otherwise(w)), " ")
-    letter = lambda at: F.substr(word, at + 1, F.lit(1))
-    head, tail = (lambda n: F.substr(word, F.lit(1), n)), (lambda n: F.substr(word, n + 1))
-    missing = F.when(most >= 5, with_word(F.concat(head(half), tail(half + 1))))
-    swapped = F.when((most >= 4) & (letter(left) != letter(left + 1)), with_word(F.concat(head(left), letter(left + 1), letter(left), tail(left + 2))))
-    doubled = F.when(most >= 4, with_word(F.concat(head(half), letter(half), tail(half))))
-    joined = F.when(F.size(words) >= 2, F.array_join(words, ""))
-    return F.struct(*[F.coalesce(c, F.lit("")).alias(n) for n, c in (("missing", missing), ("swapped", swapped), ("doubled", doubled), ("joined", joined))])
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # each value is computed once
+
+    def slips(words: Column, most: Column, place: Column, word: Column) -> Column:
+        half = F.floor(most / 2).cast("int")
+        left = F.greatest(F.lit(1), half - 1)
+        with_word = lambda new: F.array_join(F.transform(words, lambda w, i: F.when(i == place - 1, new).otherwise(w)), " ")
+        letter = lambda at: F.substr(word, at + 1, F.lit(1))
+        head, tail = (lambda n: F.substr(word, F.lit(1), n)), (lambda n: F.substr(word, n + 1))
+        missing = F.when(most >= 5, with_word(F.concat(head(half), tail(half + 1))))
+        swapped = F.when((most >= 4) & (letter(left) != letter(left + 1)), with_word(F.concat(head(left), letter(left + 1), letter(left), tail(left + 2))))
+        doubled = F.when(most >= 4, with_word(F.concat(head(half), letter(half), tail(half))))
+        joined = F.when(F.size(words) >= 2, F.array_join(words, ""))
+        return F.struct(*[F.coalesce(c, F.lit("")).alias(n) for n, c in (("missing", missing), ("swapped", swapped), ("doubled", doubled), ("joined", joined))])
+
+    def longest(words: Column) -> Column:
+        lengths = F.transform(words, F.length)
+        place = F.array_position(lengths, F.array_max(lengths)).cast("int")
+        found = F.struct(place.alias("place"), F.get(words, place - 1).alias("word"))
+        return bound(found, lambda x: slips(words, F.length(x["word"]), x["place"], x["word"]))
+
+    return bound(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""), longest)
 
 
 def words_apart(first: Column, second: Column) -> Column:

@@ -9,7 +9,7 @@ from offerlens.functions import price as P
 from offerlens.functions import text as T
 from offerlens.operators import offers as O
 from offerlens.plans.offer_queries import offers, query
-from offerlens.session import table
+from offerlens.session import spread, table
 
 #: The day on which the catalogue is read; later nights count as no days old.
 TODAY = "1998-12-01"
@@ -85,7 +85,7 @@ def stock_override(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN n >= 4 THEN before || left(x, h) || x[h+1] || substr(x, h + 1) || after ELSE '' END AS doubled, CASE WHEN len(w) >= 2 THEN array_to_string(w, '') ELSE '' END AS joined FROM s""",
 )
 def misspellings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", T.misspellings(F.col("p_name")).alias("m")).select("p_partkey", "m.*")
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", T.misspellings(F.col("p_name")).alias("m")).select("p_partkey", "m.*")
 
 
 @query(

@@ -26,6 +26,11 @@ def test_fair_quotas(spark):
             assert got == quotas(sizes, sum(sizes.values()) * percent // 100), (sizes, percent)
 
 
+def test_misspellings_split_a_text_once(spark):
+    plan = spark.range(1).select(T.misspellings(F.col("id").cast("string")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_misspellings(spark):
     df = spark.createDataFrame([(k,) for k in ["kettle", "glass lamps", "ab", "", None, "toys", "red kettle"]], "t string").select("t", T.misspellings(F.col("t")).alias("m")).select("t", "m.*")
     rows = {r["t"]: (r["missing"], r["swapped"], r["doubled"], r["joined"]) for r in df.collect()}
