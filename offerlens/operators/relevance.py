@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlens.session import spread
+
 #: Points of a word in each field, and what is added or taken.
 FIELDS = {"title": 100, "product_type": 55, "category": 40, "brand": 35, "keywords": 20, "description": 5}
 PHRASE, ALL_IN_TITLE, ANY_CATEGORY, NOUN_IN_TITLE, COMPLETE, NO_ACCESSORY, ACCESSORY, TYPE = 150, 80, 20, 60, 25, 40, 220, 130
@@ -13,7 +15,7 @@ PIECE = 3
 
 
 def _pieces(text: Column, n: Column | int) -> Column:
-    """All runs of n letters of a text; none if it is shorter."""
+    """All runs of n letters of a text; none if it is shorter. The text should be a column as it is: its expression is worked out for each run."""
     last = F.length(text) - n + 1
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(n) if isinstance(n, int) else n))).otherwise(F.array().cast("array<string>"))
 
@@ -21,14 +23,15 @@ def _pieces(text: Column, n: Column | int) -> Column:
 def candidates(asked: DataFrame, offers: DataFrame) -> DataFrame:
     """query_id and offer_id of all offers in one of whose fields a piece of the query stands that every answer must hold: of the pieces of its required words the rarest.
 
-    A piece is as long as PIECE letters, or the word if that is shorter. Only pieces that some query asks are indexed; a query has one of them, so it
-    meets as many rows as its rarest piece.
+    A piece is as long as PIECE letters, or the word if that is shorter. Only pieces that some query asks are indexed (the driver sees which lengths those
+    have); a query has one of them, so it meets as many rows as its rarest piece.
     """
     wanted = asked.select("query_id", F.explode(F.flatten(F.transform("required", lambda w: _pieces(w, F.least(F.lit(PIECE), F.length(w)))))).alias("piece")).distinct()
     vocabulary = wanted.select("piece").distinct()
-    texts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in FIELDS]
-    own = F.array_distinct(F.flatten(F.array(*[_pieces(t, n) for t in texts for n in range(1, PIECE + 1)])))
-    index = offers.select("offer_id", F.explode(own).alias("piece")).join(vocabulary, "piece", "left_semi")
+    lengths = sorted(r[0] for r in vocabulary.select(F.length("piece")).distinct().collect() if r[0]) or [PIECE]
+    texts = F.transform(F.array(*FIELDS), lambda t: F.lower(F.coalesce(t, F.lit(""))))
+    own = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.concat(*[_pieces(t, n) for n in lengths]))))
+    index = spread(offers.select("offer_id", *FIELDS)).select("offer_id", F.explode(own).alias("piece")).join(vocabulary, "piece", "left_semi")
     counted = index.groupBy("piece").agg(F.count("*").alias("n"))
     # A piece that no offer holds has no row: its query has no answer then.
     rarest = wanted.join(counted, "piece", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece"))
@@ -43,8 +46,10 @@ def scored(asked: DataFrame, offers: DataFrame, accessories: list[str] | None =
     complete): texts that may be null. Words and phrases are lower case.
     """
     f = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in FIELDS}
-    met = candidates(asked, offers).join(asked, "query_id").join(offers, "offer_id")
-    fielded = met.select("query_id", "offer_id", "required", "words", "phrase", "types", "accessory", "complete", *[c.alias(n) for n, c in f.items()])
+    # Answers are more than the bytes that they are read from tell: so many tasks as are stated, with an offer's fields in lower case once.
+    tasks = 16 * offers.sparkSession.sparkContext.defaultParallelism
+    texts = offers.select("offer_id", "complete", *[c.alias(n) for n, c in f.items()]).repartition(tasks, "offer_id")
+    fielded = candidates(asked, offers).repartition(tasks, "offer_id").join(texts, "offer_id").join(asked, "query_id")
     has = lambda w, c: F.contains(F.col(c), w)
     anywhere = lambda w: F.greatest(*[has(w, c).cast("int") for c in FIELDS]) == 1
     points = lambda w: sum((has(w, c).cast("int") * n for c, n in FIELDS.items()), F.lit(0))

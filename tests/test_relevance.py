@@ -48,6 +48,14 @@ def test_answers_as_by_a_plain_scorer(spark):
     assert relevance.candidates(a, o.drop("query_id")).where("query_id = 99").count() == 0
 
 
+def test_answers_are_scored_by_many_tasks(spark):
+    """Few bytes of offers, every one of which answers: the scoring isn't left to the one or two tasks that so few bytes would get."""
+    a = spark.createDataFrame([(1, ["hub"], ["hub"], "hub", None, False)], "query_id long, required array<string>, words array<string>, phrase string, types array<string>, accessory boolean")
+    o = spark.range(2_000).select(F.col("id").alias("offer_id"), F.concat(F.lit("Hub "), "id").alias("title"), *[F.lit(None).cast("string").alias(n) for n in FIELDS[1:]], F.lit(True).alias("complete"))
+    rows = relevance.scored(a, o).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in rows) == 2_000 and len(rows) >= 16 and max(r["count"] for r in rows) < 200
+
+
 def test_keys_of_products(spark):
     rows = [
         ("4006381333931", None, "Pen", "X1", "gtin:04006381333931", "gtin:04006381333931"),
