@@ -24,10 +24,26 @@ def near_words(words: DataFrame, edits: int) -> DataFrame:
     return cuts.withColumnRenamed("word", "a").join(cuts.withColumnRenamed("word", "b"), "cut").where("a < b").select("a", "b").distinct()
 
 
+#: Queries that are sent to every task; more go by shuffle.
+FEW_QUERIES = 100_000
+
+
 def carrying_all(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows that carry every word of a query: asked(query_id, words); one join of postings and a count, no self joins."""
-    wanted = asked.select("query_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("needed"))
-    return index.join(wanted, "word").groupBy("query_id", "row_id").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met = needed").select("query_id", "row_id")
+    """Rows that carry every word of a query: asked(query_id, words).
+
+    Queries with the same words are one; it meets the rows of its rarest word, and what else it needs is looked up in the row's own words. A row's words come
+    together in a stated number of tasks, so none holds more than its part of the rows, and nothing is counted by query and row.
+    """
+    wanted = asked.select("query_id", F.array_sort(F.array_distinct("words")).alias("needed")).distinct()
+    each = wanted.select("needed").distinct().select("needed", F.explode("needed").alias("word"))
+    counted = index.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    first = each.join(counted, "word", "left").groupBy("needed").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    rows = index.repartition(16 * index.sparkSession.sparkContext.defaultParallelism, "row_id").groupBy("row_id").agg(F.collect_set("word").alias("own"))
+    queries = blocks(wanted, "query_id", [], "needed").join(first, "needed")
+    if wanted.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:  # else Spark may send the rows around, which it takes for the smaller side
+        queries = F.broadcast(queries)
+    met = rows.select("row_id", "own", F.explode("own").alias("word")).join(queries, "word").where(F.forall("needed", lambda w: F.array_contains("own", w)))
+    return met.select(F.explode("ids").alias("query_id"), "row_id")
 
 
 #: Sets of so many words at most are met by three shared rare words, larger ones by one.

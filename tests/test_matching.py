@@ -40,3 +40,22 @@ def test_equal_numbers_are_dealt_over_tasks(spark):
     rows = spark.range(5_000).select("id", F.lit("x").alias("kind"), F.lit(7).cast("bigint").alias("v"))
     made = M.near_numbers(rows, "id", "v", ["kind"], 200).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in made) == 5_000 * 4_999 // 2 and max(r["count"] for r in made) < 5_000 * 4_999 // 4
+
+
+def test_rows_that_carry_all_words(spark):
+    rng = random.Random(4)
+    rows = [(i, w) for i in range(200) for w in set(rng.choices("abcdef", k=4))]
+    asked = [(i, rng.choices("abcdefg", k=rng.randint(0, 3))) for i in range(60)] + [(60, ["a", None])]
+    own = {i: {w for j, w in rows if j == i} for i in range(200)}
+    got = M.carrying_all(spark.createDataFrame(rows, "row_id long, word string"), spark.createDataFrame(asked, "query_id long, words array<string>"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, w in asked if w for i in own if {*w} <= own[i])
+
+
+def test_frequent_words_are_not_counted_by_query_and_row(spark):
+    """Before, each query and each row of any of its words was a group of an aggregate: here 50 x 4,000, with 50 x 5 answers."""
+    index = spark.range(4_000).select(F.col("id").alias("row_id"), F.explode(F.when(F.col("id") < 5, F.array(F.lit("often"), F.lit("rare"))).otherwise(F.array(F.lit("often")))).alias("word"))
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.lit("often"), F.lit("rare")).alias("words"))
+    found = M.carrying_all(index, asked)
+    assert found.count() == 250
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [query_id" in line and "row_id" in line.split("]")[0]]
