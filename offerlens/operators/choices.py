@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlens.session import shared_folder
+
 #: Products of a kind that is read, of a choice and of a word that counts; kinds before which a word says nothing; shops of a choice;
 #: nouns of a pair that is one modifier; the share of a word's titles that makes it half of a phrase; the share of a kind that narrows nothing; choices kept, and needed.
 MIN_PRODUCTS, MIN_GROUP, MIN_WORD, GENERIC_KINDS = 50, 20, 3, 8
@@ -20,11 +22,13 @@ def kind_choices(named: DataFrame, *, min_products: int = MIN_PRODUCTS, min_grou
     nearly the whole kind. A kind has its largest choices, ties by name, if it has two.
 
     Every step is a sum by kind and words, added up before the shuffle; two shops are told by the least and the greatest. Nulls are no shop, and rows without a kind count nowhere.
+    The rows are read once: their sums are checkpointed where all executors see them, and all else follows from those.
     """
+    shared_folder(named.sparkSession)
     rows = named.where("kind IS NOT NULL").select("kind", "shop", "word", "before")
-    kinds = rows.groupBy("kind").agg(F.count("*").alias("of_kind")).where(F.col("of_kind") >= min_products)
-    shops = (F.min("shop").alias("low"), F.max("shop").alias("high"))
-    triples = rows.where("word IS NOT NULL").groupBy("kind", "before", "word").agg(F.count("*").alias("n"), *shops).join(kinds.select("kind"), "kind")
+    summed = rows.groupBy("kind", "before", "word").agg(F.count("*").alias("n"), F.min("shop").alias("low"), F.max("shop").alias("high")).checkpoint()
+    kinds = summed.groupBy("kind").agg(F.sum("n").alias("of_kind")).where(F.col("of_kind") >= min_products)
+    triples = summed.where("word IS NOT NULL").join(kinds.select("kind"), "kind")
     words = triples.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     spread = words.groupBy("word").agg(F.count_if(F.col("n") >= min_word).alias("n_kinds"), (F.min("low") != F.max("high")).alias("shared")).where(F.col("n_kinds") < generic_kinds).select("word", "shared")
     modifiers = triples.where(F.col("before").isNotNull() & (F.col("n") >= min_word)).groupBy("before", "word").agg(F.count("*").alias("nouns")).where(F.col("nouns") >= PAIR_NOUNS).select("before", "word", F.lit(True).alias("one"))

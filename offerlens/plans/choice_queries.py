@@ -29,7 +29,10 @@ from offerlens.session import table
 )
 def choices(spark: SparkSession, d: str) -> DataFrame:
     """Of the last words of all sentences, as nouns: the words before them that part them."""
-    sentences = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("shop"), F.explode(F.split(F.lower("text"), r"[.!?\n]")).alias("s"))
-    words = sentences.select("shop", F.filter(F.split("s", "[^a-z0-9]+"), lambda w: w != "").alias("w")).where("size(w) > 0")
-    at = lambda i: F.when(F.size("w") > i, F.get("w", F.size("w") - 1 - i))
-    return kind_choices(words.select("shop", at(0).alias("kind"), at(1).alias("word"), at(2).alias("before")), min_group=5, generic_kinds=30)
+    at = lambda w, i: F.get(w, F.size(w) - 1 - i)
+    last = lambda w: F.struct(at(w, 0).alias("kind"), at(w, 1).alias("word"), at(w, 2).alias("before"))
+    ends = lambda s: F.transform(F.array(F.filter(F.split(s, "[^a-z0-9]+"), lambda w: w != "")), last)[0]
+    # One expression under the explode: a filter on the words would be pushed below it and split every sentence again.
+    sentences = F.explode(F.transform(F.split(F.lower("text"), r"[.!?\n]"), ends))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("shop"), sentences.alias("s"))
+    return kind_choices(rows.select("shop", "s.*"), min_group=5, generic_kinds=30)

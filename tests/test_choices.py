@@ -62,3 +62,12 @@ def test_halves_of_phrases(spark):
     got = kind_choices(spark.createDataFrame(rows, SCHEMA))
     assert sorted(map(tuple, got.collect())) == [("suit", "3 piece", 40, 110, 1), ("suit", "slim fit", 40, 110, 2), ("suit", "wool", 30, 110, 3)]
     assert not kind_choices(spark.createDataFrame([], SCHEMA)).count()
+
+
+def test_sentences_are_read_once(spark):
+    """All that follows from the sums reads those: the plan has no scan of the documents (before, five)."""
+    from __spark_entry__ import queries
+
+    from tests.conftest import DATA
+
+    assert "parquet" not in queries()["agg17_kind_choices"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
