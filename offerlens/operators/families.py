@@ -7,7 +7,7 @@ most `most` listings are ever gathered; larger ones (families too broad to be on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions import variants as V
@@ -69,16 +69,13 @@ def cheaper_elsewhere(offers: DataFrame) -> DataFrame:
     product are left out; a null variant is a variant, a null or empty shop never stands apart.
     """
     rows = offers.where("product IS NOT NULL AND price IS NOT NULL").select("product", "variant", F.coalesce("shop", F.lit("")).alias("shop"), "price")
-    held = rows.groupBy("product", "variant", "shop").agg(F.min("price").alias("price"))
-    shops = held.groupBy("product", "shop").agg(F.count("*").alias("n"), F.min("price").alias("least"))
+    # All of a product is in one task from here on: one shuffle.
+    held = rows.repartition(16 * rows.sparkSession.sparkContext.defaultParallelism, "product").groupBy("product", "variant", "shop").agg(F.min("price").alias("price"))
+    of_shop, of_product, of_variant = Window.partitionBy("product", "shop"), Window.partitionBy("product"), Window.partitionBy("product", "variant")
+    counted = held.withColumns({"n": F.count("*").over(of_shop), "least": F.min("price").over(of_shop)})
     first = F.min(F.struct((-F.col("n")).alias("n"), "least", "shop"))
-    cards = shops.groupBy("product").agg(first.alias("first"), F.count("*").alias("n_shops")).where("n_shops > 1 AND first.n <= -2 AND first.shop <> ''").select("product", F.col("first.shop").alias("card_shop"))
-    cards = cards.select(F.col("product").alias("p"), "card_shop")
-    prices = held.select(F.col("product").alias("p"), F.col("variant").alias("v"), F.col("shop").alias("s"), F.col("price").alias("card_price")).join(cards, "p").where("s = card_shop").drop("s", "card_shop")
-    single = shops.where("n = 1").select(F.col("product").alias("sp"), F.col("shop").alias("ss"))
-    h = held.alias("h")
-    joined = h.join(cards, F.col("h.product") == F.col("p"), "left").drop("p")
-    joined = joined.join(prices, (joined["product"] == prices["p"]) & joined["variant"].eqNullSafe(prices["v"]), "left").drop("p", "v")
-    joined = joined.join(single, (joined["product"] == single["sp"]) & (joined["shop"] == single["ss"]), "left")
-    apart = F.col("sp").isNotNull() & (F.col("shop") != "") & (F.col("shop") != F.col("card_shop")) & (F.col("price") < F.col("card_price"))
-    return joined.select("product", "variant", "shop", "price", "card_shop", "card_price", F.coalesce(apart, F.lit(False)).alias("apart"))
+    carded = counted.withColumns({"first": first.over(of_product), "some": F.min("shop").over(of_product), "other": F.max("shop").over(of_product)})
+    carded = carded.withColumn("card_shop", F.when(F.expr("some <> other AND first.n <= -2 AND first.shop <> ''"), F.col("first.shop"))).drop("first", "some", "other")
+    priced = carded.withColumn("card_price", F.min(F.when(F.col("shop") == F.col("card_shop"), F.col("price"))).over(of_variant))
+    apart = (F.col("n") == 1) & (F.col("shop") != "") & (F.col("shop") != F.col("card_shop")) & (F.col("price") < F.col("card_price"))
+    return priced.select("product", "variant", "shop", "price", "card_shop", "card_price", F.coalesce(apart, F.lit(False)).alias("apart"))

@@ -98,5 +98,5 @@ def cheaper(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one brand and name as variants of a product: which shops' only variant stands apart, cheaper than on the card."""
     part = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("product"))
     lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("variant"), F.col("l_suppkey").cast("string").alias("shop"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"))
-    least = lines.groupBy("variant", "shop").agg(F.min("price").alias("price"))
+    least = lines.repartition(16 * spark.sparkContext.defaultParallelism, "variant").groupBy("variant", "shop").agg(F.min("price").alias("price"))
     return cheaper_elsewhere(least.join(part, F.col("variant") == F.col("p_partkey")).drop("p_partkey"))

@@ -121,3 +121,10 @@ def test_cheaper_elsewhere(spark):
     assert {r for r in got if r[0] == "p"} == {("p", "red", "A", 20, "D", 5, False), ("p", "green", "A", 22, "D", None, False), ("p", "green", "B", 18, "D", None, False), ("p", "red", "C", 20, "D", 5, False), ("p", "red", "D", 5, "D", 5, False), ("p", "blue", "D", 9, "D", 9, False), ("p", "blue", "E", 1, "D", 9, True), ("p", "red", "", 1, "D", 5, False)}
     assert {r for r in got if r[0] in "qr"} == {("q", "one", "A", 3, None, None, False), ("q", "one", "B", 2, None, None, False), ("r", "x", "A", 3, None, None, False), ("r", "y", "B", 2, None, None, False)}
     assert {r for r in got if r[0] == "t"} == {("t", None, "A", 4, "A", 4, False), ("t", "z", "A", 4, "A", 4, False), ("t", None, "B", 3, "A", 4, True)}
+
+
+def test_cheaper_elsewhere_moves_the_offers_once(spark):
+    """All of a product is in one task, so no join moves the offers again (before, each of three)."""
+    offers = spark.range(100).selectExpr("cast(id % 5 AS string) AS product", "id % 7 AS variant", "cast(id % 3 AS string) AS shop", "id AS price")
+    plan = cheaper_elsewhere(offers)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
