@@ -455,10 +455,11 @@ def sellers(spark: SparkSession, d: str) -> DataFrame:
     SELECT shop, count(DISTINCT product) AS n_products, count(DISTINCT product) FILTER (elsewhere) AS n_elsewhere, CAST(sum(price) AS BIGINT) AS total FROM offers JOIN s USING (product) GROUP BY shop""",
 )
 def shop_rollup(spark: SparkSession, d: str) -> DataFrame:
-    all_ = offers(spark, d)
-    shops = all_.groupBy("product").agg(F.count_distinct("shop").alias("n"))
-    joined = all_.join(shops, "product")
-    return joined.groupBy("shop").agg(F.count_distinct("product").alias("n_products"), F.count_distinct(F.when(F.col("n") > 1, F.col("product"))).alias("n_elsewhere"), F.sum("price").alias("total"))
+    """Of each shop its products, those that others sell too, and the sum of its prices. One row a shop and product first, made where all of a product is, in stated numbers of tasks."""
+    rows = offers(spark, d).where("product IS NOT NULL").select("product", "shop", "price")
+    held = rows.repartition(16 * spark.sparkContext.defaultParallelism, "product").groupBy("product", "shop").agg(F.sum("price").alias("total"))
+    held = held.withColumn("n", F.count("shop").over(Window.partitionBy("product")))
+    return held.groupBy("shop").agg(F.count("*").alias("n_products"), F.count_if(F.col("n") > 1).alias("n_elsewhere"), F.sum("total").alias("total"))
 
 
 @query(

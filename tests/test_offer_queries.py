@@ -53,3 +53,11 @@ def test_gtins_numbers_and_skeletons(spark):
     df = spark.createDataFrame([(k,) for k in words], "w string").select("w", T.other_number(F.col("w")).alias("o"), T.skeleton(F.col("w")).alias("s"))
     rows = {r["w"]: r for r in df.collect()}
     assert {w: r["o"] for w, r in rows.items()} == words and rows["berry"]["s"] == "bry"
+
+
+def test_shops_are_rolled_up_without_distinct_counts(spark):
+    """Counts of distinct products made three rows of each offer, grouped by shop and product in one hash table a task."""
+    from __spark_entry__ import queries
+
+    plan = queries()["agg7_shop_rollup"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning(product") == 1
