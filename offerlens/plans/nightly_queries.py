@@ -23,11 +23,6 @@ _NIGHTS = """n AS (SELECT *, dense_rank() OVER (ORDER BY night) AS i FROM (
 def _memory(spark: SparkSession, d: str) -> Memory:
     """The years' nights, taken in an order that isn't theirs, and one of them twice."""
     offers = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("key"), F.col("l_suppkey").cast("string").alias("shop"), pence(F.col("l_extendedprice")).alias("price"), F.lit("GBP").alias("currency"), F.lit(None).cast("boolean").alias("on_sale"), F.trunc("l_shipdate", "year").alias("night"))
-    # The offers are read and grouped once; each night then reads its own part.
-    parts = f"{shared_folder(spark)}/offers-{uuid.uuid4().hex}"
-    first = offers.where("key IS NOT NULL").groupBy("night", "key").agg(F.min(F.struct("shop", "price", "currency", "on_sale")).alias("r")).select("night", "key", "r.*")
-    first.write.partitionBy("night").parquet(parts)
-    offers = spark.read.schema(first.schema).parquet(parts)
     years = [r.night for r in offers.select("night").distinct().orderBy("night").collect()]
     memory = Memory(spark, f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}")
     for year in [*years[:2], *years[3:], *years[2:3], *years[-1:]]:
