@@ -135,10 +135,13 @@ def rows_of(offers: DataFrame, *columns: str) -> DataFrame:
     return offers.select(*columns, F.explode_outer("specs").alias("s")).where("s IS NOT NULL")
 
 
-def comparable(offers: DataFrame, group: str, criteria: tuple[str, ...] = RANKING) -> DataFrame:
-    """Each group's property that most of its offers(group, offer_id, specs) state, two at least, of those that may rank; ties go to the criteria's order. With how many state it, the most and who has it."""
+def comparable(offers: DataFrame, group: str, criteria: tuple[str, ...] = RANKING, count: str | None = None) -> DataFrame:
+    """Each group's property that most of its offers(group, offer_id, specs) state, two at least, of those that may rank; ties go to the criteria's order. With how many state it, the most and who has it.
+
+    A row may stand for all of a group's offers with the same texts: offer_id is then the smallest of theirs, and the column count says how many they are.
+    """
     order = F.create_map(*[F.lit(x) for i, name in enumerate(criteria) for x in (name, i)])
-    stated = rows_of(offers, group, "offer_id").where(F.col("s.property").isin(*[c for c in criteria if c in RANKING]))
-    counted = stated.groupBy(group, F.col("s.property").alias("property")).agg(F.count("*").alias("n_stated"), F.max("s.value").alias("most"), F.min(F.struct((-F.col("s.value")).alias("value"), "offer_id"))["offer_id"].alias("best_offer"))
+    stated = rows_of(offers, group, "offer_id", *[c for c in [count] if c]).where(F.col("s.property").isin(*[c for c in criteria if c in RANKING]))
+    counted = stated.groupBy(group, F.col("s.property").alias("property")).agg((F.sum(count) if count else F.count("*")).alias("n_stated"), F.max("s.value").alias("most"), F.min(F.struct((-F.col("s.value")).alias("value"), "offer_id"))["offer_id"].alias("best_offer"))
     best = Window.partitionBy(group).orderBy(F.desc("n_stated"), order[F.col("property")])
     return counted.where("n_stated >= 2").withColumn("o", F.row_number().over(best)).where("o = 1").drop("o")

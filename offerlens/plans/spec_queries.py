@@ -24,8 +24,12 @@ _STATED = """s AS (
 )"""
 
 
-def _stated(spark: SparkSession, d: str) -> DataFrame:
-    """Parts with a list, a title, a type and a description made of their columns, and what those state."""
+#: The columns that a part's texts are made of.
+_MADE_OF = ("p_name", "p_type", "p_size")
+
+
+def _stated(parts: DataFrame, *columns: str) -> DataFrame:
+    """Columns of parts and what the list, title, type and description state that are made of _MADE_OF."""
     size = F.col("p_size")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     of = lambda kind, value: F.when(F.col("p_type") == kind, value)
@@ -34,13 +38,13 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
     kind = F.coalesce(of("PROMO", text("Panel ", size, ",5 inch")), F.col("p_type"))
     tail = F.when(F.col("p_type") != "SMALL", text(" Playback of ", size, " hrs")).otherwise(text(" Runtime better than ", size, " hrs"))
     prose = F.concat(text("Battery: ", size * 100, "mAh. Playtime up to ", size + 7, " hours. Some 12 W of it; USB3.0m."), tail)
-    return spread(table(spark, d, "part")).select("p_partkey", "p_brand", S.stated_specs(listed, title, kind, prose).alias("specs"))
+    return spread(parts.select(*columns, *_MADE_OF)).select(*columns, S.stated_specs(listed, title, kind, prose).alias("specs"))
 
 
 @query("prj19_stated_specs", f"WITH {_STATED} SELECT p_partkey, property, value, unit, source FROM x")
 def stated_specs(spark: SparkSession, d: str) -> DataFrame:
     """What the texts of each part state."""
-    return S.rows_of(_stated(spark, d), "p_partkey").select("p_partkey", "s.property", "s.value", "s.unit", "s.source")
+    return S.rows_of(_stated(table(spark, d, "part"), "p_partkey"), "p_partkey").select("p_partkey", "s.property", "s.value", "s.unit", "s.source")
 
 
 @query(
@@ -51,5 +55,6 @@ def stated_specs(spark: SparkSession, d: str) -> DataFrame:
     SELECT b.p_brand, b.property, n_stated, most, (SELECT min(p_partkey) FROM r WHERE r.p_brand = b.p_brand AND r.property = b.property AND r.value = b.most) AS best_offer FROM b WHERE o = 1""",
 )
 def comparable_property(spark: SparkSession, d: str) -> DataFrame:
-    """Of each brand: the property by which its parts may be ranked."""
-    return S.comparable(_stated(spark, d).withColumnRenamed("p_partkey", "offer_id"), "p_brand")
+    """Of each brand: the property by which its parts may be ranked. A brand's parts with the same texts are one row with their number and smallest key, so that their texts are read once."""
+    parts = table(spark, d, "part").groupBy("p_brand", *_MADE_OF).agg(F.min("p_partkey").alias("offer_id"), F.count("*").alias("n_parts"))
+    return S.comparable(_stated(parts, "p_brand", "offer_id", "n_parts"), "p_brand", count="n_parts")

@@ -1,6 +1,7 @@
 """Specifications on literal rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerlens.functions import specs
 
@@ -58,3 +59,23 @@ def test_texts_are_read_once_and_by_many_tasks(spark, name):
 
     plan = queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Playtime up to ") == 1 and plan.index("Playtime up to ") < plan.index("Repartition")
+
+
+def test_same_texts_of_a_group_are_read_once(spark):
+    """Below the reading of agg39's texts, a brand's parts with the same texts are one row (before, each part's texts were read)."""
+    from __spark_entry__ import queries
+
+    from tests.conftest import DATA
+
+    plan = queries()["agg39_comparable_property"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Playtime up to ") :]
+    assert "Aggregate [p_brand#" in below and "min(p_partkey#" in below
+
+
+def test_rows_that_stand_for_several_offers(spark):
+    rows = [("g", 9, "Storage 64 GB."), ("g", 3, "Storage 64 GB."), ("g", 5, "Playtime 9 hours."), ("two", 8, "Battery 3000mAh"), ("two", 7, "Battery 3000mAh"), ("one", 1, "Battery 3000mAh"), (None, 2, "Storage 1 GB"), (None, 4, "Storage 1 GB")]
+    df = spark.createDataFrame(rows, "shop string, offer_id long, d string").selectExpr("*", "cast(null as string) AS n")
+    read = lambda offers: offers.withColumn("specs", specs.stated_specs(offers.n, offers.n, offers.n, offers.d))
+    once = read(df.groupBy("shop", "d", "n").agg(F.min("offer_id").alias("offer_id"), F.count("*").alias("how_many")))
+    got = {tuple(r) for r in specs.comparable(once, "shop", count="how_many").collect()}
+    assert got == {tuple(r) for r in specs.comparable(read(df), "shop").collect()} == {("g", "storage", 2, 64.0, 3), ("two", "battery", 2, 3000.0, 7), (None, "storage", 2, 1.0, 2)}
