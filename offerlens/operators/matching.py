@@ -99,9 +99,14 @@ BLOCK = 1024
 
 def blocks(rows: DataFrame, row_id: str, by: list[str], words: str = "words") -> DataFrame:
     """Rows with equal words (sorted sets) and columns by, once for each BLOCK of their ids: by, words, ids (in order)."""
+    return _numbered_blocks(rows, row_id, by, words).drop("block")
+
+
+def _numbered_blocks(rows: DataFrame, row_id: str, by: list[str], words: str = "words") -> DataFrame:
+    """Blocks, and their places (from 0) among those with the same words and columns by."""
     number = F.row_number().over(Window.partitionBy(*by, words).orderBy(row_id)) - 1
     placed = rows.where(F.col(row_id).isNotNull()).select(*by, words, row_id, F.floor(number / BLOCK).alias("block"))
-    return placed.groupBy(*by, words, "block").agg(F.array_sort(F.collect_list(row_id)).alias("ids")).drop("block")
+    return placed.groupBy(*by, words, "block").agg(F.array_sort(F.collect_list(row_id)).alias("ids"))
 
 
 def block_pairs(blocks: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -115,8 +120,12 @@ def _may_pair(x: str, y: str) -> Column:
 
 
 def row_pairs(pairs: DataFrame, x: str, y: str, *columns: str) -> DataFrame:
-    """Pairs a < b of the rows of paired blocks, and columns that hold for all rows of the two; nothing is held but the two lists of ids."""
-    first = pairs.select(*columns, f"ids_{y}", F.explode(f"ids_{x}").alias("a")).where(F.col("a") < F.element_at(f"ids_{y}", -1))
+    """Pairs a < b of the rows of paired blocks, and columns that hold for all rows of the two; nothing is held but the two lists of ids and the pairs of one a.
+
+    Generated code holds all rows that it makes of one row that it reads, so two explosions in one stage would hold all pairs of the two blocks. A filter of
+    an array isn't generated: the rows of one block come from it one at a time, and only the other block is exploded by generated code.
+    """
+    first = pairs.select(*columns, f"ids_{y}", F.explode(F.filter(f"ids_{x}", lambda a: a < F.element_at(f"ids_{y}", -1))).alias("a"))
     return first.select(*columns, "a", F.explode(f"ids_{y}").alias("b")).where("a < b").select("a", "b", *columns)
 
 
@@ -137,22 +146,27 @@ def close_rows(rows: DataFrame, row_id: str, by: list[str], enough: int = 3) ->
     """Pairs a < b of rows(row_id, by, words) with equal columns by that share `enough` words, or all of the smaller set; words: sorted sets, not empty.
 
     Equal sets are one class. A set of n < enough words meets by all of them those sets that hold them; larger ones meet by `enough` shared words, and
-    count at the first such. So what meets is an answer: the joins grow with what is found, and the rows are paired last, in blocks that are dealt evenly.
+    count at the first such. So what meets is an answer: the joins grow with what is found. Two classes are paired by the numbers of their blocks, which
+    are dealt over tasks before ids are fetched, so a class of very many rows isn't one task's; the rows are paired last, in blocks that are dealt evenly.
     """
-    own = blocks(rows.where(F.col("words").isNotNull()).select(row_id, *by, "words"), row_id, by)
-    classes = own.select(*by, "words").distinct()
-    size = F.size("words")
-    found = None
-    for n in range(1, enough + 1):
-        some = classes.where(size >= n).select(*by, F.col("words").alias("y"), F.explode(_lists(F.col("words"), n)).alias("key"))
-        if n < enough:
-            met = classes.where(size == n).select(*by, F.col("words").alias("x"), F.col("words").alias("key")).join(some, [*by, "key"]).select(*by, "x", "y")
-            met = met.unionByName(met.where("x <> y").select(*by, F.col("y").alias("x"), F.col("x").alias("y")))
-        else:
-            met = some.withColumnRenamed("y", "x").join(some, [*by, "key"]).where(F.slice(F.array_intersect("x", "y"), 1, n) == F.col("key")).select(*by, "x", "y")
-        found = met if found is None else found.unionByName(met)
-    of = lambda c: own.select(*by, F.col("words").alias(c), F.col("ids").alias(f"ids_{c}"))
-    paired = found.join(of("x"), [*by, "x"]).join(of("y"), [*by, "y"]).where(_may_pair("x", "y")).select("ids_x", "ids_y")
+    rows = rows.where(F.col("words").isNotNull() & F.col(row_id).isNotNull()).select(row_id, *by, "words")
+    classes = rows.groupBy(*by, "words").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    few = F.size("words") < enough
+    parts = F.flatten(F.array(*(_lists(F.col("words"), n) for n in range(1, enough + 1))))
+    some = classes.select(*by, F.col("words").alias("y"), F.col("n").alias("n_y"), F.explode(parts).alias("key"))
+    asked = F.when(few, F.array("words")).otherwise(_lists(F.col("words"), enough))
+    met = classes.select(*by, F.col("words").alias("x"), F.col("n").alias("n_x"), F.explode(asked).alias("key")).join(some, [*by, "key"])
+    few = F.size("x") < enough
+    met = met.where(few | (F.slice(F.array_intersect("x", "y"), 1, enough) == F.col("key")))
+    pair = lambda p, q: F.struct(F.col(p).alias("x"), F.col(f"n_{p}").alias("n_x"), F.col(q).alias("y"), F.col(f"n_{q}").alias("n_y"))
+    found = met.select(*by, F.inline(F.when(few & (F.col("x") != F.col("y")), F.array(pair("x", "y"), pair("y", "x"))).otherwise(F.array(pair("x", "y")))))
+    tasks = 16 * rows.sparkSession.sparkContext.defaultParallelism
+    placed = found.select(*by, "x", "y", "n_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_x") - 1)).alias("block_x")).repartition(tasks, *by, "x", "block_x")
+    first = F.when(F.col("x") == F.col("y"), F.col("block_x")).otherwise(0)
+    placed = placed.select(*by, "x", "block_x", "y", F.explode(F.sequence(first, F.col("n_y") - 1)).alias("block_y"))
+    own = _numbered_blocks(rows, row_id, by)
+    of = lambda c: own.select(*by, F.col("words").alias(c), F.col("block").alias(f"block_{c}"), F.col("ids").alias(f"ids_{c}"))
+    paired = placed.join(of("x"), [*by, "x", "block_x"]).join(of("y"), [*by, "y", "block_y"]).where(_may_pair("x", "y")).select("ids_x", "ids_y")
     return row_pairs(_dealt(paired), "x", "y")
 
 

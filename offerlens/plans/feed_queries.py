@@ -218,7 +218,7 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 @query("jn24_close_titles", "WITH p AS (SELECT p_partkey, p_type, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) >= least(len(a.w), len(b.w), 3)")
 def close_titles(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of products of one type whose titles share three words, or all of the shorter one."""
-    words = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    words = F.sort_array(F.array_distinct(F.split(F.lower("p_name"), " ")))
     return M.close_rows(table(spark, d, "part").select("p_partkey", "p_type", words.alias("words")), "p_partkey", ["p_type"])
 
 

@@ -1,6 +1,7 @@
 """Pairs of rows by their word sets, against plain versions, with large classes of equal rows."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -27,6 +28,39 @@ def test_many_equal_rows_are_few_classes(spark):
     assert M.close_rows(rows, "id", ["kind"]).count() == 2 * (1_500 * 1_499 // 2)
 
 
+def test_pairs_of_two_blocks_are_not_held_at_once(spark):
+    """Generated code holds all rows that it makes of one row that it reads; both blocks exploded by it were a million pairs in memory."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ids = F.sequence(F.col("id"), F.col("id") + M.BLOCK - 1)
+        pairs = spark.range(1).select(ids.alias("ids_x"), ids.alias("ids_y"))
+        found = M.row_pairs(pairs.repartition(2), "x", "y")
+        assert found.count() == M.BLOCK * (M.BLOCK - 1) // 2
+        made = [line.strip(" :+-") for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in line]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(made) == 2 and sum(line.startswith("*") for line in made) == 1
+
+
+def test_close_rows_of_classes_with_many_blocks(spark, monkeypatch):
+    """Classes of several blocks, one of them with all words of another, ids that are in both or twice in one, and rows without an id, words or kind."""
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rows = [(i, k, w) for k in "xy" for w, ids in ((["a", "b"], range(100)), (["a"], range(90, 130)), (["c"], range(50)), (["b", "c", "d", "e"], range(120, 140))) for i in ids]
+    rows += [(7, "x", ["a", "b"]), (95, "x", ["a", "b"]), (None, "x", ["a"]), (8, "x", None), (9, None, ["a"]), (10, None, ["a"])]
+    pairs = M.close_rows(spark.createDataFrame(rows, "id long, kind string, words array<string>"), "id", ["kind"])
+    of = {k: [(i, {*w}) for i, l, w in rows if l == k and i is not None and w] for k in "xy"}
+    want = Counter((a, b) for k in "xy" for a, x in of[k] for b, y in of[k] if a < b and len(x & y) >= min(len(x), len(y), 3))
+    assert Counter(map(tuple, pairs.collect())) == want
+
+
+def test_blocks_of_one_class_are_paired_by_many_tasks(spark):
+    """40 blocks of equal rows: their numbers are dealt before their ids are fetched. Before, one task had all pairs of blocks, with their ids."""
+    rows = spark.range(40 * M.BLOCK).select("id", F.lit("x").alias("kind"), F.array(F.lit("a")).alias("words"))
+    plan = M.close_rows(rows, "id", ["kind"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert sum("block_x" in line for line in joins) == 1 and sum("block_y" in line for line in joins) == 1
+
+
 def test_near_numbers_as_by_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["x", "y"]), rng.choice([-250, -200, 0, 0, 1, 199, 200, 201, 400, rng.randint(-999, 999), None])) for i in range(400)]
